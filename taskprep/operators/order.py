@@ -57,8 +57,7 @@ def _cols(by: Sequence[str] | str | None) -> list[str]:
 
 
 def ranked(df: DataFrame, order_cols: Sequence[Column | str], bucket: Column,
-           by: Sequence[str] | str | None = None, name: str = "rn",
-           bucket_limit: int | None = 1 << 20) -> DataFrame:
+           by: Sequence[str] | str | None = None, name: str = "rn") -> DataFrame:
     """Add ``name`` = 1-based position of each row in ``order_cols`` within ``by``.
 
     ``bucket`` must be monotone non-decreasing in ``order_cols``. One shuffle of
@@ -75,7 +74,9 @@ def ranked(df: DataFrame, order_cols: Sequence[Column | str], bucket: Column,
     if not by:
         joined = keyed.join(F.broadcast(offsets), [b])
     else:
-        joined = join_checked(keyed, offsets, [*by, b])
+        # one row per (group, bucket): AQE turns this into a broadcast when the
+        # measured size allows it; the window below reuses the join's partitioning
+        joined = keyed.join(offsets, [*by, b])
     w = Window.partitionBy(*by, b).orderBy(*order_cols)
     return joined.withColumn(name, F.col("__off") + F.row_number().over(w)).drop(b, "__off")
 

@@ -24,7 +24,7 @@ def clean_text(e: str) -> str:
 def answer_tokens(e: str) -> str:
     """Normalised answer tokens as a list (articles dropped as tokens)."""
     return (f"list_filter(regexp_split_to_array(translate(lower({e}), {PUNCT_SQL}, ''), '\\s+'), "
-            f"x -> x NOT IN ('', 'a', 'an', 'the'))")
+            f"lambda x: x NOT IN ('', 'a', 'an', 'the'))")
 
 
 def normalize_answer(e: str) -> str:
