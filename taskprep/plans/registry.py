@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_tasks", "qa_metrics", "structured"]
+MODULES = ["text_tasks", "qa_metrics", "structured", "qa_spans"]
 
 
 def _load():
