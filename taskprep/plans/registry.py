@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_tasks", "qa_metrics", "structured", "qa_spans"]
+MODULES = ["text_tasks", "qa_metrics", "structured", "qa_spans", "scores"]
 
 
 def _load():
