@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_tasks", "qa_metrics", "structured", "qa_spans", "scores"]
+MODULES = ["text_tasks", "qa_metrics", "structured", "qa_spans", "scores", "task_log"]
 
 
 def _load():
