@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_tasks", "qa_metrics", "structured", "qa_spans", "scores", "task_log", "spec_eval"]
+MODULES = ["text_tasks", "qa_metrics", "structured", "qa_spans", "scores", "task_log", "spec_eval", "token_queries"]
 
 
 def _load():
