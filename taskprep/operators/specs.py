@@ -113,27 +113,26 @@ def _conditions(specs: DataFrame, meta: DataFrame, last_value_wins: bool) -> Dat
     return c.withColumn("vnum", F.when(F.col("col_type") == "real", coerce_number("vtext")))
 
 
-def spec_errors(specs: DataFrame, meta: DataFrame) -> DataFrame:
-    """Specs that cannot run: invalid operator, unknown column, negative agg."""
-    conds = specs.select("spec_id", "table_id", F.explode_outer("conds").alias("c"))
-    known = meta.select("table_id", "col_idx", F.lit(True).alias("known"))
-    cond_cols = conds.select("spec_id", "table_id", F.col("c.col").alias("col_idx"), F.col("c.op").alias("op"),
-                             F.col("c").isNull().alias("no_cond"))
-    cond_chk = cond_cols.join(known, ["table_id", "col_idx"], "left").groupBy("spec_id").agg(
-        F.max(F.when(~F.col("no_cond") & (F.col("known").isNull() | (F.col("op") < 0) | (F.col("op") > 2)), 1)
-              .otherwise(0)).alias("bad_cond"))
-    sel_chk = specs.select("spec_id", "table_id", F.col("sel").alias("col_idx"), "agg").join(
-        known, ["table_id", "col_idx"], "left").select(
-        "spec_id", (F.col("known").isNull() | (F.col("agg") < 0) | (F.col("agg") > 5)).alias("bad_sel"))
-    return sel_chk.join(cond_chk, "spec_id", "left").select(
-        "spec_id", (F.col("bad_sel") | (F.coalesce(F.col("bad_cond"), F.lit(0)) == 1)).alias("error"))
-
-
-def matching_rows(specs: DataFrame, cells: DataFrame, meta: DataFrame, last_value_wins: bool = False) -> DataFrame:
+def spec_errors(specs: DataFrame, meta: DataFrame, conds: DataFrame | None = None) -> DataFrame:
+    """Specs that cannot run (``spec_id, error``): an invalid operator, an
+    unknown condition or selected column, an aggregate code outside 0..5."""
+    c = conds if conds is not None else _conditions(specs, meta, False)
+    bad_cond = c.filter(F.col("col_type").isNull() | ~F.col("op").between(0, 2)).select("spec_id")
+    sel = specs.select("spec_id", "table_id", F.col("sel").alias("col_idx"), "agg").join(
+        meta.select("table_id", "col_idx", F.lit(True).alias("known")), ["table_id", "col_idx"], "left")
+    bad_sel = sel.filter(F.col("known").isNull() | ~F.col("agg").between(0, 5)).select("spec_id")
+    bad = bad_cond.unionByName(bad_sel).distinct().withColumn("error", F.lit(True))
+    return specs.select("spec_id").join(bad, "spec_id", "left").select(
+        "spec_id", F.coalesce("error", F.lit(False)).alias("error"))
+
+
+def matching_rows(specs: DataFrame, cells: DataFrame, meta: DataFrame, last_value_wins: bool = False,
+                  conds: DataFrame | None = None) -> DataFrame:
     """(spec_id, table_id, row_idx) of rows where every condition holds
-    (specs with conditions only)."""
+    (specs with conditions only). A condition with an invalid operator or an
+    unknown column matches no row."""
     # one row per condition, read by the three branches below
-    c = _conditions(specs, meta, last_value_wins).persist()
+    c = conds if conds is not None else _conditions(specs, meta, last_value_wins).persist()
     key = ["table_id", "col_idx"]
     cols = ["spec_id", "table_id", "row_idx", "cond_no", "n_conds"]
     eq_num = (c.filter((F.col("op") == 0) & F.col("vnum").isNotNull())
@@ -168,12 +167,13 @@ def run_specs(specs: DataFrame, cells: DataFrame, meta: DataFrame, last_value_wi
     rows); aggregates: one row with ``res_pos`` 0. Specs with errors yield no
     rows (see :func:`spec_status`).
     """
-    errors = spec_errors(specs, meta)
-    # read several times below: keep the (small) checked spec set
-    ok = specs.join(errors.filter(~F.col("error")).select("spec_id"), "spec_id", "left_semi").persist()
+    conds = _conditions(specs, meta, last_value_wins).persist()
+    # errors only change aggregates: a bad condition or column already matches nothing
+    bad = spec_errors(specs, meta, conds).filter("error").select("spec_id")
+    ok = specs
     with_conds = ok.filter(F.size("conds") > 0)
     no_conds = ok.filter(F.size("conds") == 0)
-    rows = matching_rows(with_conds, cells, meta, last_value_wins)
+    rows = matching_rows(with_conds, cells, meta, last_value_wins, conds)
     sel = ok.select("spec_id", F.col("sel").alias("col_idx"), "agg")
     picked_c = rows.join(sel, "spec_id").join(
         cells.select("table_id", "row_idx", "col_idx", "num_val", "text_val"), ["table_id", "row_idx", "col_idx"])
@@ -197,7 +197,8 @@ def run_specs(specs: DataFrame, cells: DataFrame, meta: DataFrame, last_value_wi
         F.max(num).alias("max_n"), F.max(text).alias("max_t"),
         F.min(num).alias("min_n"), F.min(text).alias("min_t"),
         F.sum(as_num).alias("sum_v"), F.avg(as_num).alias("avg_v"))
-    aggs = ok.filter(F.col("agg") > 0).select("spec_id", "agg").join(agg_rows, "spec_id", "left")
+    aggs = (ok.filter(F.col("agg").between(1, 5)).select("spec_id", "agg").join(bad, "spec_id", "left_anti")
+            .join(agg_rows, "spec_id", "left"))
     a = F.col("agg")
     out_num = (F.when(a == 1, F.when(F.col("max_t").isNull(), F.col("max_n")))
                .when(a == 2, F.col("min_n"))
