@@ -126,31 +126,55 @@ def spec_errors(specs: DataFrame, meta: DataFrame, conds: DataFrame | None = Non
         "spec_id", F.coalesce("error", F.lit(False)).alias("error"))
 
 
+def _holds(op, vnum, vtext, num, text) -> F.Column:
+    """Does a cell (num, text) satisfy ``op`` against the typed value?"""
+    eq = F.when(vnum.isNotNull(), num == vnum).otherwise(text == vtext)
+    gt = F.when(vnum.isNotNull(), (num > vnum) | text.isNotNull()).otherwise(text > vtext)
+    lt = F.when(vnum.isNotNull(), num < vnum).otherwise(num.isNotNull() | (text < vtext))
+    return F.coalesce(F.when(op == 0, eq).when(op == 1, gt).when(op == 2, lt), F.lit(False))
+
+
 def matching_rows(specs: DataFrame, cells: DataFrame, meta: DataFrame, last_value_wins: bool = False,
                   conds: DataFrame | None = None) -> DataFrame:
     """(spec_id, table_id, row_idx) of rows where every condition holds
     (specs with conditions only). A condition with an invalid operator or an
-    unknown column matches no row."""
-    # one row per condition, read by the three branches below
+    unknown column matches no row.
+
+    Each spec has an anchor condition: its first equality when it has one,
+    else its first condition. Only the anchor is matched against whole
+    columns (an equality as an equi-join on the value itself, a range as an
+    equi-join on (table, column) plus a filter); every other condition is
+    checked only on the anchor's rows, through an equi-join on
+    (table, row, column).
+    """
     c = conds if conds is not None else _conditions(specs, meta, last_value_wins).persist()
     key = ["table_id", "col_idx"]
-    cols = ["spec_id", "table_id", "row_idx", "cond_no", "n_conds"]
-    eq_num = (c.filter((F.col("op") == 0) & F.col("vnum").isNotNull())
-              .select("spec_id", "table_id", "col_idx", "cond_no", "n_conds", F.col("vnum").alias("num_val"))
+    first_eq = F.min(F.when(F.col("op") == 0, F.col("cond_no"))).over(Window.partitionBy("spec_id"))
+    anchor_no = F.coalesce(first_eq, F.min("cond_no").over(Window.partitionBy("spec_id")))
+    c = c.withColumn("is_anchor", F.col("cond_no") == anchor_no)
+    anchor, rest = c.filter("is_anchor"), c.filter(~F.col("is_anchor"))
+    cols = ["spec_id", "table_id", "row_idx", "n_conds"]
+    eq_num = (anchor.filter((F.col("op") == 0) & F.col("vnum").isNotNull())
+              .select("spec_id", "table_id", "col_idx", "n_conds", F.col("vnum").alias("num_val"))
               .join(cells.select("table_id", "col_idx", "num_val", "row_idx"), [*key, "num_val"]).select(*cols))
-    eq_text = (c.filter((F.col("op") == 0) & F.col("vnum").isNull())
-               .select("spec_id", "table_id", "col_idx", "cond_no", "n_conds", F.col("vtext").alias("text_val"))
+    eq_text = (anchor.filter((F.col("op") == 0) & F.col("vnum").isNull())
+               .select("spec_id", "table_id", "col_idx", "n_conds", F.col("vtext").alias("text_val"))
                .join(cells.select("table_id", "col_idx", "text_val", "row_idx"), [*key, "text_val"]).select(*cols))
-    rng = c.filter(F.col("op").isin(1, 2)).join(
+    rng = anchor.filter(F.col("op").isin(1, 2)).join(
         cells.select("table_id", "col_idx", "row_idx", "num_val", "text_val"), key)
-    vnum, vtext, num, text = F.col("vnum"), F.col("vtext"), F.col("num_val"), F.col("text_val")
-    gt = F.when(vnum.isNotNull(), (num > vnum) | text.isNotNull()).otherwise(text > vtext)
-    lt = F.when(vnum.isNotNull(), num < vnum).otherwise(num.isNotNull() | (text < vtext))
-    rng = rng.filter(F.when(F.col("op") == 1, gt).otherwise(lt)).select(*cols)
-    hits = eq_num.unionByName(eq_text).unionByName(rng)
+    rng = rng.filter(_holds(F.col("op"), F.col("vnum"), F.col("vtext"), F.col("num_val"), F.col("text_val")))
+    cand = eq_num.unionByName(eq_text).unionByName(rng.select(*cols))
+    single = cand.filter(F.col("n_conds") == 1).select("spec_id", "table_id", "row_idx")
+    # remaining conditions, checked on the anchor's rows only
+    multi = cand.filter(F.col("n_conds") > 1).join(
+        rest.select("spec_id", "cond_no", "col_idx", "op", "vnum", "vtext"), "spec_id")
+    checked = multi.join(cells.select("table_id", "row_idx", "col_idx", "num_val", "text_val"),
+                         ["table_id", "row_idx", "col_idx"])
+    ok = checked.filter(_holds(F.col("op"), F.col("vnum"), F.col("vtext"), F.col("num_val"), F.col("text_val")))
     # a (spec, condition, row) hit is unique: cells are unique per (table, row, column)
-    per_row = hits.groupBy("spec_id", "table_id", "row_idx", "n_conds").agg(F.count(F.lit(1)).alias("n_hit"))
-    return per_row.filter(F.col("n_hit") == F.col("n_conds")).select("spec_id", "table_id", "row_idx")
+    per_row = ok.groupBy("spec_id", "table_id", "row_idx", "n_conds").agg(F.count(F.lit(1)).alias("n_hit"))
+    multi_rows = per_row.filter(F.col("n_hit") == F.col("n_conds") - 1).select("spec_id", "table_id", "row_idx")
+    return single.unionByName(multi_rows)
 
 
 def _leading_number(text: F.Column) -> F.Column:
