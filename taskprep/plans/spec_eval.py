@@ -149,7 +149,40 @@ FROM s
 """
 
 
+def pointer_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """T13 + T14 + A9: gold spec (value span k..k+1 for condition k) -> pointer
+    sequence -> spec again; the sequence as text and whether the round trip
+    and the pointer sequences of gold and prediction agree."""
+    from taskprep.functions.arrays import sequence_match
+    from taskprep.operators import tokens as TK
+    pr = pairs(spark, sf)
+
+    def spanned(spec):
+        s = F.col(spec)
+        return F.struct(s.sel.alias("sel"), s.agg.alias("agg"), F.transform(s.conds, lambda c, i: F.struct(
+            c.col.alias("col"), c.op.alias("op"), i.alias("st"), (i + 1).alias("ed"))).alias("conds"))
+
+    pr = pr.select("qid", spanned("g").alias("gs"), spanned("p").alias("ps"))
+    pr = pr.withColumn("gp", TK.spec_to_pointers("gs")).withColumn("pp", TK.spec_to_pointers("ps"))
+    back = TK.pointers_to_spec("gp")
+    text = F.array_join(F.transform("gp", lambda t: F.concat_ws(":", t.kind, t.value.cast("string"))), ",")
+    return pr.select("qid", text.alias("pointers"), (back == F.col("gs")).alias("roundtrip"),
+                     sequence_match("gp", "pp").alias("seq_match"))
+
+
+def _pointer_sql(sel: str, agg: str, conds: str) -> str:
+    return (f"['start:0', 'select:0', 'agg:' || {agg}, 'col:' || {sel}] || flatten(list_transform({conds}, "
+            f"lambda c, i: [CASE WHEN i = 1 THEN 'where:0' ELSE 'and:0' END, 'col:' || c.col, 'op:' || c.op, "
+            f"'vst:' || (i - 1), 'ved:' || i])) || ['end:0']")
+
+
+SQL_POINTER_ROUNDTRIP = "WITH " + _SQL_PAIRS + f""",
+pt AS (SELECT qid, {_pointer_sql('g_sel', 'g_agg', 'g_conds')} AS gp, {_pointer_sql('p_sel', 'p_agg', 'p_conds')} AS pp
+       FROM pr)
+SELECT qid, array_to_string(gp, ',') AS pointers, TRUE AS roundtrip, CAST(gp = pp AS INTEGER) AS seq_match FROM pt
+"""
+
 QUERIES = {"component_scores": component_scores, "component_totals": component_totals,
-           "rendered_specs": rendered_specs}
+           "rendered_specs": rendered_specs, "pointer_roundtrip": pointer_roundtrip}
 ORACLE = {"component_scores": SQL_COMPONENT_SCORES, "component_totals": SQL_COMPONENT_TOTALS,
-          "rendered_specs": SQL_RENDERED_SPECS}
+          "rendered_specs": SQL_RENDERED_SPECS, "pointer_roundtrip": SQL_POINTER_ROUNDTRIP}
