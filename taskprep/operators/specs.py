@@ -324,3 +324,11 @@ def number_within(df: DataFrame, group: str, pos: str, out: str = "qid") -> Data
     """Running number of each row inside its group, id = ``group-n``."""
     r = ranked(df, [F.col(pos)], width_bucket(pos, 1 << 16), group, name="__n")
     return r.withColumn(out, F.concat_ws("-", F.col(group), (F.col("__n") - 1).cast("string"))).drop("__n")
+
+
+def attach_tables(questions: DataFrame, tables: DataFrame, key: str = "table_id") -> DataFrame:
+    """Each question with its table (header, types); ``missing`` marks a
+    question whose table is absent (an error in the original, a flag here)."""
+    t = tables.select(F.col("id").alias(key), *[c for c in tables.columns if c != "id"], F.lit(True).alias("__t"))
+    out = questions.join(t, key, "left")
+    return out.withColumn("missing", F.col("__t").isNull()).drop("__t")
