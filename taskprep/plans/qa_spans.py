@@ -126,7 +126,42 @@ SELECT e.example_id, CASE WHEN b.text IS NULL OR n.null_score - b.se > 0.0 THEN
 FROM e LEFT JOIN b ON b.example_id = e.example_id LEFT JOIN nul n ON n.example_id = e.example_id"""
 
 
-QUERIES = {"nbest_spans": nbest, "best_answers": best_answers, "best_answers_null": best_answers_null,
+def nbest_ranked(spark: SparkSession, sf: str) -> DataFrame:
+    """R2 + J9: candidates from the 5 best starts and, for each, its 5 best
+    ends (end j of start i at i * 5 + j); empty -> "" scored -2e-6."""
+    ex, ft = windows(spark, sf)
+    s_idx = spans.top_indices("start_logits", 5)
+    e_idx = spans.top_indices("end_logits", 5)
+    ft = ft.select(
+        "feature_id", "example_id", "window_no", "offsets",
+        s_idx.alias("start_index"), F.transform(s_idx, lambda i: F.element_at("start_logits", i + 1)).alias(
+            "start_log_prob"),
+        F.flatten(F.array_repeat(e_idx, 5)).alias("end_index"),
+        F.flatten(F.array_repeat(F.transform(e_idx, lambda i: F.element_at("end_logits", i + 1)), 5)).alias(
+            "end_log_prob"),
+        F.element_at("start_logits", 1).alias("cls_logit"))
+    nb, _ = spans.nbest_spans_ranked(ex, ft, 5, 5)
+    return nb.select("example_id", F.col("rank").cast("int").alias("rank"), "text",
+                     F.round("score", 6).alias("score"), F.round("probability", 6).alias("probability"))
+
+
+SQL_NBEST_RANKED = "WITH " + _SQL_BASE + """,
+pr AS (SELECT * FROM pairs WHERE start_rank < 5 AND end_rank < 5),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY score DESC, window_no,
+                                                     start_rank, end_rank) - 1 AS rk FROM pr) WHERE rk < 20),
+txt AS (SELECT k.example_id, k.rk, substr(d.text, k.st + 1, k.ed - k.st) AS text, k.score
+        FROM kept k JOIN documents d ON d.doc_id = k.example_id),
+allr AS (SELECT example_id, rk, text, score FROM txt
+         UNION ALL SELECT e.example_id, 0, '', -2e-6 FROM (SELECT DISTINCT example_id FROM f) e
+         WHERE e.example_id NOT IN (SELECT example_id FROM txt)),
+prob AS (SELECT *, exp(score - max(score) OVER (PARTITION BY example_id)) AS ex FROM allr)
+SELECT example_id, CAST(rk AS INTEGER) AS rank, text, round(score, 6) AS score,
+       round(ex / sum(ex) OVER (PARTITION BY example_id), 6) AS probability
+FROM prob
+"""
+
+
+QUERIES = {"nbest_ranked": nbest_ranked, "nbest_spans": nbest, "best_answers": best_answers, "best_answers_null": best_answers_null,
            "null_scores": null_scores}
-ORACLE = {"nbest_spans": SQL_NBEST, "best_answers": SQL_BEST, "best_answers_null": SQL_BEST_NULL,
+ORACLE = {"nbest_ranked": SQL_NBEST_RANKED, "nbest_spans": SQL_NBEST, "best_answers": SQL_BEST, "best_answers_null": SQL_BEST_NULL,
           "null_scores": SQL_NULL_SCORES}
