@@ -72,11 +72,21 @@ def encode(ids, max_len: int, markers: bool = True) -> F.Column:
     return F.concat(F.array(F.lit(CLS_ID)), F.slice(a, 1, max_len - 2), F.array(F.lit(SEP_ID)))
 
 
-def ids_to_text(ids, tokens_by_id) -> F.Column:
-    """Id sequence -> text through an id -> token array (index = id)."""
-    vocab = F.col(tokens_by_id) if isinstance(tokens_by_id, str) else tokens_by_id
-    return F.array_join(F.transform(F.col(ids) if isinstance(ids, str) else ids,
-                                    lambda i: F.element_at(vocab, i + 1)), " ")
+# The names of the reserved ids.
+SPECIAL_TOKENS = {0: "[UNK]", 1: "[CLS]", 2: "[SEP]"}
+
+
+def ids_to_text(df: DataFrame, ids: str, vocab: DataFrame, key: str, out: str = "text") -> DataFrame:
+    """Id sequence -> space-joined tokens. The ids are exploded with their
+    position and joined to the vocabulary (no vocabulary array is collected);
+    each row is re-assembled from its own ids only."""
+    spark = df.sparkSession
+    special = spark.createDataFrame(list(SPECIAL_TOKENS.items()), "id int, token string")
+    names = vocab.select(F.col("id").cast("int"), "token").unionByName(special)
+    ex = df.select(key, F.posexplode(ids).alias("pos", "id")).join(names, "id", "left")
+    per = ex.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("token", F.lit("[UNK]"))
+                                                                   .alias("t")))).alias("__p"))
+    return df.join(per.select(key, F.array_join(F.transform("__p", lambda p: p.t), " ").alias(out)), key, "left")
 
 
 def window_context(df: DataFrame, q_len: str, n_ctx: str, max_len: int = 384, stride: int = 128) -> DataFrame:

@@ -186,7 +186,59 @@ FROM d JOIN b ON b.item_id = d.item_id
 """
 
 
-QUERIES = {"vocab_build": vocab_build, "token_id_rows": token_id_rows, "qa_windows": qa_windows,
+def decoded_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """The encoded benchmark rows (J4 + T1) turned back into token text."""
+    b = read_table(spark, sf, "benchmark").select("item_id", _words(F.col("text")).alias("w"))
+    vocab = _vocab(spark, sf)
+    ids = TK.token_ids(b, "w", vocab, "item_id", max_tokens=MAX_LEN - 2)
+    enc = ids.select("item_id", TK.encode("ids", MAX_LEN).alias("input_ids"))
+    return TK.ids_to_text(enc, "input_ids", vocab, "item_id").select("item_id", "text")
+
+
+SQL_DECODED_IDS = "WITH " + _SQL_VOCAB + f""",
+bt AS (SELECT item_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos
+       FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '') AS w FROM benchmark)),
+dec AS (SELECT b.item_id, list(coalesce(v.token, '[UNK]') ORDER BY b.pos) AS toks
+        FROM (SELECT * FROM bt WHERE pos < {MAX_LEN - 2}) b LEFT JOIN vocab v ON v.token = b.token GROUP BY b.item_id)
+SELECT bm.item_id, array_to_string(list_concat(['[CLS]'], coalesce(dec.toks, []), ['[SEP]']), ' ') AS text
+FROM benchmark bm LEFT JOIN dec ON dec.item_id = bm.item_id
+"""
+
+
+def subtoken_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """T7 + T8: words cut into 3-character pieces (a rule-based stand-in for
+    sub-tokens); first piece of each word, word of each piece, and the word
+    span (1, 3) mapped to pieces and back."""
+    b = read_table(spark, sf, "benchmark").select("item_id", _words(F.col("text")).alias("w"))
+    pieces = F.transform("w", lambda t: F.transform(
+        F.sequence(F.lit(0), (F.ceil(F.length(t) / 3) - 1).cast("int")), lambda i: F.substring(t, i * 3 + 1, 3)))
+    b = b.withColumn("sub", pieces).withColumn("ix", TK.subtoken_index("sub"))
+    span = F.array(F.struct(F.lit(1).alias("st"), F.lit(3).alias("ed")))
+    b = b.withColumn("sp", F.when(F.size("w") > 3, TK.map_spans(span, "ix.word_start")))
+    b = b.withColumn("back", F.when(F.size("w") > 3, TK.map_spans("sp", None, "ix.word_of", to_sub=False)))
+    return b.select("item_id", F.array_join("ix.word_start", ",").alias("word_start"),
+                    F.array_join("ix.word_of", ",").alias("word_of"),
+                    F.concat_ws("-", F.element_at("sp", 1).st.cast("string"), F.element_at("sp", 1).ed.cast("string"))
+                    .alias("sub_span"),
+                    F.concat_ws("-", F.element_at("back", 1).st.cast("string"),
+                                F.element_at("back", 1).ed.cast("string")).alias("word_span"))
+
+
+SQL_SUBTOKEN_SPANS = """
+WITH b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '') AS w FROM benchmark),
+c AS (SELECT item_id, w, list_transform(w, lambda t: CAST(ceil(length(t) / 3) AS BIGINT)) AS cnt FROM b),
+ix AS (SELECT item_id, w, list_transform(range(len(cnt)), lambda i: CAST(coalesce(list_sum(cnt[1:i]), 0) AS BIGINT)) AS ws,
+              flatten(list_transform(range(len(cnt)), lambda i: list_transform(range(cnt[i + 1]), lambda x: i))) AS wo
+       FROM c)
+SELECT item_id, array_to_string(ws, ',') AS word_start, array_to_string(wo, ',') AS word_of,
+       CASE WHEN len(w) > 3 THEN CAST(ws[2] AS VARCHAR) || '-' || CAST(ws[4] AS VARCHAR) ELSE '' END AS sub_span,
+       CASE WHEN len(w) > 3 THEN CAST(wo[ws[2] + 1] AS VARCHAR) || '-' || CAST(wo[ws[4] + 1] AS VARCHAR) ELSE '' END
+         AS word_span
+FROM ix
+"""
+
+
+QUERIES = {"decoded_ids": decoded_ids, "subtoken_spans": subtoken_spans, "vocab_build": vocab_build, "token_id_rows": token_id_rows, "qa_windows": qa_windows,
            "segments": segments, "sublist_matches": sublist_matches}
-ORACLE = {"vocab_build": SQL_VOCAB_BUILD, "token_id_rows": SQL_TOKEN_ID_ROWS, "qa_windows": SQL_QA_WINDOWS,
+ORACLE = {"decoded_ids": SQL_DECODED_IDS, "subtoken_spans": SQL_SUBTOKEN_SPANS, "vocab_build": SQL_VOCAB_BUILD, "token_id_rows": SQL_TOKEN_ID_ROWS, "qa_windows": SQL_QA_WINDOWS,
           "segments": SQL_SEGMENTS, "sublist_matches": SQL_SUBLIST_MATCHES}
