@@ -52,3 +52,30 @@ def prune_candidates(candidates: DataFrame, cells: DataFrame, meta: DataFrame, b
         "beam_rank", F.explode(F.sequence(F.lit(1), F.lit(beam))))
     return slots.join(kept, [key, "beam_rank"], "left").select(
         key, "beam_rank", "spec_id", F.coalesce(F.col(score), F.lit(float(JUNK_SCORE))).alias(score))
+
+
+def choose_conditions(candidates: DataFrame, p_n: DataFrame, cells: DataFrame, meta: DataFrame,
+                      key: str = "qid") -> tuple[DataFrame, DataFrame]:
+    """Choose the number of conditions and which ones.
+
+    candidates: key, cand_no, prob, table_id, sel, agg, cond (struct col/op/val);
+    p_n: key, p_n (array: probability of 0, 1, 2 ... conditions).
+    Every candidate condition is executed alone (one batch); executable ones
+    keep their probability order (prob desc, cand_no). The count is the
+    argmax over k of p_n[k] * prob(k-th executable) with k = 0 scored p_n[0]
+    (ties: fewer conditions). Returns (choice: key, wn, score;
+    conditions: key, ex_rank, cand_no, cond)."""
+    c = candidates.withColumn("spec_id", F.concat_ws(":", F.col(key).cast("string"), F.col("cand_no").cast("string")))
+    specs = c.select("spec_id", "table_id", "sel", "agg", F.array("cond").alias("conds"))
+    res = SP.run_specs(specs, cells, meta)
+    ex = c.join(res.select("spec_id").distinct(), "spec_id", "left_semi")
+    w = Window.partitionBy(key).orderBy(F.desc("prob"), "cand_no")
+    ex = ex.withColumn("ex_rank", F.row_number().over(w))
+    scored = ex.join(p_n, key).select(key, F.col("ex_rank").alias("k"),
+                                      (F.element_at("p_n", F.col("ex_rank") + 1) * F.col("prob")).alias("score"))
+    zero = p_n.select(key, F.lit(0).alias("k"), F.element_at("p_n", 1).alias("score"))
+    allk = zero.unionByName(scored).filter(F.col("score").isNotNull())
+    choice = allk.groupBy(key).agg(F.max_by(F.struct("k", "score"), F.struct(F.col("score"), -F.col("k"))).alias("b"))
+    choice = choice.select(key, F.col("b.k").alias("wn"), F.col("b.score").alias("score"))
+    conds = ex.join(choice, key).filter(F.col("ex_rank") <= F.col("wn")).select(key, "ex_rank", "cand_no", "cond")
+    return choice, conds

@@ -73,5 +73,59 @@ SELECT s.qid, CAST(s.beam_rank AS INTEGER) AS beam_rank, k.spec_id, coalesce(k.s
 FROM s LEFT JOIN k ON k.qid = s.qid AND k.beam_rank = s.beam_rank
 """
 
-QUERIES = {"best_select": best_select, "pruned_candidates": pruned_candidates}
-ORACLE = {"best_select": SQL_BEST_SELECT, "pruned_candidates": SQL_PRUNED_CANDIDATES}
+def chosen_conditions(spark: SparkSession, sf: str) -> DataFrame:
+    """R9 (+F6, H3): per nation, 4 candidate conditions over ``customer``
+    (probabilities = softmax of vector ``vec_id = nation`` values 1..4, counts
+    0..3 = softmax of values 5..8); chosen count, score and conditions."""
+    from taskprep.plans.structured import catalog
+    from taskprep.session import cut_lineage, read_table
+    nation = read_table(spark, sf, "nation").select("n_nationkey")
+    e = _emb(spark, sf).select(F.col("vec_id").alias("n_nationkey"), A.softmax(F.slice("v", 1, 4)).alias("pc"),
+                               A.softmax(F.slice("v", 5, 4)).alias("p_n"))
+    base = nation.join(e, "n_nationkey").withColumn("cand_no", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    n, k = F.col("n_nationkey"), F.col("cand_no")
+
+    def cond(col, op, val):
+        return F.struct(F.lit(col).alias("col"), F.lit(op).alias("op"), val.cast("string").alias("val"))
+
+    c = (F.when(k == 0, cond(2, 0, n)).when(k == 1, cond(3, 1, n * 400)).when(k == 2, cond(2, 0, n + 100))
+         .otherwise(cond(4, 0, F.lit("BUILDING"))))
+    cands = base.select(n.alias("qid"), "cand_no", F.element_at("pc", k + 1).alias("prob"),
+                        F.lit("customer").alias("table_id"), F.lit(3).alias("sel"), F.lit(0).alias("agg"),
+                        c.alias("cond"))
+    cands = cut_lineage(cands)
+    p_n = base.select(n.alias("qid"), "p_n").distinct()
+    cells, meta = catalog(spark, sf)
+    choice, conds = rank.choose_conditions(cands, p_n, cells, meta)
+    listed = conds.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
+        F.struct("ex_rank", "cand_no"))), lambda x: x.cand_no.cast("string")), ",").alias("conds"))
+    return choice.join(listed, "qid", "left").select(
+        "qid", F.col("wn").cast("int").alias("wn"), F.round("score", 6).alias("score"),
+        F.coalesce("conds", F.lit("")).alias("conds"))
+
+
+SQL_CHOSEN_CONDITIONS = f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+p AS (SELECT n.n_nationkey AS qid, {_softmax_sql('v[1:4]')} AS pc, {_softmax_sql('v[5:8]')} AS p_n
+      FROM nation n JOIN e ON e.vec_id = n.n_nationkey),
+c AS (SELECT qid, k.range AS cand_no, pc[k.range + 1] AS prob, p_n,
+             CASE k.range
+               WHEN 0 THEN EXISTS (SELECT 1 FROM customer WHERE c_nationkey = qid)
+               WHEN 1 THEN EXISTS (SELECT 1 FROM customer WHERE c_acctbal > qid * 400)
+               WHEN 2 THEN EXISTS (SELECT 1 FROM customer WHERE c_nationkey = qid + 100)
+               ELSE EXISTS (SELECT 1 FROM customer WHERE c_mktsegment = 'BUILDING') END AS executable
+      FROM p, range(4) k),
+x AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY prob DESC, cand_no) AS ex_rank FROM c WHERE executable),
+s AS (SELECT qid, 0 AS k, p_n[1] AS score FROM p
+      UNION ALL SELECT qid, ex_rank, p_n[ex_rank + 1] * prob FROM x WHERE ex_rank + 1 <= len(p_n)),
+ch AS (SELECT qid, arg_max(k, [score, -k]) AS wn, max(score) AS score FROM s GROUP BY qid),
+cl AS (SELECT x.qid, string_agg(CAST(x.cand_no AS VARCHAR), ',' ORDER BY x.ex_rank) AS conds
+       FROM x JOIN ch ON ch.qid = x.qid WHERE x.ex_rank <= ch.wn GROUP BY x.qid)
+SELECT ch.qid, CAST(ch.wn AS INTEGER) AS wn, round(ch.score, 6) AS score, coalesce(cl.conds, '') AS conds
+FROM ch LEFT JOIN cl ON cl.qid = ch.qid
+"""
+
+QUERIES = {"best_select": best_select, "pruned_candidates": pruned_candidates,
+           "chosen_conditions": chosen_conditions}
+ORACLE = {"best_select": SQL_BEST_SELECT, "pruned_candidates": SQL_PRUNED_CANDIDATES,
+          "chosen_conditions": SQL_CHOSEN_CONDITIONS}
