@@ -221,7 +221,7 @@ def condition_values(query_tokens, question_tokens) -> F.Column:
     q = F.col(query_tokens) if isinstance(query_tokens, str) else query_tokens
     qs = F.col(question_tokens) if isinstance(question_tokens, str) else question_tokens
     ops = F.array(F.lit("EQL"), F.lit("GT"), F.lit("LT"))
-    w = F.array_position(q, F.lit("WHERE"))
+    w = F.array_position(q, F.lit("WHERE")).cast("int")
     tail = F.when(w > 0, F.slice(q, w + 1, F.size(q))).otherwise(F.array().cast("array<string>"))
     # AND positions split the tail into conditions
     cuts = F.filter(F.transform(tail, lambda t, i: F.when(t == "AND", i)), lambda x: x.isNotNull())
@@ -230,7 +230,7 @@ def condition_values(query_tokens, question_tokens) -> F.Column:
         tail, b + 2, F.element_at(bounds, i + 2) - b - 1))
 
     def one(piece):
-        op_pos = F.array_max(F.transform(ops, lambda o: F.array_position(piece, o)))
+        op_pos = F.array_max(F.transform(ops, lambda o: F.array_position(piece, o))).cast("int")
         val = F.slice(piece, op_pos + 1, F.size(piece))
         from taskprep.functions.arrays import find_sublist
         pos = F.element_at(F.concat(find_sublist(val, qs), F.array(F.lit(-1))), 1)
@@ -239,37 +239,42 @@ def condition_values(query_tokens, question_tokens) -> F.Column:
     return F.when(w > 0, F.transform(F.filter(pieces, lambda p: F.size(p) > 0), one))
 
 
-# Bracket and quote tokens and the text they stand for.
-DETOKEN_MAP = {"-LRB-": "(", "-RRB-": ")", "-LSB-": "[", "-RSB-": "]", "-LCB-": "{", "-RCB-": "}",
-               "``": '"', "''": '"', "--": "–"}
-
-
-def detokenize(df: DataFrame, tokens: str, question: str, out: str = "text") -> DataFrame:
-    """Join tokens back as written in the question: mapped symbols, a space
-    only where the question has one after the previous token. Done per row
-    with a pandas UDF (the state runs along the token list)."""
-    mapping = dict(DETOKEN_MAP)
-
-    @F.pandas_udf(T.StringType())
-    def join(toks: pd.Series, qs: pd.Series) -> pd.Series:
-        res = []
-        for tl, q in zip(toks, qs):
-            if tl is None or q is None:
-                res.append(None)
-                continue
-            ql = q.lower()
-            text, pos = "", 0
-            for t in tl:
-                t2 = mapping.get(t, t)
-                hit = ql.find(t2.lower(), pos)
-                if text and hit > pos and ql[pos:hit].strip() == "" and hit - pos >= 1:
-                    text += " "
-                elif text and hit < 0:
-                    text += " "
-                text += t2
-                if hit >= 0:
-                    pos = hit + len(t2)
-            res.append(text)
-        return pd.Series(res)
-
-    return df.withColumn(out, join(F.col(tokens), F.col(question)))
+# Token spellings mapped back to characters, the characters a
+# token may start with to get a space, and the characters after which no
+# space is inserted.
+DETOKEN_MAP = {"-LRB-": "(", "-RRB-": ")", "-LSB-": "[", "-RSB-": "]", "``": '"', "''": '"'}
+SPACE_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789$"
+NO_SPACE_AFTER = ["(", "/", "\u2013", "#", "$", "&"]
+
+
+def detokenize(tokens, question) -> F.Column:
+    """Join value tokens back as they are written in the question.
+
+    Tokens and question are lower-cased (so only the quote spellings of the
+    map can apply). A space goes before a token when the text so far plus a
+    space plus the token occurs in the question; none when the text plus the
+    token occurs; otherwise a closing double quote gets one, a token not
+    starting with a letter, digit or ``$`` gets none, and any other token gets
+    one unless the previous character is an opening symbol or an opening
+    quote. A fold (``aggregate``) with a (text, quote parity) state."""
+    q = F.lower(F.col(question) if isinstance(question, str) else question)
+    toks = F.filter(F.transform(F.col(tokens) if isinstance(tokens, str) else tokens, lambda t: F.lower(t)),
+                    lambda t: t.isNotNull() & (t != ""))
+    mapping = F.create_map(*[x for kv in DETOKEN_MAP.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
+    mapped = F.transform(toks, lambda t: F.coalesce(F.element_at(mapping, t), t))
+    init = F.struct(F.lit("").alias("ret"), F.lit(0).alias("par"))
+
+    def step(acc, w):
+        par = F.when(w == '"', 1 - acc.par).otherwise(acc.par)
+        ret = acc.ret
+        last = F.substring(ret, -1, 1)
+        pad = (F.when(F.length(ret) == 0, F.lit(False))
+               .when(F.position(F.concat(ret, F.lit(" "), w), q) > 0, F.lit(True))
+               .when(F.position(F.concat(ret, w), q) > 0, F.lit(False))
+               .when(w == '"', par == 1)
+               .when(~F.substring(w, 1, 1).isin(*list(SPACE_ALPHABET)), F.lit(False))
+               .otherwise(~last.isin(*NO_SPACE_AFTER) & ((last != '"') | (par == 0))))
+        return F.struct(F.concat(ret, F.when(pad, F.lit(" ")).otherwise(F.lit("")), w).alias("ret"),
+                        par.alias("par"))
+
+    return F.regexp_replace(F.aggregate(mapped, init, step).ret, r"(?U)^\s+|\s+$", "")

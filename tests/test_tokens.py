@@ -59,3 +59,19 @@ def test_pointer_roundtrip(spark):
     back = p.select(TK.pointers_to_spec("p").alias("b")).collect()[0].b
     assert back.sel == 2 and back.agg == 3
     assert [(c.col, c.op, c.st, c.ed) for c in back.conds] == [(1, 0, 4, 6), (0, 2, 1, 2)]
+
+
+def test_detokenize(spark):
+    rows = [(["New", "York"], "Who lives in New York?"), (["3", "%"], "rate of 3% or more"),
+            (["``", "hi", "''"], 'he said "hi" twice'), (["a", "b"], "zzz"), (["$", "5"], "zzz"),
+            (["-LRB-", "x"], "zzz")]
+    df = spark.createDataFrame(rows, "t array<string>, q string")
+    assert [r[0] for r in df.select(TK.detokenize("t", "q")).collect()] == [
+        "new york", "3%", '"hi"', "a b", "$5", "-lrb- x"]
+
+
+def test_condition_values(spark):
+    q = ["SELECT", "col", "WHERE", "a", "EQL", "new", "york", "AND", "b", "GT", "5"]
+    df = spark.createDataFrame([(q, ["who", "new", "york", "is", "5"])], "q array<string>, n array<string>")
+    r = df.select(TK.condition_values("q", "n")).collect()[0][0]
+    assert [(c.op, c.value, c.pos) for c in r] == [("EQL", ["new", "york"], 1), ("GT", ["5"], 4)]
