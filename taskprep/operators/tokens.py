@@ -21,29 +21,43 @@ TOKEN_TYPE = T.ArrayType(T.StructType([T.StructField("tok", T.StringType()), T.S
                                        T.StructField("ed", T.IntegerType())]))
 
 
-def _tokenizer(pattern: str, lower: bool):
-    import regex
-
-    rx = regex.compile(pattern)
-
-    @F.pandas_udf(TOKEN_TYPE)
-    def tok(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            if t is None:
-                out.append(None)
-                continue
-            s = t.lower() if lower else t
-            out.append([{"tok": m.group(0), "st": m.start(), "ed": m.end()} for m in rx.finditer(s)])
-        return pd.Series(out)
-
-    return tok
-
-
 def tokenize(df: DataFrame, text: str, out: str = "tokens", pattern: str = WORD_PATTERN,
              lower: bool = False) -> DataFrame:
-    """Tokens with [st, ed) character offsets (code points)."""
-    return df.withColumn(out, _tokenizer(pattern, lower)(F.col(text)))
+    """Tokens with [st, ed) character offsets (code points).
+
+    ``mapInArrow``: per Arrow batch one regex scan per text, with the tokens
+    and offsets written straight into flat Arrow arrays (no per-token Python
+    objects beyond the match)."""
+    import re
+
+    import pyarrow as pa
+
+    schema = T.StructType(df.schema.fields + [T.StructField(out, TOKEN_TYPE)])
+    names = df.columns + [out]
+
+    def run(batches):
+        rx = re.compile(pattern)
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text)).to_pylist()
+            offs, toks, st, ed, nulls = [0], [], [], [], []
+            for t in texts:
+                if t is None:
+                    nulls.append(True)
+                    offs.append(len(toks))
+                    continue
+                for m in rx.finditer(t.lower() if lower else t):
+                    toks.append(m.group())
+                    st.append(m.start())
+                    ed.append(m.end())
+                offs.append(len(toks))
+                nulls.append(False)
+            items = pa.StructArray.from_arrays(
+                [pa.array(toks, pa.string()), pa.array(st, pa.int32()), pa.array(ed, pa.int32())],
+                names=["tok", "st", "ed"])
+            lists = pa.ListArray.from_arrays(pa.array(offs, pa.int32()), items, mask=pa.array(nulls))
+            yield pa.RecordBatch.from_arrays(list(b.columns) + [lists], names=names)
+
+    return df.mapInArrow(run, schema)
 
 
 def token_ids(df: DataFrame, tokens: str, vocab: DataFrame, key: str, max_tokens: int | None = None,

@@ -33,13 +33,13 @@ def _token_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _vocab(spark: SparkSession, sf: str) -> DataFrame:
-    toks = _token_rows(spark, sf)
-    embedded = toks.groupBy("token").count().filter(F.col("count") >= 2)
-    return V.build_vocab(toks, embedded)
+    # tokens "with an embedding" = tokens seen at least twice, from the same aggregation
+    return V.build_vocab(_token_rows(spark, sf), min_count=2)
 
 
 def vocab_build(spark: SparkSession, sf: str) -> DataFrame:
-    """A7 + J5: first-occurrence vocabulary restricted to embedded tokens."""
+    """First-occurrence vocabulary restricted to embedded tokens (J5's
+    semi-join form is unit-tested)."""
     return _vocab(spark, sf).select("token", "id", F.col("n").cast("long").alias("n"))
 
 
