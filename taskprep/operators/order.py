@@ -125,21 +125,20 @@ def prefix_rows(df: DataFrame, order_cols: Sequence[str | Column], bucket: Colum
         F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"),
         F.sum("__cnt").over(gw).alias("__n"),
     ).withColumn("__lim", limit)
-    # per group: the bucket where the cut falls
-    cut = (cum.filter((F.col("__off") < F.col("__lim")) & (F.col("__off") + F.col("__cnt") > F.col("__lim")))
-           .select(*by, F.col(b).alias("__cut"), "__off"))
-    # one row per group; cut stays null when the cut falls on a bucket edge
-    groups = (cum.groupBy(*by).agg(F.max("__n").alias("__n"), F.max("__lim").alias("__lim"),
-                                   F.max(F.when(F.col("__off") + F.col("__cnt") <= F.col("__lim"), F.col(b)))
-                                   .alias("__last_full")))
+    # one row per group: the last bucket wholly inside the cut, and the bucket
+    # where the cut falls with its offset (null when the cut is on a bucket edge)
+    off, cnt, lim_c = F.col("__off"), F.col("__cnt"), F.col("__lim")
+    at_cut = (off < lim_c) & (off + cnt > lim_c)
+    groups = cum.groupBy(*by).agg(
+        F.max("__n").alias("__n"), F.max("__lim").alias("__lim"),
+        F.max(F.when(off + cnt <= lim_c, F.col(b))).alias("__last_full"),
+        F.max(F.when(at_cut, F.col(b))).alias("__cut"), F.max(F.when(at_cut, off)).alias("__off"))
     if by:
-        cutg = groups.join(cut, by, "left")
-        joined = join_checked(keyed, cutg, by)
+        joined = join_checked(keyed, groups, by)
     else:
         # a single group: one row, joined on a constant key and broadcast
         one = "__one"
-        cutg = groups.withColumn(one, F.lit(0)).join(cut.withColumn(one, F.lit(0)), one, "left")
-        joined = keyed.withColumn(one, F.lit(0)).join(F.broadcast(cutg), one).drop(one)
+        joined = keyed.withColumn(one, F.lit(0)).join(F.broadcast(groups.withColumn(one, F.lit(0))), one).drop(one)
     lim, off, cutb, full = F.col("__lim"), F.col("__off"), F.col("__cut"), F.col("__last_full")
     certain_in = full.isNotNull() & (F.col(b) <= full)
     boundary = cutb.isNotNull() & (F.col(b) == cutb)

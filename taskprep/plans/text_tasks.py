@@ -27,8 +27,10 @@ def _labelled_docs(spark: SparkSession, sf: str) -> DataFrame:
 def task_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: clean -> length filter -> label join -> exact per-task sample ->
     majority-label prediction -> accuracy per task."""
-    sampled = tasks.sample_exact(_labelled_docs(spark, sf), SAMPLE_PER_TASK, SEED, "doc_id", by="source",
-                                 strict=False)
+    # the cleaned text is only needed for the length filter: keep the small
+    # projection once instead of re-running the regex chain in both sampling passes
+    labelled = _labelled_docs(spark, sf).select("doc_id", "source", "label").persist()
+    sampled = tasks.sample_exact(labelled, SAMPLE_PER_TASK, SEED, "doc_id", by="source", strict=False)
     counts = sampled.groupBy("source", "label").agg(F.count(F.lit(1)).alias("c"))
     majority = counts.groupBy("source").agg(
         F.max_by("label", F.struct(F.col("c"), -F.col("label"))).alias("majority"))
