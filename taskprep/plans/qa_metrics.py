@@ -53,7 +53,8 @@ common AS (SELECT r.id, r.ref_no, sum(least(r.c, p.c)) AS common FROM rtok r JOI
            GROUP BY r.id, r.ref_no),
 scored AS (
   SELECT pairs.id, pairs.ref_no,
-         CASE WHEN pred IS NOT NULL AND array_to_string(pt, ' ') = array_to_string(rt, ' ') THEN 1.0 ELSE 0.0 END AS em,
+         CASE WHEN pred IS NOT NULL AND array_to_string(pt, ' ') = array_to_string(rt, ' ') THEN 1.0::DOUBLE
+              ELSE 0.0::DOUBLE END AS em,
          CASE WHEN pred IS NULL OR coalesce(common, 0) = 0 THEN 0.0
               ELSE 2 * (common / len(pt)) * (common / len(rt)) / ((common / len(pt)) + (common / len(rt))) END AS f1
   FROM pairs LEFT JOIN common ON common.id = pairs.id AND common.ref_no = pairs.ref_no),

@@ -235,7 +235,7 @@ slots AS (SELECT p.step, sl.slot, p.source,
                  CAST(floor({S.uniform_hash(SEED, 'p.step', 'sl.slot')} * p.size) + 1 AS BIGINT) AS "row"
           FROM picked p, (SELECT range AS slot FROM range(4)) sl),
 numbered AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS "row" FROM documents)
-SELECT s.step, s.slot, s.source, n.doc_id FROM slots s JOIN numbered n ON n.source = s.source AND n."row" = s."row"
+SELECT s.step, CAST(s.slot AS INTEGER) AS slot, s.source, n.doc_id FROM slots s JOIN numbered n ON n.source = s.source AND n."row" = s."row"
 """
 
 
