@@ -163,7 +163,8 @@ def matching_rows(specs: DataFrame, cells: DataFrame, meta: DataFrame, last_valu
     rng = anchor.filter(F.col("op").isin(1, 2)).join(
         cells.select("table_id", "col_idx", "row_idx", "num_val", "text_val"), key)
     rng = rng.filter(_holds(F.col("op"), F.col("vnum"), F.col("vtext"), F.col("num_val"), F.col("text_val")))
-    cand = eq_num.unionByName(eq_text).unionByName(rng.select(*cols))
+    # the anchor's rows feed both branches below
+    cand = eq_num.unionByName(eq_text).unionByName(rng.select(*cols)).persist()
     single = cand.filter(F.col("n_conds") == 1).select("spec_id", "table_id", "row_idx")
     # remaining conditions, checked on the anchor's rows only
     multi = cand.filter(F.col("n_conds") > 1).join(
