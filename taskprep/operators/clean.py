@@ -21,7 +21,16 @@ def drop_missing(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def clean_column(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    return df.withColumn(out or col, clean_text(col))
+    """Cleaned text in ``out``. The value comes out of a one-element
+    ``explode``: a later filter on it (the length filter) cannot be pushed below
+    a generator, so the regex chain runs once per row instead of once for the
+    filter and again for the projection."""
+    out = out or col
+    value = F.explode(F.array(clean_text(col))).alias(out)
+    cols = [value if c == out else F.col(c) for c in df.columns]
+    if out not in df.columns:
+        cols.append(value)
+    return df.select(*cols)
 
 
 def min_length(df: DataFrame, col: str, n: int = MIN_CLEAN_LENGTH) -> DataFrame:

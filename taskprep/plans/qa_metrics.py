@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from taskprep.functions.text import normalize_answer
 from taskprep.operators import metrics
 from taskprep.plans import sqltext as S
-from taskprep.session import read_table
+from taskprep.session import read_table, spread
 
 
 def _refs_preds(spark: SparkSession, sf: str):
-    conv = read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    conv = spread(read_table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
     refs = conv.filter(F.col("role") == "user").select(
         F.col("conv_id").alias("id"), F.col("turn").alias("ref_no"), F.col("text").alias("answer_text"))
     preds = conv.filter(F.col("role") == "assistant").select(

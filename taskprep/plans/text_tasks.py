@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from taskprep.operators import clean, tasks
 from taskprep.plans import sqltext as S
-from taskprep.session import read_table
+from taskprep.session import read_table, spread
 
 SEED = 42
 SAMPLE_PER_TASK = 10
 
 
 def _labelled_docs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "source", "text"))
     prepared = clean.prepare_text(docs, "text")
     labels = read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
     return prepared.join(labels, "doc_id")
@@ -70,7 +70,7 @@ GROUP BY s.source, m.majority
 
 def clean_documents(spark: SparkSession, sf: str) -> DataFrame:
     """P1 + F1 + F2: cleaned text of every document and whether it passes the length filter."""
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"))
     c = clean.drop_missing(docs, ["text"]).withColumn("text_clean", F.col("text"))
     c = clean.clean_column(c, "text_clean")
     return c.select("doc_id", "text_clean", (F.char_length("text_clean") >= clean.MIN_CLEAN_LENGTH).alias("keep"))
@@ -85,7 +85,7 @@ FROM documents WHERE text IS NOT NULL AND text NOT IN ({_na_sql()})
 def prepared_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Cleaned content + ``[SEP]`` + raw second field (here the source name);
     the length filter sees only the cleaned content."""
-    docs = read_table(spark, sf, "documents").select("doc_id", "text", "source")
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text", "source"))
     out = clean.prepare_text(docs, "text", extra="source")
     return out.select("doc_id", F.col("text").alias("content"))
 

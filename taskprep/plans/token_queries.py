@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from taskprep.functions import arrays as A
 from taskprep.operators import tokens as TK
 from taskprep.operators import vocab as V
-from taskprep.session import read_table
+from taskprep.session import read_table, spread
 
 MAX_LEN = 32
 WIN_LEN, WIN_STRIDE, Q_TOKENS = 64, 16, 8
@@ -25,8 +25,8 @@ def _words(c):
 
 
 def _token_rows(spark: SparkSession, sf: str) -> DataFrame:
-    d = read_table(spark, sf, "documents").select(F.lit(0).alias("source_no"), F.col("doc_id").alias("row_id"),
-                                                  _words(F.col("text")).alias("w"))
+    d = spread(read_table(spark, sf, "documents").select("doc_id", "text")).select(
+        F.lit(0).alias("source_no"), F.col("doc_id").alias("row_id"), _words(F.col("text")).alias("w"))
     b = read_table(spark, sf, "benchmark").select(F.lit(1).alias("source_no"), F.col("item_id").alias("row_id"),
                                                   _words(F.col("text")).alias("w"))
     return d.unionByName(b).select("source_no", "row_id", F.posexplode("w").alias("pos", "token"))
@@ -88,7 +88,7 @@ def qa_windows(spark: SparkSession, sf: str) -> DataFrame:
     bench = read_table(spark, sf, "benchmark").select("item_id", "text")
     n_items = bench.agg(F.count(F.lit(1)).alias("n_items"))
     q = bench.select("item_id", F.least(F.size(_words(F.col("text"))), F.lit(Q_TOKENS)).alias("q_len"))
-    d = TK.tokenize(docs, "text", "tokens")
+    d = TK.tokenize(spread(docs), "text", "tokens")
     # one-row table: joined on a constant key and broadcast
     d = d.join(F.broadcast(n_items.withColumn("__k", F.lit(0))), F.lit(0) == F.col("__k"))
     d = d.withColumn("item_id", F.col("doc_id") % F.col("n_items")).join(q, "item_id")

@@ -71,3 +71,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: read_table(spark, sf_dir, t) for t in TABLES}
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores before CPU-heavy per-row work when the input
+    comes from fewer files than there are cores (one file is read by one task
+    per row group). Inputs of many files - any large dataset - are left as
+    they are, so no shuffle is added at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
