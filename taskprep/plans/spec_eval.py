@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from taskprep.operators import components as C
 from taskprep.operators import specs as SP
-from taskprep.session import read_table
+from taskprep.session import read_table, spread
 
 HEADERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 TYPES = ["real", "real", "text", "real", "text"]
@@ -32,7 +32,7 @@ def _conds(n, upper) -> F.Column:
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    o = read_table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    o = spread(read_table(spark, sf, "orders").select("o_orderkey", "o_custkey"))
     g = F.struct((F.col("o_orderkey") % 5).cast("int").alias("sel"), (F.col("o_custkey") % 6).cast("int").alias("agg"),
                  _conds(F.col("o_orderkey") % 4, F.lit(False)).alias("conds"))
     # predicted parts, assembled and sorted by column

@@ -166,7 +166,8 @@ FROM tot
 
 def sublist_matches(spark: SparkSession, sf: str) -> DataFrame:
     """Every position of the item's first two words inside its paired document."""
-    docs = read_table(spark, sf, "documents").select("doc_id", _words(F.col("text")).alias("h"))
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text")).select(
+        "doc_id", _words(F.col("text")).alias("h"))
     bench = read_table(spark, sf, "benchmark").select("item_id", F.slice(_words(F.col("text")), 1, 2).alias("needle"))
     n = bench.agg(F.count(F.lit(1)).alias("n_items")).withColumn("__k", F.lit(0))
     d = docs.join(F.broadcast(n), F.lit(0) == F.col("__k")).withColumn("item_id", F.col("doc_id") % F.col("n_items"))
