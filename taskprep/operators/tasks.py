@@ -18,6 +18,7 @@ from taskprep.operators.order import (hex_bucket, join_checked, monotone_bucket,
 TRAIN_ROWS_PER_TASK = 115_000
 TEST_ROWS_PER_TASK = 7_600
 MIX_ALPHA = 0.4
+RANGE_BUCKETS = 4096
 
 
 def union_tasks(parts: Mapping[str, DataFrame] | Sequence[tuple[str, DataFrame]], label: str = "label",
@@ -170,10 +171,15 @@ def mix_tasks(df: DataFrame, task: str, key: str, steps: int, batch: int, seed,
     spark = df.sparkSession
     sizes = df.groupBy(task).agg(F.count(F.lit(1)).alias("size"))
     weights = task_weights(sizes, task, "size", alpha)
-    # task table: one row per task; its size is checked before broadcasting
+    # range join by bucketing: each task's [lo, hi) covers the buckets
+    # floor(lo * B) .. floor(hi * B); the draws join on their bucket (an
+    # equi-join), then the exact range test picks the one task
+    nb = RANGE_BUCKETS
+    ranges = weights.withColumn("bucket", F.explode(F.sequence(
+        F.floor(F.col("lo") * nb).cast("long"), F.least(F.floor(F.col("hi") * nb), F.lit(nb - 1)).cast("long"))))
     draws = spark.range(steps).withColumnRenamed("id", "step").withColumn("u", uniform_hash(seed, "step"))
-    picked = draws.join(F.broadcast(weights.cache()) if weights.count() <= 100_000 else weights,
-                        (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+    draws = draws.withColumn("bucket", F.floor(F.col("u") * nb).cast("long"))
+    picked = draws.join(ranges, "bucket").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
     slots = picked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(batch - 1))))
     slots = slots.withColumn("row", (F.floor(uniform_hash(seed, "step", "slot") * F.col("size")) + 1).cast("long"))
     numbered = ranked(df, [F.col(key)], monotone_bucket(key, isinstance(df.schema[key].dataType, T.NumericType)),
