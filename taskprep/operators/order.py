@@ -84,13 +84,17 @@ def ranked(df: DataFrame, order_cols: Sequence[Column | str], bucket: Column,
 def monotone_bucket(c: str | Column, numeric: bool) -> Column:
     """A coarse bucket that never decreases as the value increases.
 
-    Numbers: sign * floor(log2(|x| + 1)) (about 128 buckets for longs). Strings:
-    the first two UTF-8 bytes (65536 buckets), padded so that prefixes order
-    like the strings they start.
+    Numbers: the power of two of |x| + 1 and 1024 equal steps inside it,
+    signed (about 65 000 buckets over the long range, so a dense key range is
+    never one bucket). Strings: the first two UTF-8 bytes (65536 buckets),
+    padded so that prefixes order like the strings they start.
     """
     x = F.col(c) if isinstance(c, str) else c
     if numeric:
-        return (F.signum(x) * F.floor(F.log2(F.abs(x).cast("double") + 1))).cast("long")
+        a = F.abs(x).cast("double") + 1
+        e = F.floor(F.log2(a))
+        frac = a / F.pow(F.lit(2.0), e) - 1
+        return (F.signum(x) * (e * 1024 + F.least(F.floor(frac * 1024), F.lit(1023)))).cast("long")
     head = F.hex(F.substring(F.encode(x.cast("string"), "UTF-8"), 1, 2))
     return F.conv(F.rpad(head, 4, "0"), 16, 10).cast("long")
 

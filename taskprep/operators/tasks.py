@@ -182,6 +182,7 @@ def mix_tasks(df: DataFrame, task: str, key: str, steps: int, batch: int, seed,
     picked = draws.join(ranges, "bucket").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
     slots = picked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(batch - 1))))
     slots = slots.withColumn("row", (F.floor(uniform_hash(seed, "step", "slot") * F.col("size")) + 1).cast("long"))
-    numbered = ranked(df, [F.col(key)], monotone_bucket(key, isinstance(df.schema[key].dataType, T.NumericType)),
-                      task, name="row")
+    numeric = isinstance(df.schema[key].dataType, T.IntegralType)
+    bucket = width_bucket(key, width) if numeric else monotone_bucket(key, False)
+    numbered = ranked(df, [F.col(key)], bucket, task, name="row")
     return slots.select("step", "slot", task, "row").join(numbered, [task, "row"])
