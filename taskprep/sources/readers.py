@@ -164,3 +164,15 @@ def read_vocab(spark: SparkSession, vocab_path: str, embedding_path: str | None
     vocab = spark.read.parquet(vocab_path)
     emb = spark.read.parquet(embedding_path) if embedding_path else None
     return vocab, emb
+
+
+def read_cells(spark: SparkSession, path: str, table_ids: Sequence[str] | None = None,
+               n_buckets: int = 256) -> DataFrame:
+    """Read a stored cell catalog; with ``table_ids`` only their hash buckets
+    are listed and read (the bucket of a literal id folds to a constant, so
+    the filter prunes partitions)."""
+    cells = spark.read.parquet(path)
+    if table_ids:
+        buckets = [F.pmod(F.xxhash64(F.lit(t)), F.lit(n_buckets)).cast("int") for t in table_ids]
+        cells = cells.filter(F.col("table_bucket").isin(*buckets) & F.col("table_id").isin(*table_ids))
+    return cells.drop("table_bucket")

@@ -111,3 +111,13 @@ def to_nested_qa(questions: DataFrame, tables: DataFrame, version: str = "1.1")
         .alias("paragraph"))
     return para.select(F.lit(version).alias("version"), F.col("table_id").alias("title"),
                        F.array("paragraph").alias("paragraphs"))
+
+
+def write_cells(cells: DataFrame, path: str, n_buckets: int = 256, mode: str = "overwrite") -> None:
+    """Store a cell catalog as parquet partitioned by a hash bucket of
+    ``table_id``, so queries over a set of tables read only their buckets.
+    No shuffle: each task writes the buckets it holds (rows sorted by bucket
+    within the task), so one very large table does not land in one task."""
+    b = F.pmod(F.xxhash64("table_id"), F.lit(n_buckets)).cast("int")
+    (cells.withColumn("table_bucket", b).sortWithinPartitions("table_bucket", "table_id", "col_idx")
+     .write.mode(mode).partitionBy("table_bucket").parquet(path))

@@ -85,3 +85,18 @@ def test_render_and_sort(spark):
         "table_id string, header array<string>, sql struct<sel:int,agg:int,conds:array<struct<col:int,op:int,val:string>>>")
     r = SP.render_spec(SP.sort_conditions(df), "sql").collect()[0]
     assert r.query_text == "SELECT (b) FROM t WHERE a = y AND c > x"
+
+
+def test_stored_cells_roundtrip(spark, catalog):
+    import tempfile
+
+    from taskprep.sources import readers, sinks
+    cells, meta, specs = catalog
+    path = tempfile.mkdtemp(prefix="cells-", dir="/tmp") + "/cells"
+    sinks.write_cells(cells, path, n_buckets=8)
+    back = readers.read_cells(spark, path, ["table_1_2_3"], n_buckets=8)
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(table_bucket" in plan
+    assert sorted(map(tuple, back.select(*cells.columns).collect()), key=repr) == sorted(
+        map(tuple, cells.collect()), key=repr)
+    assert readers.read_cells(spark, path, ["no_such_table"], n_buckets=8).count() == 0
