@@ -51,3 +51,29 @@ def test_vocab_partition_independent(spark):
     a = _rows(V.build_vocab(toks.coalesce(1), min_count=2))
     b = _rows(V.build_vocab(toks.repartition(9), min_count=2))
     assert a == b and len(a) > 0
+
+
+def test_windows_overlap_by_stride_and_cover(spark):
+    from taskprep.operators import tokens as TK
+    rows = [(n, q) for n in (0, 1, 5, 40, 41, 200, 997) for q in (0, 3, 8)]
+    df = spark.createDataFrame(rows, "n int, q int")
+    w = TK.window_context(df, "q", "n", max_len=32, stride=8).collect()
+    by = {}
+    for r in w:
+        by.setdefault((r.n, r.q), []).append((r.window_no, r.ctx_start, r.ctx_len))
+    for (n, q), ws in by.items():
+        ws.sort()
+        room = 32 - q - 3
+        assert all(length <= room for _, _, length in ws)
+        # consecutive windows share exactly `stride` context tokens
+        for (_, s0, l0), (_, s1, _) in zip(ws, ws[1:]):
+            assert s0 + l0 - s1 == 8
+        # the last window reaches the end of the context
+        assert ws[-1][1] + ws[-1][2] == max(n, ws[-1][1] + ws[-1][2]) and ws[-1][1] + ws[-1][2] >= n
+
+
+def test_softmax_sums_to_one(spark):
+    from taskprep.functions import arrays as A
+    df = spark.read.parquet(f"{SF}/embeddings.parquet").select(A.as_double("embedding").alias("v"))
+    sums = [r[0] for r in df.select(F.aggregate(A.softmax("v"), F.lit(0.0), lambda a, x: a + x)).collect()]
+    assert all(abs(s - 1.0) < 1e-9 for s in sums)
