@@ -77,3 +77,17 @@ def test_softmax_sums_to_one(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet").select(A.as_double("embedding").alias("v"))
     sums = [r[0] for r in df.select(F.aggregate(A.softmax("v"), F.lit(0.0), lambda a, x: a + x)).collect()]
     assert all(abs(s - 1.0) < 1e-9 for s in sums)
+
+
+def test_spread_only_for_few_files(spark):
+    import tempfile
+
+    from taskprep.session import spread
+    single = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id")
+    assert "Exchange RoundRobinPartitioning" in spread(single)._jdf.queryExecution().executedPlan().toString()
+    path = tempfile.mkdtemp(prefix="many-", dir="/tmp") + "/t"
+    n = spark.sparkContext.defaultParallelism * 2
+    spark.range(1000).repartition(n).write.parquet(path)
+    many = spark.read.parquet(path)
+    assert len(many.inputFiles()) >= n
+    assert "RoundRobinPartitioning" not in spread(many)._jdf.queryExecution().executedPlan().toString()
