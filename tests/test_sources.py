@@ -96,3 +96,17 @@ def test_sinks(spark, tmp):
         "0\t1.235", "1\t2.000"]
     rep = spark.createDataFrame([("b", 2.0), ("a", 1.0)], "key string, value double")
     assert [r.value for r in sinks.report_lines(rep).collect()] == ["a = 1.0", "b = 2.0"]
+
+
+def test_qa_outputs_with_prefix(spark, tmp):
+    best = spark.createDataFrame([("e1", "abc")], "example_id string, prediction_text string")
+    nb = spark.createDataFrame([("e1", 1, "x", 0.2, 0.1, 0.1), ("e1", 0, "abc", 0.8, 1.0, 2.0)],
+                               "example_id string, rank int, text string, probability double, start_logit double, "
+                               "end_logit double")
+    odds = spark.createDataFrame([("e1", -1.5)], "example_id string, score_diff double")
+    sinks.write_qa_outputs(best, nb, tmp, null_odds=odds, prefix="eval")
+    names = sorted(os.listdir(tmp))
+    assert names == ["nbest_predictions_eval", "null_odds_eval", "predictions_eval"]
+    rec = [json.loads(l) for fn in os.listdir(os.path.join(tmp, "nbest_predictions_eval")) if fn.endswith(".json")
+           for l in open(os.path.join(tmp, "nbest_predictions_eval", fn))][0]
+    assert [e["text"] for e in rec["nbest"]] == ["abc", "x"]
