@@ -110,3 +110,14 @@ def test_qa_outputs_with_prefix(spark, tmp):
     rec = [json.loads(l) for fn in os.listdir(os.path.join(tmp, "nbest_predictions_eval")) if fn.endswith(".json")
            for l in open(os.path.join(tmp, "nbest_predictions_eval", fn))][0]
     assert [e["text"] for e in rec["nbest"]] == ["abc", "x"]
+
+
+def test_nested_export_keeps_tables_without_questions(spark):
+    tables = spark.createDataFrame([("t1", ["a", "b"]), ("t2", ["c"])], "id string, header array<string>")
+    qs = spark.createDataFrame([("t1", 5, "second?", []), ("t1", 2, "first?", [])],
+                               "table_id string, pos long, question string, "
+                               "answers array<struct<text:string,answer_start:int>>")
+    out = {r.title: r for r in sinks.to_nested_qa(qs, tables).collect()}
+    t1 = out["t1"].paragraphs[0]
+    assert t1.context == "a b" and [(q.id, q.question) for q in t1.qas] == [("t1-0", "first?"), ("t1-1", "second?")]
+    assert out["t2"].paragraphs[0].qas == [] and out["t2"].version == "1.1"
