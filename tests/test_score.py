@@ -34,3 +34,14 @@ def test_align_and_components(spark):
     assert (f.sc, f.sa, f.wn, f.wc, f.wo, f.wv, f.lx) == (1, 1, 1, 1, 1, 1, 1)
     a = components.align_conditions(df).collect()[0].p_aligned
     assert [c.col for c in a] == [2, 0]
+
+
+def test_map_batches_and_evaluate(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(10)], "id long, x double")
+    doubled = score.map_batches(df, lambda p: p.assign(y=p["x"] * 2)[["id", "y"]], "id long, y double")
+    assert sorted(r.y for r in doubled.collect()) == [2.0 * i for i in range(10)]
+    from pyspark.sql import functions as F
+    m = score.evaluate(doubled, lambda d: d.withColumn("ok", F.col("y") >= 10),
+                       lambda d: d.agg(F.avg(F.col("ok").cast("double")).alias("accuracy")))
+    r = m.collect()[0]
+    assert m.columns == ["eval_accuracy"] and r.eval_accuracy == 0.5
