@@ -4,8 +4,6 @@ All in-row array work or keyed windows; no driver loops."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 

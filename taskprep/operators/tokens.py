@@ -1,14 +1,13 @@
 """Token, window and sequence operators.
 
-Tokens with character offsets come from a small Arrow-batched pandas UDF
-(a regex scan per text: offsets need a left-to-right pass that built-in
-array functions can only do in quadratic time). Everything after that is
-built-in array work or explode/join.
+Tokens with character offsets come from ``mapInArrow`` (a regex scan per
+text written straight into Arrow arrays: offsets need a left-to-right pass
+that built-in array functions can only do in quadratic time). Everything
+after that is built-in array work, ``aggregate`` folds or explode/join.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
