@@ -60,3 +60,12 @@ def test_mix_tasks_weights(spark):
     assert abs(p["a"] - 100 ** 0.4 / (100 ** 0.4 + 1)) < 1e-12
     mixed = tasks.mix_tasks(_docs(spark, 100, 4), "grp", "doc_id", steps=50, batch=3, seed=1)
     assert mixed.count() == 150
+
+
+def test_head_rows_and_shuffle_head(spark):
+    df = spark.createDataFrame([(i, i * 7 % 101) for i in range(300)], "pos long, v long").repartition(5)
+    head = sorted(r.pos for r in tasks.head_rows(df, 40, "pos").collect())
+    assert head == list(range(40))
+    a = {r.pos for r in tasks.shuffle_head(df, 25, 3, "pos").collect()}
+    b = {r.pos for r in tasks.shuffle_head(df.coalesce(1), 25, 3, "pos").collect()}
+    assert a == b and len(a) == 25
