@@ -3,8 +3,8 @@
 Every rule looks at counts of one document and votes good (1), bad (0) or
 abstains (-1). Documents are counted by vote pattern (at most 3 ** rules rows,
 whatever the input), and expectation-maximisation over those counts estimates
-the share of good documents and each rule's accuracy, rules being taken as
-independent given the class. A document's posterior probability of being good
+the share of good documents and each rule's accuracy in either class, rules
+being taken as independent given the class. A document's posterior probability of being good
 replaces the all-must-pass filter. Built-in functions only, all texts whole.
 
 Defined cases: a null or empty text has no words and fails the base rule; a
@@ -27,8 +27,8 @@ WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PCT = 20, 30
 SYMBOLS = "#*$%&|<>"
 ITERATIONS = 40
-#: start values of the fit, and the weight of that belief in documents
-PRIOR, ACCURACY, BELIEF = 0.85, 0.8, 20.0
+#: start values of the fit (share of good documents; rate of bad votes by class), and their weight in documents
+PRIOR, DOWN, BELIEF = 0.85, {"good": 0.02, "bad": 0.4}, 20.0
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -97,36 +97,50 @@ def rule_votes(c: Column) -> Column:
         vote(n, lambda x: x >= 50, lambda x: x < MIN_WORDS),
         vote(F.try_divide(c["word_chars"], n), lambda x: x.between(3, 10), lambda x: (x < 2) | (x > 14)),
         low(c["n_symbols"], n, 0.02, 0.1),
-        low(c["lines"]["n_dup"], c["lines"]["n_lines"], 0.1, 0.3),
-        low(c["n_repeat_words"], n, 0.05, 0.2),
+        low(c["lines"]["n_dup"], F.when(c["lines"]["n_lines"] >= 5, c["lines"]["n_lines"]), 0.1, 0.4),
+        low(c["n_repeat_words"], n, 0.1, 0.25),
         low(c["n_upper"], c["n_letters"], 0.2, 0.5),
         low(c["n_marks"], n, 0.05, 0.3),
-        vote(F.try_divide(c["n_letters"], c["word_chars"]), lambda x: x >= 0.8, lambda x: x < 0.6),
+        vote(F.when(n >= 100, F.try_divide(c["n_letters"], c["word_chars"])), lambda x: x >= 0.92, lambda x: x < 0.88),
         vote(F.try_divide(c["n_distinct"], n), lambda x: (n >= 50) & (x >= 0.3), lambda x: (n >= 50) & (x < 0.15)))
 
 
-def posterior(votes: str, prior: str, acc: str) -> str:
+def likelihood(votes: str, down: str) -> str:
+    """SQL: probability of the cast votes in a class whose rules vote bad at these rates; an abstention says nothing."""
+    one = "CASE v WHEN 1 THEN 1 - d WHEN 0 THEN d ELSE 1D END"
+    return f"aggregate(zip_with({votes}, {down}, (v, d) -> {one}), 1D, (p, x) -> p * x)"
+
+
+def posterior(votes: str, fit: str) -> str:
     """SQL: probability that a document with these votes is good."""
-    def side(agree: int) -> str:
-        return (f"aggregate(zip_with({votes}, {acc}, (v, a) -> CASE v WHEN {agree} THEN a WHEN {1 - agree} THEN 1 - a ELSE 1D END), "
-                "1D, (p, x) -> p * x)")
-    return f"({prior} * {side(1)} / ({prior} * {side(1)} + (1 - {prior}) * {side(0)}))"
+    good, bad = likelihood(votes, f"{fit}.good"), likelihood(votes, f"{fit}.bad")
+    return f"({fit}.prior * {good} / ({fit}.prior * {good} + (1 - {fit}.prior) * {bad}))"
 
 
 def fit_rules(votes: DataFrame) -> DataFrame:
-    """One row (prior, acc): EM over the counts of vote patterns, as one fold over the iterations."""
+    """One row ``fit`` (prior, good, bad): EM over the counts of vote patterns, as one fold over the iterations.
+
+    ``good`` and ``bad`` hold, for each rule, how often it votes bad when it
+    votes on a good or a bad document: one minus its accuracy on the first, its
+    accuracy on the second. A rule is never taken for worse than chance: the
+    bad class votes bad at least as often. Null for an empty table.
+    """
     patterns = votes.groupBy("votes").agg(F.count(F.lit(1)).cast("double").alias("n"))
     table = patterns.agg(F.array_sort(F.collect_list(F.struct("votes", "n"))).alias("pats"))  # <= 3 ** rules entries
-    rules = f"array_repeat({ACCURACY}D, coalesce(size(pats[0].votes), 0))"
-    scored = f"transform(pats, p -> struct(p.votes AS votes, p.n AS n, {posterior('p.votes', 's.prior', 's.acc')} AS q))"
-    total = "(q, f) -> q + f"
-    prior = f"(aggregate(transform(sc, p -> p.n * p.q), 0D, {total}) + {PRIOR * BELIEF}D) / (aggregate(transform(sc, p -> p.n), 0D, {total}) + {BELIEF}D)"
-    right = "CASE p.votes[j] WHEN 1 THEN p.n * p.q WHEN 0 THEN p.n * (1 - p.q) ELSE 0D END"
-    cast = "CASE WHEN p.votes[j] >= 0 THEN p.n ELSE 0D END"
-    acc = (f"transform(sequence(0, size(s.acc) - 1), j -> greatest(0.55D, least(0.995D, "
-           f"(aggregate(transform(sc, p -> {right}), 0D, {total}) + {ACCURACY * BELIEF}D) / (aggregate(transform(sc, p -> {cast}), 0D, {total}) + {BELIEF}D))))")
-    step = f"transform(array({scored}), sc -> struct({prior} AS prior, {acc} AS acc))[0]"
-    fit = f"aggregate(sequence(1, {ITERATIONS}), struct({PRIOR}D AS prior, {rules} AS acc), (s, it) -> {step})"
+    start = {k: f"array_repeat({down}D, coalesce(size(pats[0].votes), 0))" for k, down in DOWN.items()}
+    scored = f"transform(pats, p -> struct(p.votes AS votes, p.n AS n, p.n * {posterior('p.votes', 's')} AS g))"
+
+    def total(x: str) -> str:
+        return f"aggregate(transform(sc, p -> {x}), 0D, (q, f) -> q + f)"
+
+    def rate(cls: str, of: str) -> str:
+        cast, down = (total(f"IF(p.votes[j] {cond}, {of}, 0D)") for cond in (">= 0", "= 0"))
+        return f"transform(sequence(0, size(s.{cls}) - 1), j -> ({down} + {DOWN[cls] * BELIEF}D) / ({cast} + {BELIEF}D))"
+
+    prior = f"(({total('p.g')} + {PRIOR * BELIEF}D) / ({total('p.n')} + {BELIEF}D))"
+    step = (f"transform(transform(array({scored}), sc -> struct({prior} AS prior, {rate('good', 'p.g')} AS good, {rate('bad', '(p.n - p.g)')} AS bad)), "
+            "n -> struct(n.prior AS prior, n.good AS good, zip_with(n.bad, n.good, (x, y) -> greatest(x, y)) AS bad))[0]")
+    fit = f"aggregate(sequence(1, {ITERATIONS}), struct({PRIOR}D AS prior, {start['good']} AS good, {start['bad']} AS bad), (s, it) -> {step})"
     return table.select(F.expr(f"CASE WHEN size(pats) > 0 THEN {fit} END").alias("fit"))
 
 
@@ -146,7 +160,7 @@ def judge_quality(docs: DataFrame, *, text: str = "text") -> DataFrame:
     q = F.col(name)
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PCT * q["n_words"])
     held = counted.withColumn(name, q.withField("fit", fit).withField("base_failed", failed))
-    held = held.withColumn(name, q.withField("p_good", F.expr(posterior(f"{name}.votes", f"{name}.fit.prior", f"{name}.fit.acc"))))
+    held = held.withColumn(name, q.withField("p_good", F.expr(posterior(f"{name}.votes", f"{name}.fit"))))
     return held.withColumn(name, q.withField("kept", ~q["base_failed"] & (q["p_good"] >= 0.5)).dropFields("fit"))
 
 
