@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from taskprep.llm import mixing, quality
+from taskprep.llm import decontaminate, katz, langid, lines, minhash, mixing, quality, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
+    "op2_minhash_dedup": minhash.op2_minhash_dedup,
     "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op7_line_dedup": lines.op7_line_dedup,
+    "op8_katz_scores": katz.op8_katz_scores,
     "op9_quality_rules": quality.op9_quality_rules,
+    "op10_language_id": langid.op10_language_id,
 }
 ORACLE = {
     "op5_mix_sources": mixing.ORACLE,
+    "op6_decontaminate": decontaminate.ORACLE,
 }
