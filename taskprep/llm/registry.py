@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from taskprep.llm import decontaminate, katz, langid, lines, minhash, mixing, quality, token_counts
+from taskprep.llm import decontaminate, katz, langid, lines, minhash, mixing, passages, quality, substrings, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_minhash_dedup": minhash.op2_minhash_dedup,
+    "op3_substring_dedup": substrings.op3_substring_dedup,
+    "op4_fuzzy_passages": passages.op4_fuzzy_passages,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_line_dedup": lines.op7_line_dedup,
