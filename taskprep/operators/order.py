@@ -4,11 +4,11 @@ Several operators need a position in a global (or per-group) order: exact
 fixed-size samples, train/validation splits, batch numbers, dense vocabulary
 ids. None of them funnels the data through one task:
 
-* the order key is bucketed monotonically (a prefix of a seeded md5, or
-  ``floor(pos / width)``);
-* rows are counted per (group, bucket) with map-side partial aggregation;
-* running offsets are taken over that small count table;
-* ``row_number`` runs only inside (group, bucket) partitions.
+* :func:`ranked` range-partitions the rows by (group, order), numbers them
+  where they lie, and adds the rows before each (group, partition), a table of
+  at most one row a group and one a partition, whatever the keys look like;
+* :func:`prefix_rows` buckets a seeded md5 by its first hex digits (a fixed
+  number of buckets) and ranks only the bucket in which the cut falls.
 
 A seeded md5 of the key gives the same order in Spark and in DuckDB, which
 is what makes the sampling operators checkable against an SQL oracle.
@@ -21,8 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Largest side we broadcast after counting it; beyond it a shuffle join is used.
-BROADCAST_ROW_LIMIT = 2_000_000
+from taskprep.session import cut_lineage
+
 # Hex characters of the md5 used as a bucket: 16**4 = 65536 buckets.
 HASH_BUCKET_CHARS = 4
 
@@ -41,67 +41,36 @@ def hex_bucket(hex_col: str | Column, chars: int = HASH_BUCKET_CHARS) -> Column:
     return F.conv(F.substring(c, 1, chars), 16, 10).cast("long")
 
 
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner",
-                 limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Join, broadcasting ``small`` only when its counted size is under ``limit``."""
-    small = small.cache()
-    n = small.count()
-    side = F.broadcast(small) if n <= limit else small
-    return big.join(side, on, how)
-
-
 def _cols(by: Sequence[str] | str | None) -> list[str]:
     if by is None:
         return []
     return [by] if isinstance(by, str) else list(by)
 
 
-def ranked(df: DataFrame, order_cols: Sequence[Column | str], bucket: Column,
-           by: Sequence[str] | str | None = None, name: str = "rn") -> DataFrame:
+def ranked(df: DataFrame, order_cols: Sequence[Column | str], by: Sequence[str] | str | None = None,
+           name: str = "rn") -> DataFrame:
     """Add ``name`` = 1-based position of each row in ``order_cols`` within ``by``.
 
-    ``bucket`` must be monotone non-decreasing in ``order_cols``. One shuffle of
-    the data (on group, bucket); the offset table holds one row per
-    (group, bucket). Without groups it is bounded by the bucket count and is
-    broadcast.
+    One range shuffle on (group, order): bounds come from sampled quantiles, so
+    sparse ids, common-prefix strings and hot groups all spread evenly. The
+    sorted rows are written once with their partition and running number; a
+    group's rows are consecutive in a partition, so the first number and the
+    count of each (group, partition) place every row, without a window over
+    the data.
     """
     by = _cols(by)
-    b = "__bucket"
-    keyed = df.withColumn(b, bucket)
-    counts = keyed.groupBy(*by, b).agg(F.count(F.lit(1)).alias("__cnt"))
-    before = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, b, F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"))
-    if not by:
-        joined = keyed.join(F.broadcast(offsets), [b])
-    else:
-        # one row per (group, bucket): AQE turns this into a broadcast when the
-        # measured size allows it; the window below reuses the join's partitioning
-        joined = keyed.join(offsets, [*by, b])
-    w = Window.partitionBy(*by, b).orderBy(*order_cols)
-    return joined.withColumn(name, F.col("__off") + F.row_number().over(w)).drop(b, "__off")
-
-
-def monotone_bucket(c: str | Column, numeric: bool) -> Column:
-    """A coarse bucket that never decreases as the value increases.
-
-    Numbers: the power of two of |x| + 1 and 1024 equal steps inside it,
-    signed (about 65 000 buckets over the long range, so a dense key range is
-    never one bucket). Strings: the first two UTF-8 bytes (65536 buckets),
-    padded so that prefixes order like the strings they start.
-    """
-    x = F.col(c) if isinstance(c, str) else c
-    if numeric:
-        a = F.abs(x).cast("double") + 1
-        e = F.floor(F.log2(a))
-        frac = a / F.pow(F.lit(2.0), e) - 1
-        return (F.signum(x) * (e * 1024 + F.least(F.floor(frac * 1024), F.lit(1023)))).cast("long")
-    head = F.hex(F.substring(F.encode(x.cast("string"), "UTF-8"), 1, 2))
-    return F.conv(F.rpad(head, 4, "0"), 16, 10).cast("long")
-
-
-def width_bucket(c: str | Column, width: int) -> Column:
-    x = F.col(c) if isinstance(c, str) else c
-    return F.floor(x / F.lit(width)).cast("long")
+    keys = [F.col(c) for c in by] + [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    laid = cut_lineage(laid.withColumn("__part", F.spark_partition_id()).withColumn("__idx", F.monotonically_increasing_id()))
+    counts = laid.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__cnt"), F.min("__idx").alias("__first"))
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(before), F.lit(0)) - F.col("__first") + 1)
+    named = offsets.select(*[F.col(c).alias(f"__g{i}") for i, c in enumerate(by)], F.col("__part").alias("__p"), "__off")
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__g{i}"))
+    return laid.join(named, same).withColumn(name, F.col("__off") + F.col("__idx")).select(*df.columns, name)
 
 
 def prefix_rows(df: DataFrame, order_cols: Sequence[str | Column], bucket: Column, limit: Column,
@@ -138,11 +107,11 @@ def prefix_rows(df: DataFrame, order_cols: Sequence[str | Column], bucket: Colum
         F.max(F.when(off + cnt <= lim_c, F.col(b))).alias("__last_full"),
         F.max(F.when(at_cut, F.col(b))).alias("__cut"), F.max(F.when(at_cut, off)).alias("__off"))
     if by:
-        joined = join_checked(keyed, groups, by)
+        joined = keyed.join(groups, by)
     else:
-        # a single group: one row, joined on a constant key and broadcast
-        one = "__one"
-        joined = keyed.withColumn(one, F.lit(0)).join(F.broadcast(groups.withColumn(one, F.lit(0))), one).drop(one)
+        # a single group: one row, taken as scalar values
+        held = groups.select(F.struct(*groups.columns).alias("__s")).scalar()
+        joined = keyed.withColumn("__s", held).select("*", "__s.*").drop("__s")
     lim, off, cutb, full = F.col("__lim"), F.col("__off"), F.col("__cut"), F.col("__last_full")
     certain_in = full.isNotNull() & (F.col(b) <= full)
     boundary = cutb.isNotNull() & (F.col(b) == cutb)

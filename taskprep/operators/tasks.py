@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taskprep.operators.order import (hex_bucket, join_checked, monotone_bucket, prefix_rows, ranked,
-                                      seeded_hash, width_bucket)
+from taskprep.operators.order import hex_bucket, prefix_rows, ranked, seeded_hash
 
 # Sizes of the original text-classification flow.
 TRAIN_ROWS_PER_TASK = 115_000
@@ -42,6 +41,14 @@ def union_tasks(parts: Mapping[str, DataFrame] | Sequence[tuple[str, DataFrame]]
     return out
 
 
+def as_tasks(df: DataFrame, column: str) -> DataFrame:
+    """Every value of ``column`` is a task: adds ``task`` and its number in name
+    order (rows without a value belong to none), reading the rows once."""
+    named = df.filter(F.col(column).isNotNull()).withColumn("task", F.col(column))
+    numbers = named.select("task").distinct().withColumn("task_no", F.row_number().over(Window.orderBy("task")) - 1)
+    return named.join(numbers, "task")
+
+
 def class_offsets(task_classes: DataFrame, order: str = "task_no", n: str = "n_classes") -> DataFrame:
     """``offset`` = sum of class counts of all earlier tasks (one row per task)."""
     w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
@@ -51,12 +58,12 @@ def class_offsets(task_classes: DataFrame, order: str = "task_no", n: str = "n_c
 def offset_labels(df: DataFrame, task: str, label: str, out: str = "label_offset") -> DataFrame:
     """Disjoint label ranges by data: classes per task are the observed distinct
     labels, tasks ordered by name, offsets = running sum of earlier class counts.
-    The per-task table has one row per task and is joined back by a checked
-    broadcast."""
+    The per-task table has one row per task; the planner broadcasts it by its
+    size."""
     per_task = (df.groupBy(task).agg(F.countDistinct(label).alias("n_classes"))
                 .withColumn("task_no", F.dense_rank().over(Window.orderBy(task)) - 1))
     offs = class_offsets(per_task).select(task, "task_no", "n_classes", "offset")
-    return join_checked(df, offs, task).withColumn(out, F.col(label) + F.col("offset"))
+    return df.join(offs, task).withColumn(out, F.col(label) + F.col("offset"))
 
 
 def label_index(df: DataFrame, label: str = "label", out: str = "label_id") -> DataFrame:
@@ -67,11 +74,10 @@ def label_index(df: DataFrame, label: str = "label", out: str = "label_id") -> D
     dtype = df.schema[label].dataType
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
         return df.withColumn(out, F.col(label))
-    numeric = isinstance(dtype, T.NumericType)
     distinct = df.select(label).where(F.col(label).isNotNull()).distinct()
-    idx = ranked(distinct, [F.col(label)], monotone_bucket(label, numeric), name="__r")
+    idx = ranked(distinct, [label], name="__r")
     idx = idx.select(label, (F.col("__r") - 1).cast("int").alias(out))
-    return join_checked(df, idx, label, "left")
+    return df.join(idx, label, "left")
 
 
 def label_set(df: DataFrame, label: str = "label") -> DataFrame:
@@ -121,25 +127,26 @@ def train_test_split(df: DataFrame, frac: float, seed, key: Sequence[str] | str,
             .drop("__val", "__h"))
 
 
-def head_rows(df: DataFrame, n: int, pos: str, width: int = 1 << 16) -> DataFrame:
-    """The first ``n`` rows by an explicit position column (toy subsets)."""
-    return prefix_rows(df, [F.col(pos)], width_bucket(pos, width), F.lit(n))
+def head_rows(df: DataFrame, n: int, pos: str) -> DataFrame:
+    """The first ``n`` rows by an explicit position column (toy subsets): every
+    task keeps its own first ``n`` before they meet."""
+    return df.orderBy(pos).limit(n)
 
 
 def assign_batches(df: DataFrame, size: int, order: Sequence[str] | str | None = None, seed=None,
                    key: Sequence[str] | str | None = None, by: Sequence[str] | str | None = None,
-                   width: int = 1 << 16, out: str = "batch") -> DataFrame:
+                   out: str = "batch") -> DataFrame:
     """Batch number = floor((position - 1) / size), last batch kept short.
 
     In order (``order`` = position column) or shuffled (``seed`` + ``key``).
-    Positions come from :func:`ranked`: one shuffle on (group, bucket)."""
+    Positions come from :func:`ranked`: one range shuffle."""
     if seed is not None:
         h, keys = _hash_cols(df, seed, key)
-        r = ranked(h, [F.col("__h"), *[F.col(k) for k in keys]], hex_bucket("__h"), by, name="__pos")
+        r = ranked(h, ["__h", *keys], by, name="__pos")
         r = r.drop("__h")
     else:
         cols = [order] if isinstance(order, str) else list(order)
-        r = ranked(df, [F.col(c) for c in cols], width_bucket(cols[0], width), by, name="__pos")
+        r = ranked(df, cols, by, name="__pos")
     return (r.withColumn(out, F.floor((F.col("__pos") - 1) / F.lit(size)).cast("long"))
             .withColumnRenamed("__pos", "position"))
 
@@ -155,12 +162,13 @@ def task_weights(sizes: DataFrame, task: str = "task", size: str = "size", alpha
     tot = Window.partitionBy()
     order = Window.orderBy(task).rowsBetween(Window.unboundedPreceding, 0)
     w = w.withColumn("p", F.col("weight") / F.sum("weight").over(tot))
-    w = w.withColumn("hi", F.sum("p").over(order))
-    return w.withColumn("lo", F.col("hi") - F.col("p"))
+    # ranges share their borders and the last one ends at 1, so every draw falls into one
+    running, last = F.sum("p").over(order), F.lead("p").over(Window.orderBy(task)).isNull()
+    w = w.withColumn("hi", F.when(last, F.lit(1.0)).otherwise(running))
+    return w.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy(task)), F.lit(0.0)))
 
 
-def mix_tasks(df: DataFrame, task: str, key: str, steps: int, batch: int, seed, alpha: float = MIX_ALPHA,
-              width: int = 1 << 16) -> DataFrame:
+def mix_tasks(df: DataFrame, task: str, key: str, steps: int, batch: int, seed, alpha: float = MIX_ALPHA) -> DataFrame:
     """Temperature-weighted task mixing.
 
     Each step draws one task with probability proportional to size^alpha and
@@ -182,7 +190,5 @@ def mix_tasks(df: DataFrame, task: str, key: str, steps: int, batch: int, seed,
     picked = draws.join(ranges, "bucket").filter((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
     slots = picked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(batch - 1))))
     slots = slots.withColumn("row", (F.floor(uniform_hash(seed, "step", "slot") * F.col("size")) + 1).cast("long"))
-    numeric = isinstance(df.schema[key].dataType, T.IntegralType)
-    bucket = width_bucket(key, width) if numeric else monotone_bucket(key, False)
-    numbered = ranked(df, [F.col(key)], bucket, task, name="row")
+    numbered = ranked(df, [key], task, name="row")
     return slots.select("step", "slot", task, "row").join(numbered, [task, "row"])

@@ -12,24 +12,15 @@ FIRST_ID = 3
 
 
 def build_vocab(tokens: DataFrame, embedded: DataFrame | None = None, source: str = "source_no",
-                row: str = "row_id", pos: str = "pos", token: str = "token",
-                min_count: int | None = None) -> DataFrame:
+                row: str = "row_id", pos: str = "pos", token: str = "token") -> DataFrame:
     """tokens: one row per token occurrence with (source, row, pos) giving the
     reading order. Returns (token, id, n). One partial aggregation per token,
-    then a bucketed global rank (no single-task sort). ``embedded`` keeps only
-    tokens present in an embedding table (semi-join); ``min_count`` keeps only
-    tokens seen that often (from the same aggregation)."""
+    then a range-partitioned global rank (no single-task sort). ``embedded`` keeps only
+    tokens present in an embedding table (semi-join)."""
     first = tokens.groupBy(token).agg(
         F.min(F.struct(F.col(source).alias("s"), F.col(row).alias("r"), F.col(pos).alias("p"))).alias("first"),
         F.count(F.lit(1)).alias("n"))
-    if min_count is not None:
-        first = first.filter(F.col("n") >= min_count)
     if embedded is not None:
         first = first.join(embedded.select(token).distinct(), token, "left_semi")
-    bucket = (F.col("first.s").cast("long") * F.lit(1 << 40) + F.floor(F.col("first.r") / 256)).cast("long")
-    r = ranked(first, [F.col("first")], bucket, name="__rank")
+    r = ranked(first, ["first"], name="__rank")
     return r.select(token, (F.col("__rank") + FIRST_ID - 1).cast("int").alias("id"), "n")
-
-
-def total_tokens(tokens: DataFrame) -> DataFrame:
-    return tokens.agg(F.count(F.lit(1)).alias("total_tokens"))

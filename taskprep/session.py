@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,7 +30,7 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("TASKPREP_DRIVER_MEM", "16g"))
+        .config("spark.driver.memory", os.environ.get("TASKPREP_DRIVER_MEM", "8g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -40,8 +41,9 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    ``spark.checkpoint.dir`` is read from the session. Only when it is unset
-    (local runs, tests) a scratch folder is created for it.
+    ``spark.checkpoint.dir`` is read from the session. Where it is unset a
+    scratch folder is made for local runs and tests only; on a cluster, whose
+    executors don't share local folders, that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -49,6 +51,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="taskprep-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", conf)
     sc.setCheckpointDir(conf)
@@ -73,12 +77,18 @@ def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: read_table(spark, sf_dir, t) for t in TABLES}
 
 
+# Inputs up to this many estimated bytes a core are spread over the cores.
+SPREAD_BYTES_PER_CORE = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over all cores before CPU-heavy per-row work when the input
-    comes from fewer files than there are cores (one file is read by one task
-    per row group). Inputs of many files - any large dataset - are left as
-    they are, so no shuffle is added at scale."""
+    """Spread a small input over all cores before CPU-heavy per-row work.
+
+    A table of one row group is read by one task. The planner's size estimate
+    decides: only inputs of at most one ordinary file split a core are dealt
+    out, a shuffle of bounded size; larger ones already have a split for every
+    core and are left alone, however few their files.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size <= cores * SPREAD_BYTES_PER_CORE else df
