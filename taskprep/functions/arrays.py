@@ -114,10 +114,10 @@ def decode_pointers(step_scores, end_id: int) -> Column:
 
 
 def pad(arr, n: int, value=0) -> Column:
-    """Right-pad with ``value`` to length n (longer arrays cut to n)."""
+    """Right-pad with ``value`` to length n; null for a longer array, which
+    is an error of the row (cut it before, as ``encode`` does)."""
     a = _c(arr)
-    padded = F.concat(a, F.array_repeat(F.lit(value), F.greatest(F.lit(n) - F.size(a), F.lit(0))))
-    return F.slice(padded, 1, n)
+    return F.when(F.size(a) <= n, F.concat(a, F.array_repeat(F.lit(value), F.greatest(F.lit(n) - F.size(a), F.lit(0)))))
 
 
 def attention_mask(arr) -> Column:

@@ -72,11 +72,12 @@ def is_missing(c) -> Column:
 
 def coerce_number(c) -> Column:
     """Number text -> double: ``1,234.5`` style first, else the first numeric
-    substring, else null (the caller keeps the text)."""
+    substring, else null (the caller keeps the text). Texts without a digit,
+    such as ``nan`` or ``infinity``, are no numbers."""
     s = _c(c).cast("string")
     first = F.regexp_extract(s, NUMBER_PATTERN, 0)
     return F.coalesce(
-        F.replace(s, F.lit(","), F.lit("")).try_cast("double"),
+        F.when(s.rlike(r"^\s*[+-]?[\d.,]+([eE][+-]?\d+)?\s*$"), F.replace(s, F.lit(","), F.lit(""))).try_cast("double"),
         F.when(first != "", first).try_cast("double"),
     )
 

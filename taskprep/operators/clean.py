@@ -51,20 +51,30 @@ def prepare_text(df: DataFrame, text: str = "content", extra: str | None = None,
     return out
 
 
-KNOWN_TEXT_COLUMNS = (("sentence1", "sentence2"), ("sentence", None), ("premise", "hypothesis"),
-                      ("question", "sentence"), ("question1", "question2"), ("question", "passage"))
-
-
-def resolve_columns(columns: Sequence[str], label: str = "label") -> tuple[str, str | None]:
-    """Pick the text column(s) by known name pairs, else by position (first two
-    non-label columns, second only if present)."""
+# Text columns of each named task.
+TASK_TEXT_COLUMNS = {
+    "cola": ("sentence", None),
+    "mnli": ("premise", "hypothesis"),
+    "mrpc": ("sentence1", "sentence2"),
+    "qnli": ("question", "sentence"),
+    "qqp": ("question1", "question2"),
+    "rte": ("sentence1", "sentence2"),
+    "sst2": ("sentence", None),
+    "stsb": ("sentence1", "sentence2"),
+    "wnli": ("sentence1", "sentence2"),
+}
+
+
+def resolve_columns(columns: Sequence[str], label: str = "label", task: str | None = None) -> tuple[str, str | None]:
+    """The text column(s): those of the named task; without a task name
+    ``sentence1`` and ``sentence2`` if both are there, else the first two
+    columns besides the label (the second only if present)."""
+    if task is not None:
+        return TASK_TEXT_COLUMNS[task]
     cols = [c for c in columns if c != label]
-    for a, b in KNOWN_TEXT_COLUMNS:
-        if a in cols and (b is None or b in cols):
-            return a, b
-    if len(cols) >= 2:
-        return cols[0], cols[1]
-    return cols[0], None
+    if {"sentence1", "sentence2"} <= set(cols):
+        return "sentence1", "sentence2"
+    return cols[0], cols[1] if len(cols) > 1 else None
 
 
 def select_model_columns(df: DataFrame, accepted: Sequence[str]) -> DataFrame:

@@ -35,12 +35,13 @@ def read_reviews(spark: SparkSession, path: str, corpus: str) -> DataFrame:
 
 
 def read_labelled_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``label<TAB>text`` lines; undecodable bytes dropped; the text keeps
-    its line end (``\\n`` appended back after the line split)."""
+    """``label<TAB>text`` lines; undecodable bytes dropped. The text is the
+    second field alone and keeps its line end only where it is the last field."""
     raw = spark.read.text(path, wholetext=False)
-    parts = F.split(F.regexp_replace("value", "�", ""), "\t", 2)
-    return raw.select(F.element_at(parts, 1).cast("int").alias("label"),
-                      F.concat(F.element_at(parts, 2), F.lit("\n")).alias("text"))
+    parts = F.split(F.regexp_replace("value", "�", ""), "\t")
+    second = F.get(parts, F.lit(1))
+    return raw.select(F.get(parts, F.lit(0)).try_cast("int").alias("label"),
+                      F.when(F.size(parts) == 2, F.concat(second, F.lit("\n"))).otherwise(second).alias("text"))
 
 
 def read_csv_splits(spark: SparkSession, files: Mapping[str, str | Sequence[str]], sep: str = ",",
@@ -117,14 +118,17 @@ TABLE_SCHEMA = T.StructType([
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """Question JSON lines; the mixed ``[col, op, value]`` condition arrays
-    are read as strings and typed into structs; ``pos`` keeps the file order."""
+    are read as strings and typed into structs (a condition that lacks a part
+    or a number keeps its row, with nulls in place); ``pos`` orders the rows as
+    they stand in the files: by file name, block and line."""
     q = spark.read.schema(QUESTION_SCHEMA).json(path)
     conds = F.transform("sql.conds", lambda c: F.struct(
-        F.element_at(c, 1).cast("int").alias("col"), F.element_at(c, 2).cast("int").alias("op"),
-        F.element_at(c, 3).alias("val")))
+        F.get(c, F.lit(0)).try_cast("int").alias("col"), F.get(c, F.lit(1)).try_cast("int").alias("op"),
+        F.get(c, F.lit(2)).alias("val")))
     q = q.withColumn("sql", F.struct(F.col("sql.sel").alias("sel"), F.col("sql.agg").alias("agg"), conds.alias("conds")))
-    # file order within this read (increasing, not dense): an ordering key only
-    return q.withColumn("pos", F.monotonically_increasing_id())
+    # an ordering key: the running number only compares lines of one block
+    return q.withColumn("pos", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                        F.monotonically_increasing_id().alias("line")))
 
 
 def read_tables(spark: SparkSession, path: str) -> DataFrame:

@@ -54,21 +54,22 @@ def union_log(parts: Sequence[DataFrame], columns: Sequence[str] | None = None)
 def append_metrics(df: DataFrame, path: str, resume: bool = False) -> DataFrame:
     """K3: write a metric log CSV. ``resume`` unions the rows into the existing
     log (columns by name, holes as nulls); otherwise the file is replaced. The
-    union is checkpointed into the shared checkpoint folder before the old log
-    is overwritten, so the write never reads the files it replaces."""
-    from taskprep.session import cut_lineage
+    new log is written whole beside the old one and then takes its place; an
+    old log that is there but can't be read is an error, never a fresh start."""
     spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    here, beside = hadoop.Path(path), hadoop.Path(path.rstrip("/") + ".new")
+    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
     out = df
-    if resume:
-        try:
-            old = spark.read.option("header", True).option("inferSchema", True).csv(path)
-        except Exception:  # noqa: BLE001 - no existing log: start a new one
-            old = None
-        if old is not None:
-            out = cut_lineage(union_log([old, df.select(*[F.col(c).cast("double") if c in LOG_COLUMNS else F.col(c)
-                                                            for c in df.columns])]))
-    out.write.mode("overwrite").option("header", True).csv(path)
-    return out
+    if resume and fs.exists(here):
+        old = spark.read.option("header", True).option("inferSchema", True).csv(path)
+        out = union_log([old, df.select(*[F.col(c).cast("double") if c in LOG_COLUMNS else F.col(c)
+                                          for c in df.columns])])
+    schema = out.schema
+    out.write.mode("overwrite").option("header", True).csv(beside.toString())
+    fs.delete(here, True)
+    fs.rename(beside, here)
+    return spark.read.schema(schema).option("header", True).csv(path)
 
 
 def report_lines(metrics: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
@@ -91,8 +92,15 @@ def prediction_lines(df: DataFrame, index: str, pred: str, regression: bool = Fa
 
 
 def write_lines(lines: DataFrame, path: str, order: str | None = None, header: str | None = None) -> None:
-    """Write a one-column text output, optionally range-ordered by ``order``."""
-    out = lines.orderBy(order) if order else lines
+    """Write a one-column text output, optionally range-ordered by ``order`` and
+    with a ``header`` line first (``index<TAB>prediction`` for predictions)."""
+    out = lines
+    if header is not None:
+        top = lines.sparkSession.range(1).select(F.lit(header).alias("value"), F.lit(0).alias("__at"))
+        rest = lines.select("value", *([order] if order and order != "value" else []), F.lit(1).alias("__at"))
+        out = rest.unionByName(top, allowMissingColumns=True).orderBy("__at", *([order] if order else []))
+    elif order:
+        out = lines.orderBy(order)
     out.select("value").write.mode("overwrite").text(path)
 
 

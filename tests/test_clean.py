@@ -37,4 +37,5 @@ def test_normalize_answer(spark):
 
 
 def test_coerce_number(spark):
-    assert _one(spark, coerce_number, ["1,000.5", "abc 12.5 x", "-3", "none", ".5"]) == [1000.5, 12.5, -3.0, None, 0.5]
+    assert _one(spark, coerce_number, ["1,000.5", "abc 12.5 x", "-3", "none", ".5", "nan", "Infinity", "1e3"]) == [
+        1000.5, 12.5, -3.0, None, 0.5, None, None, 1000.0]

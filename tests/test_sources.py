@@ -26,7 +26,7 @@ def test_reviews_and_lines(spark, tmp):
     with open(p2, "w") as f:
         f.write("1\tgood one\n0\tbad\tthing\n")
     lines = readers.read_labelled_lines(spark, p2).orderBy("label").collect()
-    assert [(r.label, r.text) for r in lines] == [(0, "bad\tthing\n"), (1, "good one\n")]
+    assert [(r.label, r.text) for r in lines] == [(0, "bad"), (1, "good one\n")]
 
 
 def test_csv_splits_and_dispatch(spark, tmp):
@@ -43,6 +43,9 @@ def test_csv_splits_and_dispatch(spark, tmp):
         readers.load_splits(spark, {"train": os.path.join(tmp, "x.txt")})
     assert clean.resolve_columns(["label", "sentence"]) == ("sentence", None)
     assert clean.resolve_columns(["a", "b", "label"]) == ("a", "b")
+    assert clean.resolve_columns(["sentence", "extra", "label"]) == ("sentence", "extra")
+    assert clean.resolve_columns(["x", "sentence2", "sentence1", "label"]) == ("sentence1", "sentence2")
+    assert clean.resolve_columns(["x", "question"], task="qnli") == ("question", "sentence")
     assert clean.select_model_columns(df, ["sentence"]).columns == ["sentence", "label"]
 
 
