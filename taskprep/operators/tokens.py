@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD_PATTERN = r"\S+"
-BASIC_PATTERN = r"[\w]+|[^\w\s]"
 CLS_ID, SEP_ID, UNK_ID, PAD_ID = 1, 2, 0, 0
 
 TOKEN_TYPE = T.ArrayType(T.StructType([T.StructField("tok", T.StringType()), T.StructField("st", T.IntegerType()),
@@ -44,8 +43,8 @@ def tokenize(df: DataFrame, text: str, out: str = "tokens", pattern: str = WORD_
                     nulls.append(True)
                     offs.append(len(toks))
                     continue
-                for m in rx.finditer(t.lower() if lower else t):
-                    toks.append(m.group())
+                for m in rx.finditer(t):
+                    toks.append(m.group().lower() if lower else m.group())
                     st.append(m.start())
                     ed.append(m.end())
                 offs.append(len(toks))
@@ -59,27 +58,36 @@ def tokenize(df: DataFrame, text: str, out: str = "tokens", pattern: str = WORD_
     return df.mapInArrow(run, schema)
 
 
-def token_ids(df: DataFrame, tokens: str, vocab: DataFrame, key: str, max_tokens: int | None = None,
-              out: str = "ids") -> DataFrame:
+# A token that every row holds is one join key; its rows are dealt over this many.
+TOKEN_SALTS = 16
+
+
+def _looked_up(df: DataFrame, key: str, items: str, table: DataFrame, item: str, value: str) -> DataFrame:
+    """(key, map item -> value) over the distinct items of each row. The table is
+    repeated once a salt, so the rows of a frequent item spread."""
+    salt = F.pmod(F.xxhash64(key), F.lit(TOKEN_SALTS)).cast("int")
+    ex = df.select(key, salt.alias("salt"), F.explode(F.array_distinct(items)).alias(item))
+    names = table.select(F.col(item), F.col(value), F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1))).alias("salt"))
+    found = ex.join(names, [item, "salt"])
+    return found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(item, value))).alias("__m"))
+
+
+def token_ids(df: DataFrame, tokens: str, vocab: DataFrame, key: str, out: str = "ids") -> DataFrame:
     """Tokens -> vocabulary ids (unknown -> 0), in token order.
 
-    Tokens are exploded with their position, left-joined to the vocabulary and
-    re-assembled per row; with ``max_tokens`` only that prefix is looked up, so
-    each re-assembled group is bounded.
+    Only a row's distinct tokens are joined to the vocabulary; the row maps its
+    own tokens in place.
     """
-    ex = df.select(key, F.posexplode(tokens).alias("pos", "tok"))
-    if max_tokens is not None:
-        ex = ex.filter(F.col("pos") < max_tokens)
-    ex = ex.join(vocab.select(F.col("token").alias("tok"), F.col("id")), "tok", "left")
-    per = ex.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("id", F.lit(UNK_ID)).alias("id"))))
-                              .alias("__p"))
-    ids = per.select(key, F.transform("__p", lambda p: p.id).alias(out))
-    return df.join(ids, key, "left").withColumn(out, F.coalesce(F.col(out), F.array().cast("array<int>")))
-
-
-def encode(ids, max_len: int, markers: bool = True) -> F.Column:
-    """[CLS] + ids + [SEP], truncated to ``max_len`` (ids cut, markers kept)."""
+    held = _looked_up(df, key, tokens, vocab.select("token", "id"), "token", "id")
+    ids = F.transform(tokens, lambda t: F.coalesce(F.try_element_at("__m", t), F.lit(UNK_ID)))
+    return df.join(held, key, "left").withColumn(out, F.coalesce(ids, F.array().cast("array<int>"))).drop("__m")
+
+
+def encode(ids, max_len: int | None, markers: bool = True) -> F.Column:
+    """[CLS] + ids + [SEP], truncated to ``max_len`` if given (ids cut, markers kept)."""
     a = F.col(ids) if isinstance(ids, str) else ids
+    if max_len is None:
+        return F.concat(F.array(F.lit(CLS_ID)), a, F.array(F.lit(SEP_ID))) if markers else a
     if not markers:
         return F.slice(a, 1, max_len)
     return F.concat(F.array(F.lit(CLS_ID)), F.slice(a, 1, max_len - 2), F.array(F.lit(SEP_ID)))
@@ -90,45 +98,53 @@ SPECIAL_TOKENS = {0: "[UNK]", 1: "[CLS]", 2: "[SEP]"}
 
 
 def ids_to_text(df: DataFrame, ids: str, vocab: DataFrame, key: str, out: str = "text") -> DataFrame:
-    """Id sequence -> space-joined tokens. The ids are exploded with their
-    position and joined to the vocabulary (no vocabulary array is collected);
-    each row is re-assembled from its own ids only."""
+    """Id sequence -> space-joined tokens; a row's distinct ids are joined
+    to the vocabulary and mapped back in place."""
     spark = df.sparkSession
     special = spark.createDataFrame(list(SPECIAL_TOKENS.items()), "id int, token string")
     names = vocab.select(F.col("id").cast("int"), "token").unionByName(special)
-    ex = df.select(key, F.posexplode(ids).alias("pos", "id")).join(names, "id", "left")
-    per = ex.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("token", F.lit("[UNK]"))
-                                                                   .alias("t")))).alias("__p"))
-    return df.join(per.select(key, F.array_join(F.transform("__p", lambda p: p.t), " ").alias(out)), key, "left")
+    held = _looked_up(df, key, ids, names, "id", "token")
+    text = F.transform(ids, lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(SPECIAL_TOKENS[UNK_ID])))
+    return df.join(held, key, "left").withColumn(out, F.array_join(text, " ")).drop("__m")
 
 
-def window_context(df: DataFrame, q_len: str, n_ctx: str, max_len: int = 384, stride: int = 128) -> DataFrame:
+def window_context(df: DataFrame, q_len: str, n_ctx: str, max_len: int = 384, stride: int = 128,
+                   offsets: str | None = None) -> DataFrame:
     """T4: one row per overlapping context window (question + context + 3
     markers <= max_len; consecutive windows share ``stride`` context tokens;
-    only the context is cut)."""
+    only the context is cut).
+
+    With ``offsets`` that array column is replaced by the window's own slice, so
+    a window never carries its document. A question that leaves no room beyond
+    the stride gives one row flagged ``window_error``, without a window.
+    """
     room = F.lit(max_len) - F.col(q_len) - 3
     step = room - stride
     n_win = 1 + F.ceil(F.greatest(F.col(n_ctx) - room, F.lit(0)) / step)
-    w = df.withColumn("__room", room).withColumn(
-        "window_no", F.explode(F.sequence(F.lit(0), (n_win - 1).cast("int"))))
-    w = w.withColumn("ctx_start", (F.col("window_no") * (F.col("__room") - stride)).cast("int"))
-    w = w.withColumn("ctx_len", F.least(F.col("__room"), F.col(n_ctx) - F.col("ctx_start")).cast("int"))
-    return w.drop("__room")
+
+    def window(i):
+        start = (i * step).cast("int")
+        size = F.least(room, F.col(n_ctx) - start).cast("int")
+        parts = [i.alias("window_no"), start.alias("ctx_start"), size.alias("ctx_len")]
+        return F.struct(*parts, *([F.slice(F.col(offsets), start + 1, size).alias(offsets)] if offsets else []))
+
+    wins = F.when(step > 0, F.transform(F.sequence(F.lit(0), (n_win - 1).cast("int")), window))
+    kept = [c for c in df.columns if c != offsets]
+    out = df.select(*kept, (step <= 0).alias("window_error"), F.explode_outer(wins).alias("__w"))
+    names = ["window_no", "ctx_start", "ctx_len", *([offsets] if offsets else [])]
+    return out.select(*kept, "window_error", *(F.col("__w")[c].alias(c) for c in names))
 
 
 def label_spans(df: DataFrame, offsets: str, q_len: str, start_char: str, end_char: str) -> DataFrame:
-    """T5: answer token positions inside each window (first answer only);
-    CLS position 0 when there is no answer or it is not wholly in the window.
-    The start search is bounded to the context (the last context token)."""
-    first = F.col("ctx_start")
-    last = F.col("ctx_start") + F.col("ctx_len") - 1
+    """T5: answer token positions inside each window (first answer only), from
+    the window's own ``offsets``; CLS position 0 when there is no answer or it
+    is not wholly in the window. An answer may begin or end inside a token."""
     offs = F.col(offsets)
-    in_ctx = F.slice(offs, first + 1, F.col("ctx_len"))
     base = F.col(q_len) + 2
     sc, ec = F.col(start_char), F.col(end_char)
-    inside = (sc.isNotNull() & (F.element_at(offs, first + 1).st <= sc) & (F.element_at(offs, last + 1).ed >= ec))
-    n_before = F.size(F.filter(in_ctx, lambda o: o.st <= sc))
-    first_end = F.array_position(F.transform(in_ctx, lambda o: o.ed >= ec), F.lit(True))
+    inside = (sc.isNotNull() & (F.get(offs, F.lit(0)).st <= sc) & (F.get(offs, F.size(offs) - 1).ed >= ec))
+    n_before = F.size(F.filter(offs, lambda o: o.st <= sc))
+    first_end = F.array_position(F.transform(offs, lambda o: o.ed >= ec), F.lit(True))
     return (df.withColumn("start_position", F.when(inside, base + n_before - 1).otherwise(F.lit(0)).cast("int"))
             .withColumn("end_position", F.when(inside, base + first_end - 1).otherwise(F.lit(0)).cast("int")))
 
@@ -136,10 +152,7 @@ def label_spans(df: DataFrame, offsets: str, q_len: str, start_char: str, end_ch
 def mask_offsets(df: DataFrame, offsets: str, q_len: str, out: str = "window_offsets") -> DataFrame:
     """Window offsets for [CLS] q [SEP] ctx [SEP]; null outside the context."""
     n = F.col(q_len) + F.col("ctx_len") + 3
-    offs = F.col(offsets)
-    return df.withColumn(out, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(
-        (i >= F.col(q_len) + 2) & (i < F.col(q_len) + 2 + F.col("ctx_len")),
-        F.element_at(offs, F.col("ctx_start") + i - F.col(q_len) - 2 + 1))))
+    return df.withColumn(out, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col(offsets), i - F.col(q_len) - 2)))
 
 
 def pack_segments(segments, sep_len: int = 1) -> F.Column:
@@ -200,23 +213,26 @@ def spec_to_pointers(spec, n_vocab_ops: int = 0) -> F.Column:
 
 def pointers_to_spec(pointers) -> F.Column:
     """Pointer sequence -> spec (a left-to-right scan as an ``aggregate``
-    with a struct accumulator)."""
+    with a struct accumulator). ``malformed`` marks a list that names a part of
+    a condition before any condition; that part is skipped."""
     p = F.col(pointers) if isinstance(pointers, str) else pointers
     cond_t = "array<struct<col:int,op:int,st:int,ed:int>>"
     init = F.struct(F.lit(-1).alias("sel"), F.lit(0).alias("agg"), F.array().cast(cond_t).alias("conds"),
-                    F.lit("").alias("state"))
+                    F.lit("").alias("state"), F.lit(False).alias("malformed"))
 
     def step(acc, x):
         k, v = x.kind, x.value
         conds = acc.conds
-        last = F.element_at(conds, -1)
-        upd = lambda field: F.concat(F.slice(conds, 1, F.size(conds) - 1),
+        last = F.get(conds, F.size(conds) - 1)
+        none = F.size(conds) == 0
+        upd = lambda field: F.concat(F.slice(conds, 1, F.greatest(F.size(conds) - 1, F.lit(0))),
                                      F.array(last.withField(field, v)))
         return (F.when(k == "agg", acc.withField("agg", v))
                 .when((k == "col") & (acc.state == ""), acc.withField("sel", v))
                 .when(k.isin("where", "and"), acc.withField("conds", F.concat(conds, F.array(F.struct(
                     F.lit(-1).alias("col"), F.lit(-1).alias("op"), F.lit(-1).alias("st"), F.lit(-1).alias("ed")))))
                       .withField("state", F.lit("w")))
+                .when(k.isin("op", "vst", "ved") & none, acc.withField("malformed", F.lit(True)))
                 .when((k == "col") & (acc.state == "w"), acc.withField("conds", upd("col")))
                 .when(k == "op", acc.withField("conds", upd("op")))
                 .when(k == "vst", acc.withField("conds", upd("st")))
@@ -224,16 +240,18 @@ def pointers_to_spec(pointers) -> F.Column:
                 .otherwise(acc))
 
     r = F.aggregate(p, init, step)
-    return F.struct(r.sel.alias("sel"), r.agg.alias("agg"), r.conds.alias("conds"))
+    return F.struct(r.sel.alias("sel"), r.agg.alias("agg"), r.conds.alias("conds"), r.malformed.alias("malformed"))
 
 
 def condition_values(query_tokens, question_tokens) -> F.Column:
     """From a tokenised query ``... WHERE col OP value AND col OP value``,
     each condition's (op, value tokens, first position of the value in the
-    question or -1)."""
+    question or -1). The operator is the first ``EQL`` of the condition, else
+    its first ``LT``, else its first ``GT``, so a value may hold another one; a
+    condition without an operator has a null one and no value."""
     q = F.col(query_tokens) if isinstance(query_tokens, str) else query_tokens
     qs = F.col(question_tokens) if isinstance(question_tokens, str) else question_tokens
-    ops = F.array(F.lit("EQL"), F.lit("GT"), F.lit("LT"))
+    ops = ("EQL", "LT", "GT")
     w = F.array_position(q, F.lit("WHERE")).cast("int")
     tail = F.when(w > 0, F.slice(q, w + 1, F.size(q))).otherwise(F.array().cast("array<string>"))
     # AND positions split the tail into conditions
@@ -243,11 +261,12 @@ def condition_values(query_tokens, question_tokens) -> F.Column:
         tail, b + 2, F.element_at(bounds, i + 2) - b - 1))
 
     def one(piece):
-        op_pos = F.array_max(F.transform(ops, lambda o: F.array_position(piece, o))).cast("int")
-        val = F.slice(piece, op_pos + 1, F.size(piece))
+        places = [F.array_position(piece, F.lit(o)).cast("int") for o in ops]
+        at = F.coalesce(*[F.when(p > 0, p) for p in places])
+        val = F.when(at.isNotNull(), F.slice(piece, F.coalesce(at, F.lit(0)) + 1, F.size(piece))).otherwise(F.array().cast("array<string>"))
         from taskprep.functions.arrays import find_sublist
-        pos = F.element_at(F.concat(find_sublist(val, qs), F.array(F.lit(-1))), 1)
-        return F.struct(F.element_at(piece, op_pos).alias("op"), val.alias("value"), pos.alias("pos"))
+        pos = F.when(at.isNotNull(), F.element_at(F.concat(find_sublist(val, qs), F.array(F.lit(-1))), 1)).otherwise(F.lit(-1))
+        return F.struct(F.get(piece, at - 1).alias("op"), val.alias("value"), pos.alias("pos"))
 
     return F.when(w > 0, F.transform(F.filter(pieces, lambda p: F.size(p) > 0), one))
 

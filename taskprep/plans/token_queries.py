@@ -1,8 +1,8 @@
 """Registered token/vocabulary/window queries on ``documents`` and ``benchmark``.
 
-Words are whitespace tokens, lower-cased. The embedding source stands in as
-the tokens seen at least twice. Each document is paired with the benchmark
-item ``doc_id mod (number of items)`` (its question).
+Words are whitespace tokens, lower-cased. The words of labelled documents stand
+in for the tokens that have an embedding. Each document is paired with the
+benchmark item ``doc_id mod (number of items)`` (its question).
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from taskprep.functions import arrays as A
 from taskprep.operators import tokens as TK
 from taskprep.operators import vocab as V
-from taskprep.session import read_table, spread
+from taskprep.session import cut_lineage, read_table, spread
 
 MAX_LEN = 32
-WIN_LEN, WIN_STRIDE, Q_TOKENS = 64, 16, 8
+WIN_LEN, WIN_STRIDE = 96, 24
 ANSWER = (10, 13)
 
 
@@ -33,13 +33,13 @@ def _token_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _vocab(spark: SparkSession, sf: str) -> DataFrame:
-    # tokens "with an embedding" = tokens seen at least twice, from the same aggregation
-    return V.build_vocab(_token_rows(spark, sf), min_count=2)
+    labelled = read_table(spark, sf, "documents").join(read_table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    embedded = labelled.select(F.explode(_words(F.col("text"))).alias("token"))
+    return cut_lineage(V.build_vocab(_token_rows(spark, sf), embedded))
 
 
 def vocab_build(spark: SparkSession, sf: str) -> DataFrame:
-    """First-occurrence vocabulary restricted to embedded tokens (J5's
-    semi-join form is unit-tested)."""
+    """A7 + J5: first-occurrence vocabulary of the tokens that have an embedding."""
     return _vocab(spark, sf).select("token", "id", F.col("n").cast("long").alias("n"))
 
 
@@ -49,7 +49,8 @@ tk AS (SELECT 0 AS source_no, doc_id AS row_id, unnest(w) AS token, generate_sub
        UNION ALL
        SELECT 1, item_id, unnest(w), generate_subscripts(w, 1) - 1
        FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '') AS w FROM benchmark)),
-fo AS (SELECT token, min([source_no, row_id, pos]) AS first, count(*) AS n FROM tk GROUP BY token HAVING count(*) >= 2),
+emb AS (SELECT DISTINCT token FROM tk WHERE source_no = 0 AND row_id IN (SELECT doc_id FROM labels)),
+fo AS (SELECT token, min([source_no, row_id, pos]) AS first, count(*) AS n FROM tk WHERE token IN (SELECT token FROM emb) GROUP BY token),
 vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY first) + 2 AS INTEGER) AS id, n FROM fo)"""
 
 SQL_VOCAB_BUILD = "WITH " + _SQL_VOCAB + "\nSELECT token, id, CAST(n AS BIGINT) AS n FROM vocab"
@@ -59,7 +60,7 @@ def token_id_rows(spark: SparkSession, sf: str) -> DataFrame:
     """J4 + T1 + T2 + T3: benchmark texts -> ids (unknown 0) -> [1] ids [2]
     truncated to 32 -> padded with 0 -> attention mask."""
     b = read_table(spark, sf, "benchmark").select("item_id", _words(F.col("text")).alias("w"))
-    ids = TK.token_ids(b, "w", _vocab(spark, sf), "item_id", max_tokens=MAX_LEN - 2)
+    ids = TK.token_ids(b, "w", _vocab(spark, sf), "item_id")
     enc = A.pad(TK.encode("ids", MAX_LEN), MAX_LEN)
     out = ids.select("item_id", enc.alias("input_ids"))
     mask = A.attention_mask("input_ids")
@@ -82,38 +83,36 @@ SELECT item_id, array_to_string(p, ',') AS input_ids,
 
 def qa_windows(spark: SparkSession, sf: str) -> DataFrame:
     """T10 + T4 + T5 + T6: documents tokenised with offsets, cut into
-    overlapping windows after an 8-token question, answer (tokens 10..12)
-    labelled per window, offsets masked outside the context."""
+    overlapping windows after the whole question, answer (from inside token 10
+    to inside token 12) labelled per window, offsets masked outside the
+    context; a question too long for the window is flagged."""
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     bench = read_table(spark, sf, "benchmark").select("item_id", "text")
-    n_items = bench.agg(F.count(F.lit(1)).alias("n_items"))
-    q = bench.select("item_id", F.least(F.size(_words(F.col("text"))), F.lit(Q_TOKENS)).alias("q_len"))
+    n_items = bench.agg(F.count(F.lit(1)).alias("n_items")).scalar()
+    q = bench.select("item_id", F.size(_words(F.col("text"))).alias("q_len"))
     d = TK.tokenize(spread(docs), "text", "tokens")
-    # one-row table: joined on a constant key and broadcast
-    d = d.join(F.broadcast(n_items.withColumn("__k", F.lit(0))), F.lit(0) == F.col("__k"))
-    d = d.withColumn("item_id", F.col("doc_id") % F.col("n_items")).join(q, "item_id")
+    d = d.select("doc_id", "tokens", (F.col("doc_id") % n_items).alias("item_id")).join(q, "item_id")
     d = d.withColumn("n_ctx", F.size("tokens"))
     a0, a1 = ANSWER
     has = F.col("n_ctx") >= a1
-    d = d.withColumn("start_char", F.when(has, F.element_at("tokens", a0 + 1).st)).withColumn(
-        "end_char", F.when(has, F.element_at("tokens", a1).ed))
-    w = TK.window_context(d, "q_len", "n_ctx", WIN_LEN, WIN_STRIDE)
+    first, last = F.get("tokens", F.lit(a0)), F.get("tokens", F.lit(a1 - 1))
+    part = lambda t: F.when(t.ed - t.st > 1, F.lit(1)).otherwise(F.lit(0))  # noqa: E731 - one character into the token
+    d = d.withColumn("start_char", F.when(has, first.st + part(first))).withColumn("end_char", F.when(has, last.ed - part(last)))
+    w = TK.window_context(d, "q_len", "n_ctx", WIN_LEN, WIN_STRIDE, "tokens")
     w = TK.label_spans(w, "tokens", "q_len", "start_char", "end_char")
     w = TK.mask_offsets(w, "tokens", "q_len")
     return w.select("doc_id", F.col("window_no").cast("int").alias("window_no"), "ctx_start", "ctx_len",
-                    "start_position", "end_position",
-                    F.size(F.filter("window_offsets", lambda o: o.isNotNull())).alias("n_offsets"))
+                    "start_position", "end_position", "window_error",
+                    F.coalesce(F.size(F.filter("window_offsets", lambda o: o.isNotNull())), F.lit(0)).alias("n_offsets"))
 
 
 SQL_QA_WINDOWS = f"""
-WITH bi AS (SELECT item_id, least(len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')),
-                                  {Q_TOKENS}) AS q_len FROM benchmark),
+WITH bi AS (SELECT item_id, len(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS q_len FROM benchmark),
 ni AS (SELECT count(*) AS n FROM benchmark),
-d AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n_ctx, bi.q_len,
-             {WIN_LEN} - bi.q_len - 3 AS room
+d AS (SELECT doc_id, len(regexp_extract_all(text, '\\S+')) AS n_ctx, bi.q_len, {WIN_LEN} - bi.q_len - 3 AS room
       FROM documents, ni JOIN bi ON bi.item_id = documents.doc_id % ni.n),
 w AS (SELECT doc_id, n_ctx, q_len, room, unnest(range(CAST(1 + ceil(greatest(n_ctx - room, 0) / (room - {WIN_STRIDE}))
-                                                        AS BIGINT))) AS window_no FROM d),
+                                                        AS BIGINT))) AS window_no FROM d WHERE room > {WIN_STRIDE}),
 w2 AS (SELECT *, CAST(window_no * (room - {WIN_STRIDE}) AS INTEGER) AS ctx_start FROM w),
 w3 AS (SELECT *, CAST(least(room, n_ctx - ctx_start) AS INTEGER) AS ctx_len FROM w2)
 SELECT doc_id, CAST(window_no AS INTEGER) AS window_no, ctx_start, ctx_len,
@@ -121,8 +120,10 @@ SELECT doc_id, CAST(window_no AS INTEGER) AS window_no, ctx_start, ctx_len,
                  THEN q_len + 2 + {ANSWER[0]} - ctx_start ELSE 0 END AS INTEGER) AS start_position,
        CAST(CASE WHEN n_ctx >= {ANSWER[1]} AND ctx_start <= {ANSWER[0]} AND ctx_start + ctx_len - 1 >= {ANSWER[1] - 1}
                  THEN q_len + 2 + {ANSWER[1] - 1} - ctx_start ELSE 0 END AS INTEGER) AS end_position,
-       ctx_len AS n_offsets
+       FALSE AS window_error, ctx_len AS n_offsets
 FROM w3
+UNION ALL
+SELECT doc_id, NULL, NULL, NULL, 0, 0, TRUE, 0 FROM d WHERE room <= {WIN_STRIDE}
 """
 
 
@@ -165,42 +166,36 @@ FROM tot
 
 
 def sublist_matches(spark: SparkSession, sf: str) -> DataFrame:
-    """Every position of the item's first two words inside its paired document."""
+    """Every position of the words of a document's last line inside its words."""
     docs = spread(read_table(spark, sf, "documents").select("doc_id", "text")).select(
-        "doc_id", _words(F.col("text")).alias("h"))
-    bench = read_table(spark, sf, "benchmark").select("item_id", F.slice(_words(F.col("text")), 1, 2).alias("needle"))
-    n = bench.agg(F.count(F.lit(1)).alias("n_items")).withColumn("__k", F.lit(0))
-    d = docs.join(F.broadcast(n), F.lit(0) == F.col("__k")).withColumn("item_id", F.col("doc_id") % F.col("n_items"))
-    d = d.join(bench, "item_id")
-    return d.select("doc_id", F.array_join(A.find_sublist("needle", "h"), ",").alias("positions"))
+        "doc_id", _words(F.col("text")).alias("h"), _words(F.element_at(F.split("text", "\n"), -1)).alias("needle"))
+    return docs.select("doc_id", F.size("needle").alias("n_needle"), F.array_join(A.find_sublist("needle", "h"), ",").alias("positions"))
 
 
 SQL_SUBLIST_MATCHES = """
-WITH ni AS (SELECT count(*) AS n FROM benchmark),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')[1:2] AS needle
-      FROM benchmark),
-d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '') AS h, doc_id % ni.n AS item_id
-      FROM documents, ni)
-SELECT d.doc_id, array_to_string(list_filter(range(greatest(len(h) - len(needle) + 1, 0)),
-                                             lambda i: h[i + 1: i + len(needle)] = needle), ',') AS positions
-FROM d JOIN b ON b.item_id = d.item_id
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '') AS h,
+                  list_filter(regexp_split_to_array(lower(string_split(text, chr(10))[-1]), '\\s+'), lambda t: t <> '') AS needle
+           FROM documents)
+SELECT doc_id, CAST(len(needle) AS INTEGER) AS n_needle,
+       array_to_string(list_filter(range(greatest(len(h) - len(needle) + 1, 0)), lambda i: h[i + 1: i + len(needle)] = needle), ',') AS positions
+FROM d
 """
 
 
 def decoded_ids(spark: SparkSession, sf: str) -> DataFrame:
-    """The encoded benchmark rows (J4 + T1) turned back into token text."""
+    """The encoded benchmark rows (J4 + T1, uncut) turned back into token text."""
     b = read_table(spark, sf, "benchmark").select("item_id", _words(F.col("text")).alias("w"))
     vocab = _vocab(spark, sf)
-    ids = TK.token_ids(b, "w", vocab, "item_id", max_tokens=MAX_LEN - 2)
-    enc = ids.select("item_id", TK.encode("ids", MAX_LEN).alias("input_ids"))
+    ids = TK.token_ids(b, "w", vocab, "item_id")
+    enc = ids.select("item_id", TK.encode("ids", None).alias("input_ids"))
     return TK.ids_to_text(enc, "input_ids", vocab, "item_id").select("item_id", "text")
 
 
-SQL_DECODED_IDS = "WITH " + _SQL_VOCAB + f""",
+SQL_DECODED_IDS = "WITH " + _SQL_VOCAB + """,
 bt AS (SELECT item_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos
        FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '') AS w FROM benchmark)),
 dec AS (SELECT b.item_id, list(coalesce(v.token, '[UNK]') ORDER BY b.pos) AS toks
-        FROM (SELECT * FROM bt WHERE pos < {MAX_LEN - 2}) b LEFT JOIN vocab v ON v.token = b.token GROUP BY b.item_id)
+        FROM bt b LEFT JOIN vocab v ON v.token = b.token GROUP BY b.item_id)
 SELECT bm.item_id, array_to_string(list_concat(['[CLS]'], coalesce(dec.toks, []), ['[SEP]']), ' ') AS text
 FROM benchmark bm LEFT JOIN dec ON dec.item_id = bm.item_id
 """

@@ -22,7 +22,7 @@ def test_windows_and_labels(spark):
     offs = [(i * 2, i * 2 + 1) for i in range(10)]
     df = spark.createDataFrame([(1, 2, 10, offs, 8, 11)],
                                "id int, q int, n int, offs array<struct<st:int,ed:int>>, sc int, ec int")
-    w = TK.window_context(df, "q", "n", max_len=9, stride=2)
+    w = TK.window_context(df, "q", "n", max_len=9, stride=2, offsets="offs")
     w = TK.label_spans(w, "offs", "q", "sc", "ec")
     got = [(r.ctx_start, r.ctx_len, r.start_position, r.end_position) for r in w.orderBy("window_no").collect()]
     # answer = tokens 4..5 (chars 8..11): wholly inside windows starting at 2 and 4
@@ -30,12 +30,41 @@ def test_windows_and_labels(spark):
     # answer at the last context token of a window: start stays inside the context
     df2 = spark.createDataFrame([(1, 2, 4, offs[:4], 6, 7)],
                                 "id int, q int, n int, offs array<struct<st:int,ed:int>>, sc int, ec int")
-    r = TK.label_spans(TK.window_context(df2, "q", "n", max_len=9, stride=2), "offs", "q", "sc", "ec").collect()[0]
+    r = TK.label_spans(TK.window_context(df2, "q", "n", max_len=9, stride=2, offsets="offs"), "offs", "q", "sc", "ec").collect()[0]
     assert (r.start_position, r.end_position) == (7, 7)
     m = TK.mask_offsets(w, "offs", "q").orderBy("window_no").collect()[0].window_offsets
     assert m[0] is None and m[4] is not None and len(m) == 2 + 4 + 3
 
 
+def test_long_question_is_flagged_and_windows_hold_their_slice(spark):
+    offs = [(i * 2, i * 2 + 1) for i in range(10)]
+    df = spark.createDataFrame([(1, 2, 10, offs), (2, 5, 10, offs)], "id int, q int, n int, offs array<struct<st:int,ed:int>>")
+    rows = TK.window_context(df, "q", "n", max_len=9, stride=2, offsets="offs").collect()
+    assert [(r.window_no, r.offs) for r in rows if r.id == 2] == [(None, None)] and all(r.window_error == (r.id == 2) for r in rows)
+    assert all([o.st for o in r.offs] == [2 * i for i in range(r.ctx_start, r.ctx_start + r.ctx_len)] for r in rows if r.id == 1)
+
+
+def test_lower_keeps_offsets_of_the_text(spark):
+    df = spark.createDataFrame([("\u0130\u0130 ab",)], "t string")
+    toks = TK.tokenize(df, "t", lower=True).collect()[0].tokens
+    assert [(x.tok, x.st, x.ed) for x in toks][1] == ("ab", 3, 5)
+
+
+def test_ids_and_text_of_repeated_tokens(spark):
+    vocab = spark.createDataFrame([("a", 3), ("b", 4)], "token string, id int")
+    df = spark.createDataFrame([(1, ["b", "zz", "a", "b"]), (2, [])], "k int, w array<string>")
+    ids = TK.token_ids(df, "w", vocab, "k")
+    assert {r.k: r.ids for r in ids.collect()} == {1: [4, 0, 3, 4], 2: []}
+    text = TK.ids_to_text(ids.select("k", TK.encode("ids", None).alias("x")), "x", vocab, "k")
+    assert {r.k: r.text for r in text.collect()} == {1: "[CLS] b [UNK] a b [SEP]", 2: "[CLS] [SEP]"}
+
+
+def test_malformed_pointers_are_flagged(spark):
+    df = spark.createDataFrame([([("start", 0), ("op", 1), ("vst", 2), ("end", 0)],)], "p array<struct<kind:string,value:int>>")
+    back = df.select(TK.pointers_to_spec("p").alias("b")).collect()[0].b
+    assert back.malformed and back.conds == []
+
+
 def test_vocab_first_occurrence(spark):
     toks = spark.createDataFrame(
         [(0, 0, 0, "hdr"), (1, 0, 0, "word"), (1, 0, 1, "hdr"), (1, 1, 0, "noemb"), (0, 0, 1, "word")],
@@ -75,3 +104,6 @@ def test_condition_values(spark):
     df = spark.createDataFrame([(q, ["who", "new", "york", "is", "5"])], "q array<string>, n array<string>")
     r = df.select(TK.condition_values("q", "n")).collect()[0][0]
     assert [(c.op, c.value, c.pos) for c in r] == [("EQL", ["new", "york"], 1), ("GT", ["5"], 4)]
+    odd = spark.createDataFrame([(["WHERE", "a", "EQL", "GT", "x", "AND", "b", "c"], ["x"])], "q array<string>, n array<string>")
+    r = odd.select(TK.condition_values("q", "n")).collect()[0][0]
+    assert [(c.op, c.value, c.pos) for c in r] == [("EQL", ["GT", "x"], -1), (None, [], -1)]
