@@ -41,6 +41,23 @@ def component_flags(pairs: DataFrame, g: str = "g", p: str = "p", mode: str = "t
     return out.withColumn("lx", lx.cast("int"))
 
 
+def value_span_flags(pairs: DataFrame, g: str = "g", p: str = "p", g_spans: str = "g_spans", p_spans: str = "p_spans",
+                     mode: str = "test", out: str = "wvi") -> DataFrame:
+    """A5: 1 where the predicted value spans equal the gold ones, pair by pair.
+
+    Spans are arrays beside the conditions. In ``test`` mode the gold spans are
+    taken in the (stable) order of their condition's column, as a decoder emits
+    them; in ``train`` mode as given. Another number of spans is 0.
+    """
+    gold = F.col(g_spans)
+    if mode == "test":
+        keyed = F.zip_with(F.col(g).conds, gold, lambda c, s: F.struct(c.col.alias("col"), s.alias("s")))
+        keyed = F.transform(keyed, lambda x, i: F.struct(x.col.alias("col"), i.alias("i"), x.s.alias("s")))
+        gold = F.transform(F.array_sort(keyed), lambda x: x.s)
+    same = (F.size(F.col(g).conds) == F.size(p_spans)) & (gold == F.col(p_spans))
+    return pairs.withColumn(out, F.coalesce(same, F.lit(False)).cast("int"))
+
+
 def component_totals(flags: DataFrame, by: list[str] | None = None) -> DataFrame:
     """A2 counts and accuracies of every component over all questions."""
     names = ["sc", "sa", "wn", "wc", "wo", "wv", "lx"]

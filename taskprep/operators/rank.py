@@ -27,6 +27,20 @@ def best_legal_select(col_probs, agg_probs, col_types) -> F.Column:
     return F.coalesce(first_legal, F.element_at(ranked, -1))
 
 
+def spec_probability(df: DataFrame, sc: str, sa: str, wn: str, wc: str, wo: str, st: str, ed: str) -> DataFrame:
+    """p_select, p_where and p_total of a chosen spec.
+
+    ``sc``, ``sa``, ``wn`` are the probabilities of the chosen column,
+    aggregate and condition count; ``wc``, ``wo``, ``st`` and ``ed`` arrays with
+    the probability of each chosen condition's column, operator, value start
+    and value end.
+    """
+    conds = F.arrays_zip(F.col(wc).alias("c"), F.col(wo).alias("o"), F.col(st).alias("s"), F.col(ed).alias("e"))
+    where = F.aggregate(conds, F.col(wn).cast("double"), lambda p, x: p * x.c * x.o * x.s * x.e)
+    return (df.withColumn("p_select", F.col(sc) * F.col(sa)).withColumn("p_where", where)
+            .withColumn("p_total", F.col("p_select") * F.col("p_where")))
+
+
 def prune_candidates(candidates: DataFrame, cells: DataFrame, meta: DataFrame, beam: int,
                      key: str = "qid", score: str = "score", pad: bool = True) -> DataFrame:
     """R10 + U6 + F6: per question, drop duplicate candidate specs (keeping the
@@ -39,8 +53,7 @@ def prune_candidates(candidates: DataFrame, cells: DataFrame, meta: DataFrame, b
     w = Window.partitionBy(key, "__sig").orderBy(F.desc(score), "spec_id")
     dedup = candidates.withColumn("__sig", sig).withColumn("__r", F.row_number().over(w)).filter("__r = 1")
     dedup = dedup.drop("__r", "__sig")
-    res = SP.run_specs(dedup, cells, meta)
-    ok = dedup.join(res.select("spec_id").distinct(), "spec_id", "left_semi")
+    ok = SP.keep_executable(dedup, cells, meta)
     rw = Window.partitionBy(key).orderBy(F.desc(score), "spec_id")
     kept = ok.withColumn("beam_rank", F.row_number().over(rw)).filter(F.col("beam_rank") <= beam)
     kept = kept.select(key, "spec_id", F.col(score).cast("double").alias(score), "beam_rank")
@@ -60,18 +73,17 @@ def choose_conditions(candidates: DataFrame, p_n: DataFrame, cells: DataFrame, m
     p_n: key, p_n (array: probability of 0, 1, 2 ... conditions).
     Every candidate condition is executed alone (one batch); executable ones
     keep their probability order (prob desc, cand_no). The count is the
-    argmax over k of p_n[k] * prob(k-th executable) with k = 0 scored p_n[0]
+    argmax over the k that p_n has of p_n[k] * prob(k-th executable) with k = 0 scored p_n[0]
     (ties: fewer conditions). Returns (choice: key, wn, score;
     conditions: key, ex_rank, cand_no, cond)."""
     c = candidates.withColumn("spec_id", F.concat_ws(":", F.col(key).cast("string"), F.col("cand_no").cast("string")))
     specs = c.select("spec_id", "table_id", "sel", "agg", F.array("cond").alias("conds"))
-    res = SP.run_specs(specs, cells, meta)
-    ex = c.join(res.select("spec_id").distinct(), "spec_id", "left_semi")
+    ex = c.join(SP.keep_executable(specs, cells, meta).select("spec_id"), "spec_id", "left_semi")
     w = Window.partitionBy(key).orderBy(F.desc("prob"), "cand_no")
     ex = ex.withColumn("ex_rank", F.row_number().over(w))
     scored = ex.join(p_n, key).select(key, F.col("ex_rank").alias("k"),
-                                      (F.element_at("p_n", F.col("ex_rank") + 1) * F.col("prob")).alias("score"))
-    zero = p_n.select(key, F.lit(0).alias("k"), F.element_at("p_n", 1).alias("score"))
+                                      (F.get("p_n", F.col("ex_rank")) * F.col("prob")).alias("score"))
+    zero = p_n.select(key, F.lit(0).alias("k"), F.get("p_n", F.lit(0)).alias("score"))
     allk = zero.unionByName(scored).filter(F.col("score").isNotNull())
     choice = allk.groupBy(key).agg(F.max_by(F.struct("k", "score"), F.struct(F.col("score"), -F.col("k"))).alias("b"))
     choice = choice.select(key, F.col("b.k").alias("wn"), F.col("b.score").alias("score"))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskprep.functions.text import coerce_number
-from taskprep.operators.order import ranked, width_bucket
+from taskprep.operators.order import ranked
 
 # Aggregate and operator codes.
 AGG_OPS = ["", "MAX", "MIN", "COUNT", "SUM", "AVG"]
@@ -134,6 +134,18 @@ def _holds(op, vnum, vtext, num, text) -> F.Column:
     return F.coalesce(F.when(op == 0, eq).when(op == 1, gt).when(op == 2, lt), F.lit(False))
 
 
+# A column of one large table is one join key; its rows are dealt over this many.
+ROW_BLOCKS = 32
+
+
+def _blocks(cells: DataFrame) -> DataFrame:
+    return cells.withColumn("block", F.pmod(F.xxhash64("row_idx"), F.lit(ROW_BLOCKS)).cast("int"))
+
+
+def _over_blocks(specs: DataFrame) -> DataFrame:
+    return specs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(ROW_BLOCKS - 1))))
+
+
 def matching_rows(specs: DataFrame, cells: DataFrame, meta: DataFrame, last_value_wins: bool = False,
                   conds: DataFrame | None = None) -> DataFrame:
     """(spec_id, table_id, row_idx) of rows where every condition holds
@@ -143,7 +155,7 @@ def matching_rows(specs: DataFrame, cells: DataFrame, meta: DataFrame, last_valu
     Each spec has an anchor condition: its first equality when it has one,
     else its first condition. Only the anchor is matched against whole
     columns (an equality as an equi-join on the value itself, a range as an
-    equi-join on (table, column) plus a filter); every other condition is
+    equi-join on (table, column, row block) plus a filter); every other condition is
     checked only on the anchor's rows, through an equi-join on
     (table, row, column).
     """
@@ -160,8 +172,8 @@ def matching_rows(specs: DataFrame, cells: DataFrame, meta: DataFrame, last_valu
     eq_text = (anchor.filter((F.col("op") == 0) & F.col("vnum").isNull())
                .select("spec_id", "table_id", "col_idx", "n_conds", F.col("vtext").alias("text_val"))
                .join(cells.select("table_id", "col_idx", "text_val", "row_idx"), [*key, "text_val"]).select(*cols))
-    rng = anchor.filter(F.col("op").isin(1, 2)).join(
-        cells.select("table_id", "col_idx", "row_idx", "num_val", "text_val"), key)
+    rng = _over_blocks(anchor.filter(F.col("op").isin(1, 2))).join(
+        _blocks(cells.select("table_id", "col_idx", "row_idx", "num_val", "text_val")), [*key, "block"])
     rng = rng.filter(_holds(F.col("op"), F.col("vnum"), F.col("vtext"), F.col("num_val"), F.col("text_val")))
     # the anchor's rows feed both branches below
     cand = eq_num.unionByName(eq_text).unionByName(rng.select(*cols)).persist()
@@ -202,15 +214,14 @@ def run_specs(specs: DataFrame, cells: DataFrame, meta: DataFrame, last_value_wi
     sel = ok.select("spec_id", F.col("sel").alias("col_idx"), "agg")
     picked_c = rows.join(sel, "spec_id").join(
         cells.select("table_id", "row_idx", "col_idx", "num_val", "text_val"), ["table_id", "row_idx", "col_idx"])
-    picked_n = no_conds.select("spec_id", "table_id", F.col("sel").alias("col_idx"), "agg").join(
-        cells.select("table_id", "row_idx", "col_idx", "num_val", "text_val"), ["table_id", "col_idx"])
+    picked_n = _over_blocks(no_conds.select("spec_id", "table_id", F.col("sel").alias("col_idx"), "agg")).join(
+        _blocks(cells.select("table_id", "row_idx", "col_idx", "num_val", "text_val")), ["table_id", "col_idx", "block"])
     cols = ["spec_id", "agg", "row_idx", "num_val", "text_val"]
     # the selected values feed the bucket counts, the ordered list and the aggregates
     picked = picked_c.select(*cols).unionByName(picked_n.select(*cols)).persist()
 
     # agg none: the selected values in row order, positions from a bucketed global rank
-    listed = ranked(picked.filter(F.col("agg") == 0), [F.col("row_idx")], width_bucket("row_idx", width),
-                    "spec_id", name="__p")
+    listed = ranked(picked.filter(F.col("agg") == 0), ["row_idx"], "spec_id", name="__p")
     listed = listed.select("spec_id", (F.col("__p") - 1).cast("int").alias("res_pos"),
                            F.col("num_val").alias("num"), F.col("text_val").alias("text"))
 
@@ -248,8 +259,18 @@ def spec_status(specs: DataFrame, results: DataFrame, meta: DataFrame) -> DataFr
 def keep_executable(candidates: DataFrame, cells: DataFrame, meta: DataFrame) -> DataFrame:
     """candidates whose query returns a non-empty list (an aggregate over no
     rows is executable; an empty row list is not)."""
-    res = run_specs(candidates, cells, meta)
-    return candidates.join(res.select("spec_id").distinct(), "spec_id", "left_semi")
+    conds = _conditions(candidates, meta, False)
+    fine = candidates.join(spec_errors(candidates, meta, conds).filter("error").select("spec_id"), "spec_id", "left_anti")
+    # an aggregate always has a result; a plain select needs one matching row, so
+    # matched rows only say that they exist: no ranks, values or aggregates
+    plain = candidates.filter(F.col("agg") == 0)
+    sel = plain.select("spec_id", "table_id", F.col("sel").alias("col_idx"))
+    hit = matching_rows(plain.filter(F.size("conds") > 0), cells, meta, False, conds.join(plain.select("spec_id"), "spec_id", "left_semi"))
+    hit = hit.join(sel.select("spec_id", "col_idx"), "spec_id").join(cells.select("table_id", "row_idx", "col_idx"), ["table_id", "row_idx", "col_idx"], "left_semi")
+    whole = sel.join(plain.filter(F.size("conds") == 0).select("spec_id"), "spec_id", "left_semi").join(
+        cells.select("table_id", "col_idx").distinct(), ["table_id", "col_idx"], "left_semi")
+    some = hit.select("spec_id").unionByName(whole.select("spec_id")).distinct()
+    return candidates.join(fine.filter(F.col("agg").between(1, 5)).select("spec_id").unionByName(some), "spec_id", "left_semi")
 
 
 # --------------------------------------------------- spec manipulation
@@ -289,11 +310,13 @@ def render_spec(df: DataFrame, spec: str = "sql", header: str = "header", table:
     """``SELECT agg(h) FROM id WHERE h op v AND ...`` with header names;
     agg none still writes the parentheses."""
     s, h = F.col(spec), F.col(header)
-    agg_name = F.element_at(F.array(*[F.lit(a.lower()) for a in AGG_OPS]), s.agg + 1)
+    # an unknown column, operator or aggregate makes this row's text null, not the job fail
+    agg_name = F.get(F.array(*[F.lit(a.lower()) for a in AGG_OPS]), s.agg)
     ops = F.array(*[F.lit(o) for o in COND_OPS])
-    head = F.concat(F.lit("SELECT "), agg_name, F.lit("("), F.element_at(h, s.sel + 1), F.lit(") FROM "), F.col(table))
-    conds = F.transform(s.conds, lambda c: F.concat_ws(" ", F.element_at(h, c.col + 1), F.element_at(ops, c.op + 1),
-                                                       c.val))
+    head = F.concat(F.lit("SELECT "), agg_name, F.lit("("), F.get(h, s.sel), F.lit(") FROM "), F.col(table))
+    conds = F.transform(s.conds, lambda c: F.concat(F.get(h, c.col), F.lit(" "), F.get(ops, c.op), F.lit(" "),
+                                                    F.coalesce(c.val, F.lit(""))))
+    conds = F.when(F.forall(conds, lambda x: x.isNotNull()), conds)
     where = F.when(F.size(s.conds) > 0, F.concat(F.lit(" WHERE "), F.array_join(conds, " AND "))).otherwise(F.lit(""))
     return df.withColumn(out, F.concat(head, where))
 
@@ -323,7 +346,7 @@ def spans_from_conditions(df: DataFrame, question: str = "question", spec: str =
 
 def number_within(df: DataFrame, group: str, pos: str, out: str = "qid") -> DataFrame:
     """Running number of each row inside its group, id = ``group-n``."""
-    r = ranked(df, [F.col(pos)], width_bucket(pos, 1 << 16), group, name="__n")
+    r = ranked(df, [pos], group, name="__n")
     return r.withColumn(out, F.concat_ws("-", F.col(group), (F.col("__n") - 1).cast("string"))).drop("__n")
 
 

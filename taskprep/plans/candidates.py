@@ -1,8 +1,8 @@
 """Registered candidate-ranking queries.
 
-best_select: ``embeddings`` vectors give column probabilities (softmax of
-the first 5 values, one per melted ``orders`` column) and aggregate
-probabilities (softmax of the next 6).
+best_select: ``embeddings`` vectors give aggregate probabilities (softmax of
+the first 6 values) and column probabilities (softmax of all others; the types
+of the melted ``orders`` columns repeat).
 """
 
 from __future__ import annotations
@@ -19,8 +19,9 @@ from taskprep.plans.spec_eval import TYPES
 def best_select(spark: SparkSession, sf: str) -> DataFrame:
     """R8 + F4 + H3: best legal (select column, aggregate) pair."""
     e = _emb(spark, sf)
-    types = F.array(*[F.lit(t) for t in TYPES])
-    b = rank.best_legal_select(A.softmax(F.slice("v", 1, 5)), A.softmax(F.slice("v", 6, 6)), types)
+    cols = F.slice("v", F.lit(7), F.size("v") - 6)
+    types = F.transform(cols, lambda x, i: F.get(F.array(*[F.lit(t) for t in TYPES]), i % len(TYPES)))
+    b = rank.best_legal_select(A.softmax(cols), A.softmax(F.slice("v", 1, 6)), types)
     return e.select("vec_id", b.sel.cast("int").alias("sel"), b.agg.cast("int").alias("agg"),
                     F.round(b.prob, 6).alias("prob"), b.legal.alias("legal"))
 
@@ -28,9 +29,9 @@ def best_select(spark: SparkSession, sf: str) -> DataFrame:
 _T = "['" + "', '".join(TYPES) + "']"
 SQL_BEST_SELECT = f"""
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-p AS (SELECT vec_id, {_softmax_sql('v[1:5]')} AS pc, {_softmax_sql('v[6:11]')} AS pa FROM e),
-r AS (SELECT vec_id, list_sort(flatten(list_transform(range(5), lambda c: list_transform(range(6), lambda a:
-        [-(pc[c + 1] * pa[a + 1]), c, a, CASE WHEN {_T}[c + 1] = 'text' AND a NOT IN (0, 3) THEN 0 ELSE 1 END]))))
+p AS (SELECT vec_id, {_softmax_sql('v[7:]')} AS pc, {_softmax_sql('v[1:6]')} AS pa FROM e),
+r AS (SELECT vec_id, list_sort(flatten(list_transform(range(len(pc)), lambda c: list_transform(range(6), lambda a:
+        [-(pc[c + 1] * pa[a + 1]), c, a, CASE WHEN {_T}[c % {len(TYPES)} + 1] = 'text' AND a NOT IN (0, 3) THEN 0 ELSE 1 END]))))
         AS ranked FROM p),
 c AS (SELECT vec_id, coalesce(list_filter(ranked, lambda x: x[4] = 1)[1], ranked[len(ranked)]) AS b FROM r)
 SELECT vec_id, CAST(b[2] AS INTEGER) AS sel, CAST(b[3] AS INTEGER) AS agg, round(-b[1], 6) AS prob,
@@ -54,7 +55,7 @@ def pruned_candidates(spark: SparkSession, sf: str) -> DataFrame:
         ((F.col("n_nationkey") * 7 + F.col("k") * 3) % 11).cast("double").alias("score"),
         F.lit("customer").alias("table_id"), F.lit(3).alias("sel"), kk.cast("int").alias("agg"),
         F.array(F.struct(F.lit(2).alias("col"), F.lit(0).alias("op"), val.alias("val"))).alias("conds"))
-    cells, meta = catalog(spark, sf)
+    cells, meta = catalog(spark, sf, ["customer"])
     return rank.prune_candidates(cut_lineage(cands), cells, meta, beam=3)
 
 
@@ -76,12 +77,13 @@ FROM s LEFT JOIN k ON k.qid = s.qid AND k.beam_rank = s.beam_rank
 def chosen_conditions(spark: SparkSession, sf: str) -> DataFrame:
     """R9 (+F6, H3): per nation, 4 candidate conditions over ``customer``
     (probabilities = softmax of vector ``vec_id = nation`` values 1..4, counts
-    0..3 = softmax of values 5..8); chosen count, score and conditions."""
+    0..2 = softmax of values 5..7, so more candidates may execute than have a
+    count); chosen count, score and conditions."""
     from taskprep.plans.structured import catalog
     from taskprep.session import cut_lineage, read_table
     nation = read_table(spark, sf, "nation").select("n_nationkey")
     e = _emb(spark, sf).select(F.col("vec_id").alias("n_nationkey"), A.softmax(F.slice("v", 1, 4)).alias("pc"),
-                               A.softmax(F.slice("v", 5, 4)).alias("p_n"))
+                               A.softmax(F.slice("v", 5, 3)).alias("p_n"))
     base = nation.join(e, "n_nationkey").withColumn("cand_no", F.explode(F.sequence(F.lit(0), F.lit(3))))
     n, k = F.col("n_nationkey"), F.col("cand_no")
 
@@ -95,7 +97,7 @@ def chosen_conditions(spark: SparkSession, sf: str) -> DataFrame:
                         c.alias("cond"))
     cands = cut_lineage(cands)
     p_n = base.select(n.alias("qid"), "p_n").distinct()
-    cells, meta = catalog(spark, sf)
+    cells, meta = catalog(spark, sf, ["customer"])
     choice, conds = rank.choose_conditions(cands, p_n, cells, meta)
     listed = conds.groupBy("qid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(
         F.struct("ex_rank", "cand_no"))), lambda x: x.cand_no.cast("string")), ",").alias("conds"))
@@ -106,7 +108,7 @@ def chosen_conditions(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL_CHOSEN_CONDITIONS = f"""
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-p AS (SELECT n.n_nationkey AS qid, {_softmax_sql('v[1:4]')} AS pc, {_softmax_sql('v[5:8]')} AS p_n
+p AS (SELECT n.n_nationkey AS qid, {_softmax_sql('v[1:4]')} AS pc, {_softmax_sql('v[5:7]')} AS p_n
       FROM nation n JOIN e ON e.vec_id = n.n_nationkey),
 c AS (SELECT qid, k.range AS cand_no, pc[k.range + 1] AS prob, p_n,
              CASE k.range

@@ -1,7 +1,7 @@
 """Registered n-best span queries.
 
 Windows come from ``embeddings``: start scores = a row's vector, end scores =
-the next row's vector, window = ``vec_id``, example = ``vec_id div 5``, the
+the next row's vector (its own for the last row), window = ``vec_id``, example = ``vec_id div 5``, the
 context = the document with that id. The first 8 positions of a window are
 question tokens (no offset); position i >= 8 covers 5 characters at
 ``(vec_id % 5) * 100 + (i - 8) * 6`` of the context.
@@ -25,7 +25,7 @@ def windows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     offsets = F.transform(F.sequence(F.lit(0), F.size("embedding") - 1), lambda i: F.when(
         i >= QUESTION_TOKENS, F.struct((base + (i - QUESTION_TOKENS) * 6).alias("st"),
                                        (base + (i - QUESTION_TOKENS) * 6 + 5).alias("ed"))))
-    feats = e.join(nxt, "vec_id").select(
+    feats = e.join(nxt, "vec_id", "left").withColumn("end_logits", F.coalesce("end_logits", "embedding")).select(
         F.col("vec_id").alias("feature_id"), F.floor(F.col("vec_id") / 5).cast("long").alias("example_id"),
         F.col("vec_id").alias("window_no"),
         F.transform("embedding", lambda x: x.cast("double")).alias("start_logits"),
@@ -64,8 +64,8 @@ def null_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SQL_BASE = """
-f AS (SELECT e.vec_id AS fid, e.vec_id // 5 AS example_id, e.vec_id AS window_no, e.embedding AS sl, e2.embedding AS el
-      FROM embeddings e JOIN embeddings e2 ON e2.vec_id = e.vec_id + 1),
+f AS (SELECT e.vec_id AS fid, e.vec_id // 5 AS example_id, e.vec_id AS window_no, e.embedding AS sl, coalesce(e2.embedding, e.embedding) AS el
+      FROM embeddings e LEFT JOIN embeddings e2 ON e2.vec_id = e.vec_id + 1),
 sx AS (SELECT fid, example_id, window_no, i - 1 AS idx, CAST(x AS DOUBLE) AS v
        FROM (SELECT fid, example_id, window_no, unnest(sl) AS x, generate_subscripts(sl, 1) AS i FROM f)),
 ex AS (SELECT fid, example_id, window_no, i - 1 AS idx, CAST(x AS DOUBLE) AS v
@@ -127,18 +127,19 @@ FROM e LEFT JOIN b ON b.example_id = e.example_id LEFT JOIN nul n ON n.example_i
 
 
 def nbest_ranked(spark: SparkSession, sf: str) -> DataFrame:
-    """R2 + J9: candidates from the 5 best starts and, for each, its 5 best
-    ends (end j of start i at i * 5 + j); empty -> "" scored -2e-6."""
+    """R2 + J9: candidates from the 5 best starts and, for each, ends of its own:
+    the i-th best start takes the i-th to (i + 4)-th best ends (end j of start i
+    at i * 5 + j); empty -> "" scored -2e-6."""
     ex, ft = windows(spark, sf)
     s_idx = spans.top_indices("start_logits", 5)
-    e_idx = spans.top_indices("end_logits", 5)
+    e_top = spans.top_indices("end_logits", 9)
+    e_idx = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.slice(e_top, i + 1, 5)))
     ft = ft.select(
         "feature_id", "example_id", "window_no", "offsets",
         s_idx.alias("start_index"), F.transform(s_idx, lambda i: F.element_at("start_logits", i + 1)).alias(
             "start_log_prob"),
-        F.flatten(F.array_repeat(e_idx, 5)).alias("end_index"),
-        F.flatten(F.array_repeat(F.transform(e_idx, lambda i: F.element_at("end_logits", i + 1)), 5)).alias(
-            "end_log_prob"),
+        e_idx.alias("end_index"),
+        F.transform(e_idx, lambda i: F.element_at("end_logits", i + 1)).alias("end_log_prob"),
         F.element_at("start_logits", 1).alias("cls_logit"))
     nb, _ = spans.nbest_spans_ranked(ex, ft, 5, 5)
     return nb.select("example_id", F.col("rank").cast("int").alias("rank"), "text",
@@ -146,9 +147,9 @@ def nbest_ranked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL_NBEST_RANKED = "WITH " + _SQL_BASE + """,
-pr AS (SELECT * FROM pairs WHERE start_rank < 5 AND end_rank < 5),
+pr AS (SELECT *, end_rank - start_rank AS ej FROM pairs WHERE start_rank < 5 AND end_rank - start_rank BETWEEN 0 AND 4),
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY score DESC, window_no,
-                                                     start_rank, end_rank) - 1 AS rk FROM pr) WHERE rk < 20),
+                                                     start_rank, ej) - 1 AS rk FROM pr) WHERE rk < 20),
 txt AS (SELECT k.example_id, k.rk, substr(d.text, k.st + 1, k.ed - k.st) AS text, k.score
         FROM kept k JOIN documents d ON d.doc_id = k.example_id),
 allr AS (SELECT example_id, rk, text, score FROM txt

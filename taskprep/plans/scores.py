@@ -1,7 +1,7 @@
 """Registered score/ranking queries on ``embeddings``.
 
-The first 10 values of a vector are class scores and ``label`` the gold
-class; the 64 values reshape to 8 steps x 8 positions for pointer decoding;
+The values of a vector are class scores and ``label`` the gold class; the 64
+values reshape to 8 steps x 8 positions for pointer decoding;
 slices of the vector stand in for the select/aggregate/where heads of a
 structured-query model. All values are cast to double first.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskprep.functions import arrays as A
-from taskprep.operators import metrics, tasks
+from taskprep.operators import metrics, rank, tasks
 from taskprep.session import read_table
 
 
@@ -27,9 +27,9 @@ def _r(c, name):
 
 def class_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Argmax class, probability at gold and at prediction,
-    cross-entropy, sigmoid of the gold score, binary log-loss over the 10 classes."""
-    e = _emb(spark, sf).withColumn("s", F.slice("v", 1, 10))
-    onehot = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (i == F.col("label")).cast("double"))
+    cross-entropy, sigmoid of the gold score, binary log-loss over all classes."""
+    e = _emb(spark, sf).withColumn("s", F.col("v"))
+    onehot = F.transform("s", lambda x, i: (i == F.col("label")).cast("double"))
     return e.select("vec_id", "label", A.argmax("s").alias("pred"), _r(A.prob_at("s", F.col("label")), "p_gold"),
                     _r(F.array_max(A.softmax("s")), "p_pred"), _r(A.log_loss("s", "label"), "loss"),
                     _r(F.element_at(A.sigmoid("s"), F.col("label") + 1), "sig_gold"),
@@ -44,14 +44,14 @@ def _softmax_sql(l: str) -> str:
 
 
 SQL_CLASS_PREDICTIONS = f"""
-WITH e AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings)
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS s FROM embeddings)
 SELECT vec_id, label, CAST(list_position(s, list_max(s)) - 1 AS INTEGER) AS pred,
        round({_softmax_sql('s')}[label + 1], 6) AS p_gold,
        round(list_max({_softmax_sql('s')}), 6) AS p_pred,
        round(ln(list_sum(list_transform(s, lambda x: exp(x - list_max(s))))) + list_max(s) - s[label + 1], 6) AS loss,
        round(1.0 / (1.0 + exp(-s[label + 1])), 6) AS sig_gold,
-       round(list_sum(list_transform(list_zip(s, list_transform(range(10), lambda i: CASE WHEN i = label THEN 1.0 ELSE 0.0 END)),
-             lambda p: greatest(p[1], 0.0) - p[1] * p[2] + ln(1 + exp(-abs(p[1]))))) / 10, 6) AS bce
+       round(list_sum(list_transform(list_zip(s, list_transform(range(len(s)), lambda i: CASE WHEN i = label THEN 1.0 ELSE 0.0 END)),
+             lambda p: greatest(p[1], 0.0) - p[1] * p[2] + ln(1 + exp(-abs(p[1]))))) / len(s), 6) AS bce
 FROM e
 """
 
@@ -59,7 +59,7 @@ FROM e
 def topk_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Top-3 classes (by score, and re-sorted by index), top-3 cells of the 8x8 grid."""
     e = _emb(spark, sf)
-    s = F.slice("v", 1, 10)
+    s = F.col("v")
     nd = A.topk_nd("v", 8, 8, 3)
     return e.select("vec_id", F.array_join(A.topk_indices(s, 3), ",").alias("top3"),
                     F.array_join(A.topk_indices(s, 3, by_index=True), ",").alias("top3_by_index"),
@@ -69,7 +69,7 @@ def topk_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 SQL_TOPK_SCORES = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-g AS (SELECT vec_id, list_transform(list_grade_up(list_transform(v[1:10], lambda x: -x))[1:3], lambda i: i - 1) AS t3,
+g AS (SELECT vec_id, list_transform(list_grade_up(list_transform(v, lambda x: -x))[1:3], lambda i: i - 1) AS t3,
              list_transform(list_grade_up(list_transform(v, lambda x: -x))[1:3], lambda i: i - 1) AS g3 FROM e)
 SELECT vec_id, array_to_string(t3, ',') AS top3, array_to_string(list_sort(t3), ',') AS top3_by_index,
        array_to_string(list_transform(g3, lambda i: CAST(i // 8 AS VARCHAR) || ':' || CAST(i % 8 AS VARCHAR)), ',')
@@ -115,8 +115,7 @@ def classification_metrics(spark: SparkSession, sf: str) -> DataFrame:
     """Per-row and batch-averaged accuracy and loss, MSE,
     combined score and the all-rows loss, for two tasks (label parity)."""
     e = _emb(spark, sf).withColumn("task", (F.col("label") % 2).cast("int"))
-    s10 = F.slice("v", 1, 10)
-    e = e.withColumn("pred", A.argmax(s10)).withColumn("loss", A.log_loss(s10, "label"))
+    e = e.withColumn("pred", A.argmax("v")).withColumn("loss", A.log_loss("v", "label"))
     b = tasks.assign_batches(e, 32, order="vec_id", by="task")
     per_batch = b.groupBy("task", "batch").agg(F.avg("loss").alias("batch_loss"), F.count(F.lit(1)).alias("n"))
     acc = metrics.accuracy(e, "pred", "label", ["task"])
@@ -136,9 +135,8 @@ def classification_metrics(spark: SparkSession, sf: str) -> DataFrame:
 SQL_CLASSIFICATION_METRICS = """
 WITH e AS (SELECT vec_id, label, CAST(label % 2 AS INTEGER) AS task,
                   list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-p AS (SELECT *, list_position(v[1:10], list_max(v[1:10])) - 1 AS pred,
-             ln(list_sum(list_transform(v[1:10], lambda x: exp(x - list_max(v[1:10]))))) + list_max(v[1:10])
-               - v[1:10][label + 1] AS loss,
+p AS (SELECT *, list_position(v, list_max(v)) - 1 AS pred,
+             ln(list_sum(list_transform(v, lambda x: exp(x - list_max(v))))) + list_max(v) - v[label + 1] AS loss,
              (row_number() OVER (PARTITION BY task ORDER BY vec_id) - 1) // 32 AS batch FROM e),
 pb AS (SELECT task, batch, avg(CASE WHEN pred = label THEN 1.0 ELSE 0.0 END) AS bacc, avg(loss) AS bl,
               count(*) AS n FROM p GROUP BY task, batch),
@@ -153,39 +151,50 @@ FROM r JOIN b ON b.task = r.task
 """
 
 
+SLOTS = 3
+
+
 def spec_probability(spark: SparkSession, sf: str) -> DataFrame:
-    """Joint probability of a decoded spec from head scores: select =
-    p(col) * p(agg); where = p(n) * product over the n conditions of
-    p(col) * p(op) * p(start) * p(end); total = select * where."""
+    """Joint probability of a decoded spec. The vector's values are
+    the heads: 8 columns, 6 aggregates, 4 counts (0 to 3 conditions), 8
+    condition columns, then for each of 3 slots 3 operators, 4 value starts and
+    the rest as value ends (5 each). The n most probable condition columns are
+    taken, each slot decides its own operator, start and end."""
     e = _emb(spark, sf)
-    col, agg, wn = F.slice("v", 1, 8), F.slice("v", 9, 6), F.slice("v", 15, 4)
-    wc, wo, st, ed = F.slice("v", 19, 8), F.slice("v", 27, 3), F.slice("v", 30, 16), F.slice("v", 46, 16)
 
-    def best(a):
-        return F.array_max(A.softmax(a))
+    def head(at, n):
+        return A.softmax(F.slice("v", at, n))
+
+    def slot(at, n):
+        return F.slice(F.array(*[F.array_max(head(at + k * n, n)) for k in range(SLOTS)]), F.lit(1), F.col("n"))
 
-    n = A.argmax(wn)
-    cond_p = best(wc) * best(wo) * best(st) * best(ed)
-    where = best(wn) * A.product(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                                             lambda i: F.when(i <= n, cond_p).otherwise(F.lit(1.0))))
-    select = best(col) * best(agg)
-    return e.select("vec_id", n.alias("wn"), _r(select, "p_select"), _r(where, "p_where"), _r(select * where, "p_total"))
+    cols = A.topk_indices(F.slice("v", 19, 8), SLOTS)
+    e = e.withColumn("n", A.argmax(F.slice("v", 15, 4))).withColumns({
+        "sc": F.array_max(head(1, 8)), "sa": F.array_max(head(9, 6)), "pn": F.array_max(head(15, 4)),
+        "wc": F.transform(F.slice(cols, F.lit(1), F.col("n")), lambda i: F.get(head(19, 8), i)),
+        "wo": slot(27, 3), "st": slot(36, 4), "ed": slot(48, 5)})
+    out = rank.spec_probability(e, "sc", "sa", "pn", "wc", "wo", "st", "ed")
+    return out.select("vec_id", F.col("n").alias("wn"), *(_r(F.col(c), c) for c in ("p_select", "p_where", "p_total")))
 
 
 def _best_sql(l: str) -> str:
     return f"list_max({_softmax_sql(l)})"
 
 
+def _slots_sql(at: int, n: int) -> str:
+    return "[" + ", ".join(_best_sql(f"v[{at + k * n}:{at + k * n + n - 1}]") for k in range(SLOTS)) + "]"
+
+
 SQL_SPEC_PROBABILITY = f"""
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 p AS (SELECT vec_id, CAST(list_position(v[15:18], list_max(v[15:18])) - 1 AS INTEGER) AS wn,
-             {_best_sql('v[1:8]')} * {_best_sql('v[9:14]')} AS sel,
-             {_best_sql('v[15:18]')} AS pn,
-             {_best_sql('v[19:26]')} * {_best_sql('v[27:29]')} * {_best_sql('v[30:45]')} * {_best_sql('v[46:61]')} AS pc
-      FROM e)
-SELECT vec_id, wn, round(sel, 6) AS p_select, round(pn * pow(pc, wn), 6) AS p_where,
-       round(sel * pn * pow(pc, wn), 6) AS p_total
-FROM p
+             {_best_sql('v[1:8]')} * {_best_sql('v[9:14]')} AS sel, {_best_sql('v[15:18]')} AS pn,
+             list_reverse_sort({_softmax_sql('v[19:26]')}) AS wc,
+             {_slots_sql(27, 3)} AS wo, {_slots_sql(36, 4)} AS st, {_slots_sql(48, 5)} AS ed FROM e),
+c AS (SELECT vec_id, product(wc[i] * wo[i] * st[i] * ed[i]) AS pc FROM (SELECT *, unnest(range(1, wn + 1)) AS i FROM p) GROUP BY vec_id)
+SELECT p.vec_id, wn, round(sel, 6) AS p_select, round(pn * coalesce(pc, 1.0), 6) AS p_where,
+       round(sel * pn * coalesce(pc, 1.0), 6) AS p_total
+FROM p LEFT JOIN c ON c.vec_id = p.vec_id
 """
 
 

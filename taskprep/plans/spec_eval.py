@@ -56,6 +56,17 @@ def component_scores(spark: SparkSession, sf: str) -> DataFrame:
     return f.select("qid", "sc", "sa", "wn", "wc", "wo", "wv", "lx")
 
 
+def value_span_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """A5: predicted value spans against gold ones. A condition's value spans
+    [col * 7, col * 7 + length of the value); the predictions of every eleventh
+    order are a character off."""
+    off = F.when(F.col("qid") % 11 == 0, F.lit(1)).otherwise(F.lit(0))
+    span = lambda c, by: F.struct((c.col * 7 + by).alias("st"), (c.col * 7 + F.length(c.val) + by).alias("ed"))
+    rows = pairs(spark, sf).withColumn("g_spans", F.transform(F.col("g").conds, lambda c: span(c, F.lit(0)))).withColumn(
+        "p_spans", F.transform(F.col("p").conds, lambda c: span(c, off)))
+    return C.value_span_flags(rows).select("qid", "wvi")
+
+
 def component_totals(spark: SparkSession, sf: str) -> DataFrame:
     """A2 counts and accuracies; lx = logical-form accuracy."""
     t = C.component_totals(C.component_flags(pairs(spark, sf)))
@@ -166,8 +177,11 @@ def pointer_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     pr = pr.withColumn("gp", TK.spec_to_pointers("gs")).withColumn("pp", TK.spec_to_pointers("ps"))
     back = TK.pointers_to_spec("gp")
     text = F.array_join(F.transform("gp", lambda t: F.concat_ws(":", t.kind, t.value.cast("string"))), ",")
-    return pr.select("qid", text.alias("pointers"), (back == F.col("gs")).alias("roundtrip"),
-                     sequence_match("gp", "pp").alias("seq_match"))
+    part = lambda c: F.concat_ws(":", *(c[k].cast("string") for k in ("col", "op", "st", "ed")))
+    return pr.withColumn("back", back).select(
+        "qid", text.alias("pointers"), F.col("back.sel").alias("sel"), F.col("back.agg").alias("agg"),
+        F.array_join(F.transform("back.conds", part), ",").alias("conds"), F.col("back.malformed").alias("malformed"),
+        sequence_match("gp", "pp").alias("seq_match"))
 
 
 def _pointer_sql(sel: str, agg: str, conds: str) -> str:
@@ -179,10 +193,23 @@ def _pointer_sql(sel: str, agg: str, conds: str) -> str:
 SQL_POINTER_ROUNDTRIP = "WITH " + _SQL_PAIRS + f""",
 pt AS (SELECT qid, {_pointer_sql('g_sel', 'g_agg', 'g_conds')} AS gp, {_pointer_sql('p_sel', 'p_agg', 'p_conds')} AS pp
        FROM pr)
-SELECT qid, array_to_string(gp, ',') AS pointers, TRUE AS roundtrip, CAST(gp = pp AS INTEGER) AS seq_match FROM pt
+SELECT pt.qid, array_to_string(gp, ',') AS pointers, pr.g_sel AS sel, pr.g_agg AS agg,
+       array_to_string(list_transform(pr.g_conds, lambda c, i: c.col || ':' || c.op || ':' || (i - 1) || ':' || i), ',') AS conds,
+       FALSE AS malformed, CAST(gp = pp AS INTEGER) AS seq_match
+FROM pt JOIN pr ON pr.qid = pt.qid
+"""
+
+SQL_VALUE_SPAN_SCORES = "WITH " + _SQL_PAIRS + """,
+sp AS (SELECT qid, len(g_conds) = len(p_conds) AS same,
+              list_transform(g_sorted, lambda c: [c.col * 7, c.col * 7 + length(c.val)]) AS gold,
+              list_transform(p_conds, lambda c: [c.col * 7 + CAST(qid % 11 = 0 AS INTEGER), c.col * 7 + length(c.val) + CAST(qid % 11 = 0 AS INTEGER)]) AS pred
+       FROM gs)
+SELECT qid, CAST(same AND gold = pred AS INTEGER) AS wvi FROM sp
 """
 
 QUERIES = {"component_scores": component_scores, "component_totals": component_totals,
-           "rendered_specs": rendered_specs, "pointer_roundtrip": pointer_roundtrip}
+           "rendered_specs": rendered_specs, "pointer_roundtrip": pointer_roundtrip,
+           "value_span_scores": value_span_scores}
 ORACLE = {"component_scores": SQL_COMPONENT_SCORES, "component_totals": SQL_COMPONENT_TOTALS,
-          "rendered_specs": SQL_RENDERED_SPECS, "pointer_roundtrip": SQL_POINTER_ROUNDTRIP}
+          "rendered_specs": SQL_RENDERED_SPECS, "pointer_roundtrip": SQL_POINTER_ROUNDTRIP,
+          "value_span_scores": SQL_VALUE_SPAN_SCORES}

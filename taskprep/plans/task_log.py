@@ -1,12 +1,13 @@
 """Registered sequential-task log queries on ``events``.
 
-``event_type`` = task (numbered in name order), day of ``ts`` = stage (days
-since the first event), mean ``value`` of a (stage, task) = its accuracy.
+``event_type`` = task (all types that occur, numbered in name order), day of
+``ts`` = stage (days since the first event), mean ``value`` of a (stage, task)
+= its accuracy.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taskprep.functions.text import coerce_number
@@ -14,16 +15,14 @@ from taskprep.operators import metrics
 from taskprep.session import read_table
 from taskprep.sources import sinks
 
-TASKS = ["click", "error", "purchase", "signup", "view"]
-
-
 def _task_metrics(spark: SparkSession, sf: str) -> DataFrame:
     ev = read_table(spark, sf, "events").select("ts", "event_type", "value")
-    stage = F.datediff(F.to_date("ts"), F.to_date(F.lit("2024-01-01"))).cast("int")
+    first = ev.agg(F.min(F.to_date("ts"))).scalar()
+    stage = F.datediff(F.to_date("ts"), first).cast("int")
     per = ev.groupBy(stage.alias("stage"), "event_type").agg(F.avg("value").alias("test_acc"),
                                                           F.count(F.lit(1)).alias("n"))
-    task_no = F.array_position(F.array(*[F.lit(t) for t in TASKS]), F.col("event_type")) - 1
-    return per.withColumn("task", task_no.cast("int"))
+    # one row a (stage, type)
+    return per.withColumn("task", (F.dense_rank().over(Window.orderBy("event_type")) - 1).cast("int"))
 
 
 def stage_averages(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,8 +41,9 @@ def best_epochs(spark: SparkSession, sf: str) -> DataFrame:
 def accuracy_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """Stage x task matrix of accuracies."""
     tm = _task_metrics(spark, sf)
-    m = metrics.accuracy_matrix(tm, TASKS, task="event_type")
-    return m.select("stage", *[F.round(t, 6).alias(t) for t in TASKS])
+    tasks = [r[0] for r in tm.select("event_type").distinct().orderBy("event_type").collect()]  # the columns
+    m = metrics.accuracy_matrix(tm, tasks, task="event_type")
+    return m.select("stage", *[F.round(t, 6).alias(t) for t in tasks])
 
 
 def metric_log(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,11 +66,12 @@ def run_summaries(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("event_type", F.round("avg_loss", 6).alias("avg_loss"), F.round("acc", 6).alias("acc"), "n")
 
 
-_SQL_TM = f"""
-tm AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS stage, event_type,
-              avg(value) AS test_acc, count(*) AS n,
-              CAST(list_position({[t for t in TASKS]}, event_type) - 1 AS INTEGER) AS task
-       FROM events GROUP BY 1, 2)"""
+# The matrix has a column a task; SQL must name those of the given table.
+TASKS = ["click", "error", "purchase", "signup", "view"]
+_SQL_TM = """
+tm0 AS (SELECT CAST(date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) AS INTEGER) AS stage, event_type,
+               avg(value) AS test_acc, count(*) AS n FROM events GROUP BY 1, 2),
+tm AS (SELECT *, CAST(dense_rank() OVER (ORDER BY event_type) - 1 AS INTEGER) AS task FROM tm0)"""
 
 SQL_STAGE_AVERAGES = f"""WITH {_SQL_TM}
 SELECT stage, round(100.0 * avg(test_acc), 6) AS avg_acc, count(*) AS n_tasks FROM tm WHERE task <= stage GROUP BY stage

@@ -125,25 +125,33 @@ FROM lab JOIN po ON po.source = lab.source
 
 
 def task_union(spark: SparkSession, sf: str) -> DataFrame:
-    """U2 + U3: one task per language with shared labels, unioned, then sliced back by task."""
-    lab = _labelled_docs(spark, sf).join(read_table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    parts = [(lang, lab.filter(F.col("lang") == lang)) for lang in ("de", "en", "es", "fr")]
-    union = tasks.union_tasks(parts, offset=False)
-    per = [tasks.task_slice(union, "task", t).groupBy("task", "task_no").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("n_positive")) for t, _ in parts]
-    out = per[0]
-    for p in per[1:]:
-        out = out.unionByName(p)
-    return out
+    """U2 + U3: every language is a task with shared labels, in one pass over the documents."""
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "lang", "text"))
+    labels = read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    union = tasks.as_tasks(clean.prepare_text(docs, "text").join(labels, "doc_id"), "lang")
+    return union.groupBy("task", "task_no").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("n_positive"))
 
 
 SQL_TASK_UNION = f"""
-WITH lab AS ({_sql_labelled()})
-SELECT d.lang AS task, CAST(CASE d.lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS INTEGER)
-       AS task_no, CAST(count(*) AS BIGINT) AS n, CAST(sum(lab.label) AS BIGINT) AS n_positive
-FROM lab JOIN documents d ON d.doc_id = lab.doc_id
-WHERE d.lang IN ('de', 'en', 'es', 'fr')
-GROUP BY d.lang
+WITH lab AS ({_sql_labelled()}),
+j AS (SELECT d.lang AS task, lab.label FROM lab JOIN documents d ON d.doc_id = lab.doc_id WHERE d.lang IS NOT NULL),
+no AS (SELECT task, CAST(row_number() OVER (ORDER BY task) - 1 AS INTEGER) AS task_no FROM (SELECT DISTINCT task FROM j))
+SELECT j.task, no.task_no, CAST(count(*) AS BIGINT) AS n, CAST(sum(j.label) AS BIGINT) AS n_positive
+FROM j JOIN no USING (task) GROUP BY j.task, no.task_no
+"""
+
+
+def union_with_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Two label tables as tasks, the second one's labels after the first one's."""
+    quality = read_table(spark, sf, "labels").select(F.col("doc_id").alias("item"), F.col("quality").cast("long").alias("label"))
+    vectors = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").cast("long").alias("label"))
+    out = tasks.union_tasks([("quality", quality), ("vectors", vectors)], n_classes={"quality": 2, "vectors": 10})
+    return out.select("task", "task_no", "item", "label")
+
+
+SQL_UNION_WITH_OFFSETS = """
+SELECT 'quality' AS task, 0 AS task_no, doc_id AS item, CAST(quality AS BIGINT) AS label FROM labels
+UNION ALL SELECT 'vectors', 1, vec_id, CAST(label AS BIGINT) + 2 FROM embeddings
 """
 
 
@@ -266,7 +274,7 @@ QUERIES = {
     "clean_documents": clean_documents,
     "prepared_rows": prepared_rows,
     "label_offsets": label_offsets,
-    "task_union": task_union,
+    "task_union": task_union, "union_with_offsets": union_with_offsets,
     "sample_per_task": sample_per_task,
     "split_validation": split_validation,
     "shuffle_head_orders": shuffle_head_orders,
@@ -282,7 +290,7 @@ ORACLE = {
     "clean_documents": SQL_CLEAN_DOCUMENTS,
     "prepared_rows": SQL_PREPARED_ROWS,
     "label_offsets": SQL_LABEL_OFFSETS,
-    "task_union": SQL_TASK_UNION,
+    "task_union": SQL_TASK_UNION, "union_with_offsets": SQL_UNION_WITH_OFFSETS,
     "sample_per_task": SQL_SAMPLE_PER_TASK,
     "split_validation": SQL_SPLIT_VALIDATION,
     "shuffle_head_orders": SQL_SHUFFLE_HEAD_ORDERS,

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import pandas as pd
 import pytest
 
@@ -32,6 +34,11 @@ def test_align_and_components(spark):
         "p struct<sel:int,agg:int,conds:array<struct<col:int,op:int,val:string>>>")
     f = components.component_flags(df).collect()[0]
     assert (f.sc, f.sa, f.wn, f.wc, f.wo, f.wv, f.lx) == (1, 1, 1, 1, 1, 1, 1)
+    span = "array<struct<st:int,ed:int>>"
+    spans = df.select("g", "p", F.expr(f"from_json('[{{\"st\":4,\"ed\":5}},{{\"st\":0,\"ed\":1}}]', '{span}')").alias("g_spans"),
+                      F.expr(f"from_json('[{{\"st\":0,\"ed\":1}},{{\"st\":4,\"ed\":5}}]', '{span}')").alias("p_spans"))
+    assert components.value_span_flags(spans).collect()[0].wvi == 1
+    assert components.value_span_flags(spans, mode="train").collect()[0].wvi == 0
     a = components.align_conditions(df).collect()[0].p_aligned
     assert [c.col for c in a] == [2, 0]
 
