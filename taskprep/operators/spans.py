@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taskprep.session import cut_lineage
+
 # Fixed values of the original post-processing.
 N_BEST = 20
 MAX_ANSWER_TOKENS = 30
@@ -75,7 +77,7 @@ def nbest_spans(examples: DataFrame, features: DataFrame, n: int = N_BEST, max_l
     best:  example_id, prediction_text[, score_diff]
     """
     cand = _window_candidates(features, n, max_len)
-    nulls = min_null_scores(features)
+    nulls = cut_lineage(min_null_scores(features)) if allow_null else None
     order = [F.desc("score"), F.asc("is_null"), F.asc("window_no"), F.asc("start_rank"), F.asc("end_rank")]
     if allow_null:
         null_c = nulls.select("example_id", F.lit(-1).alias("window_no"), F.lit(0).alias("start_rank"),
@@ -87,17 +89,17 @@ def nbest_spans(examples: DataFrame, features: DataFrame, n: int = N_BEST, max_l
         cand = cand.unionByName(null_c)
         order = [F.desc("score"), F.asc("window_no"), F.asc("start_rank"), F.asc("end_rank")]
     w = Window.partitionBy("example_id").orderBy(*order)
-    kept = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    # at most n rows an example from here on: written once, read by what follows
+    kept = cut_lineage(cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n))
     if allow_null:
         # re-add the null candidate when it was cut
         zero = (F.col("st") == 0) & (F.col("ed") == 0)
         has_zero = kept.groupBy("example_id").agg(F.max(zero.cast("int")).alias("hz"))
-        missing = cand.filter("is_null").join(has_zero.filter("hz = 0"), "example_id", "left_semi").withColumn(
-            "rank", F.lit(n + 1))
+        missing = null_c.join(has_zero.filter("hz = 0"), "example_id", "left_semi").withColumn("rank", F.lit(n + 1))
         kept = kept.unionByName(missing)
     ctx = examples.select("example_id", "context")
-    texts = kept.join(ctx, "example_id").withColumn(
-        "text", F.expr("substring(context, st + 1, ed - st)")).drop("context")
+    texts = cut_lineage(kept.join(ctx, "example_id").withColumn(
+        "text", F.expr("substring(context, st + 1, ed - st)")).drop("context"))
     # placeholder when nothing is left, or only one empty text
     stats = texts.groupBy("example_id").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("text") != "").alias("any_text"))
     need = examples.select("example_id").join(stats, "example_id", "left").filter(
