@@ -83,6 +83,57 @@ def token_ids(df: DataFrame, tokens: str, vocab: DataFrame, key: str, out: str =
     return df.join(held, key, "left").withColumn(out, F.coalesce(ids, F.array().cast("array<int>"))).drop("__m")
 
 
+# The mark of a piece inside a word.
+CONTINUATION = "##"
+
+
+def word_pieces(words: DataFrame, vocab: DataFrame, max_piece: int) -> DataFrame:
+    """(word, pieces): each distinct word cut greedily into its longest vocabulary
+    prefixes (later pieces are looked up with the continuation mark); a word
+    with a place where no piece fits is the one piece ``[UNK]``.
+
+    Every substring of up to ``max_piece`` characters is joined to the
+    vocabulary once a distinct word; the cut is a fold over the longest piece
+    at each place."""
+    w = words.select("word").filter("word <> ''").distinct()
+    start = F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("st")
+    at = w.select("word", start)
+    size = F.explode(F.sequence(F.lit(1), F.least(F.lit(max_piece), F.length("word") - F.col("st")))).alias("n")
+    at = at.select("word", "st", size)
+    token = F.concat(F.when(F.col("st") > 0, F.lit(CONTINUATION)).otherwise(F.lit("")), F.substring("word", F.col("st") + 1, F.col("n")))
+    fits = at.withColumn("token", token).join(vocab.select("token"), "token", "left_semi")
+    longest = fits.groupBy("word", "st").agg(F.max("n").alias("n"))
+    held = longest.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("st", "n"))).alias("m"))
+    init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<tok:string,st:int,ed:int>>").alias("out"))
+
+    def step(acc, _):
+        n = F.try_element_at("m", acc.pos)
+        mark = F.when(acc.pos > 0, F.lit(CONTINUATION)).otherwise(F.lit(""))
+        piece = F.struct(F.concat(mark, F.substring("word", acc.pos + 1, n)).alias("tok"), acc.pos.alias("st"), (acc.pos + n).alias("ed"))
+        more = F.struct((acc.pos + n).alias("pos"), F.concat(acc.out, F.array(piece)).alias("out"))
+        return F.when((acc.pos < F.length("word")) & n.isNotNull(), more).otherwise(acc)
+
+    cut = F.aggregate(F.sequence(F.lit(1), F.length("word")), init, step)
+    whole = F.array(F.struct(F.lit("[UNK]").alias("tok"), F.lit(0).alias("st"), F.length("word").alias("ed")))
+    done = w.join(held, "word", "left").withColumn("cut", F.when(F.col("m").isNotNull(), cut))
+    return done.select("word", F.when(F.col("cut.pos") == F.length("word"), F.col("cut.out")).otherwise(whole).alias("pieces"))
+
+
+def subword_tokens(df: DataFrame, tokens: str, key: str, vocab: DataFrame, max_piece: int = 16, out: str = "pieces") -> DataFrame:
+    """The sub-tokens of each row's ``tokens`` (struct tok, st, ed), as an
+    array of (tok, st, ed, word): character offsets in the text, and the word's
+    number. ``key`` names the row."""
+    words = df.select(key, F.transform(tokens, lambda t: t.tok).alias("__w"))
+    cut = word_pieces(words.select(F.explode("__w").alias("word")), vocab, max_piece)
+    held = _looked_up(words, key, "__w", cut, "word", "pieces")
+
+    def placed(t, i):
+        return F.transform(F.try_element_at("__m", t.tok), lambda p: F.struct(
+            p.tok.alias("tok"), (t.st + p.st).alias("st"), (t.st + p.ed).alias("ed"), i.alias("word")))
+
+    return df.join(held, key, "left").withColumn(out, F.flatten(F.transform(tokens, placed))).drop("__m")
+
+
 def encode(ids, max_len: int | None, markers: bool = True) -> F.Column:
     """[CLS] + ids + [SEP], truncated to ``max_len`` if given (ids cut, markers kept)."""
     a = F.col(ids) if isinstance(ids, str) else ids

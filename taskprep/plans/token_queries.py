@@ -127,6 +127,26 @@ SELECT doc_id, NULL, NULL, NULL, 0, 0, TRUE, 0 FROM d WHERE room <= {WIN_STRIDE}
 """
 
 
+MAX_PIECE = 4
+
+
+def subword_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """T10 + T7: the documents' words cut into sub-tokens. The vocabulary holds
+    every beginning of up to four characters, and every inner piece of up to
+    two, of the words of ``conversations``."""
+    conv = read_table(spark, sf, "conversations").select(F.explode(_words(F.col("text"))).alias("w")).distinct()
+    head = conv.select(F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_PIECE), F.length("w"))), lambda n: F.substring(F.col("w"), F.lit(1), n))).alias("token"))
+    inner = conv.filter(F.length("w") > 1).select("w", F.explode(F.sequence(F.lit(2), F.length("w"))).alias("p"))
+    inner = inner.select("w", "p", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    inner = inner.filter("p + n - 1 <= length(w)").select(F.concat(F.lit(TK.CONTINUATION), F.substring("w", F.col("p"), F.col("n"))).alias("token"))
+    vocab = head.union(inner).distinct()
+    docs = TK.tokenize(spread(read_table(spark, sf, "documents").select("doc_id", "text")), "text", "tokens", lower=True)
+    out = TK.subword_tokens(docs.select("doc_id", "tokens"), "tokens", "doc_id", vocab, MAX_PIECE)
+    return out.select("doc_id", F.size("pieces").alias("n_pieces"), F.size(F.filter("pieces", lambda p: p.tok == "[UNK]")).alias("n_unknown"),
+                      F.md5(F.array_join(F.transform("pieces", lambda p: p.tok), " ")).alias("pieces_md5"),
+                      F.md5(F.array_join(F.transform("pieces", lambda p: F.concat_ws("-", p.st.cast("string"), p.ed.cast("string"))), ",")).alias("offsets_md5"))
+
+
 def segments(spark: SparkSession, sf: str) -> DataFrame:
     """T9 + T11 + J7: benchmark words in 5-word segments packed with one
     separator; intervals, lengths, and the segment of every position (-1 on
@@ -146,6 +166,32 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
                     .alias("located"))
 
 
+SQL_SUBWORD_TOKENS = f"""
+WITH RECURSIVE cw AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '')) AS w FROM conversations),
+vocab AS (SELECT substr(w, 1, n) AS token FROM (SELECT w, unnest(range(1, least({MAX_PIECE}, length(w)) + 1)) AS n FROM cw)
+          UNION SELECT '##' || substr(w, p, n) FROM (SELECT w, p, unnest([1, 2]) AS n FROM (SELECT w, unnest(range(2, length(w) + 1)) AS p FROM cw))
+          WHERE p + n - 1 <= length(w)),
+dw AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\S+')) AS raw, generate_subscripts(regexp_extract_all(text, '\\S+'), 1) AS i FROM documents),
+gap AS (SELECT doc_id, unnest(string_split_regex(text, '\\S+')) AS sp, generate_subscripts(string_split_regex(text, '\\S+'), 1) AS i FROM documents),
+pl AS (SELECT dw.doc_id, dw.i, lower(raw) AS word,
+              sum(length(sp) + length(raw)) OVER (PARTITION BY dw.doc_id ORDER BY dw.i) - length(raw) AS st
+       FROM dw JOIN gap ON gap.doc_id = dw.doc_id AND gap.i = dw.i),
+ds AS (SELECT DISTINCT word FROM pl),
+fit AS (SELECT word, p, max(n) AS n FROM (SELECT word, p, unnest(range(1, least({MAX_PIECE}, length(word) - p) + 1)) AS n
+        FROM (SELECT word, unnest(range(length(word))) AS p FROM ds)) c
+        JOIN vocab v ON v.token = CASE WHEN p > 0 THEN '##' ELSE '' END || substr(word, p + 1, n) GROUP BY word, p),
+cut AS (SELECT word, 0::BIGINT AS p, 0::BIGINT AS e FROM ds
+        UNION ALL SELECT c.word, c.e, c.e + f.n FROM cut c JOIN fit f ON f.word = c.word AND f.p = c.e),
+ok AS (SELECT word FROM cut GROUP BY word, length(word) HAVING max(e) = length(word)),
+pc AS (SELECT word, p, e, CASE WHEN p > 0 THEN '##' ELSE '' END || substr(word, p + 1, e - p) AS tok FROM cut WHERE e > 0 AND word IN (SELECT word FROM ok)
+       UNION ALL SELECT word, 0, length(word), '[UNK]' FROM ds WHERE word NOT IN (SELECT word FROM ok)),
+a AS (SELECT pl.doc_id, pl.i, pc.p, pc.tok, CAST(pl.st + pc.p AS BIGINT) AS st, CAST(pl.st + pc.e AS BIGINT) AS ed FROM pl JOIN pc ON pc.word = pl.word)
+SELECT doc_id, CAST(count(*) AS INTEGER) AS n_pieces, CAST(count(*) FILTER (tok = '[UNK]') AS INTEGER) AS n_unknown,
+       md5(string_agg(tok, ' ' ORDER BY i, p)) AS pieces_md5, md5(string_agg(st || '-' || ed, ',' ORDER BY i, p)) AS offsets_md5
+FROM a GROUP BY doc_id
+"""
+
+
 SQL_SEGMENTS = """
 WITH b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda t: t <> '') AS w FROM benchmark),
 s AS (SELECT item_id, list_transform(range(CAST(ceil(len(w) / 5) AS BIGINT)), lambda i: len(w[i * 5 + 1: i * 5 + 5])) AS lens
@@ -234,7 +280,7 @@ FROM ix
 """
 
 
-QUERIES = {"decoded_ids": decoded_ids, "subtoken_spans": subtoken_spans, "vocab_build": vocab_build, "token_id_rows": token_id_rows, "qa_windows": qa_windows,
+QUERIES = {"subword_tokens": subword_tokens, "decoded_ids": decoded_ids, "subtoken_spans": subtoken_spans, "vocab_build": vocab_build, "token_id_rows": token_id_rows, "qa_windows": qa_windows,
            "segments": segments, "sublist_matches": sublist_matches}
-ORACLE = {"decoded_ids": SQL_DECODED_IDS, "subtoken_spans": SQL_SUBTOKEN_SPANS, "vocab_build": SQL_VOCAB_BUILD, "token_id_rows": SQL_TOKEN_ID_ROWS, "qa_windows": SQL_QA_WINDOWS,
+ORACLE = {"subword_tokens": SQL_SUBWORD_TOKENS, "decoded_ids": SQL_DECODED_IDS, "subtoken_spans": SQL_SUBTOKEN_SPANS, "vocab_build": SQL_VOCAB_BUILD, "token_id_rows": SQL_TOKEN_ID_ROWS, "qa_windows": SQL_QA_WINDOWS,
           "segments": SQL_SEGMENTS, "sublist_matches": SQL_SUBLIST_MATCHES}

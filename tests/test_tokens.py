@@ -59,6 +59,15 @@ def test_ids_and_text_of_repeated_tokens(spark):
     assert {r.k: r.text for r in text.collect()} == {1: "[CLS] b [UNK] a b [SEP]", 2: "[CLS] [SEP]"}
 
 
+def test_greedy_longest_prefix(spark):
+    vocab = spark.createDataFrame([(t,) for t in ["un", "una", "##ff", "##able", "##a", "##b", "a", "##f"]], "token string")
+    df = TK.tokenize(spark.createDataFrame([(1, "unaffable  ab zz"), (2, None)], "k int, t string"), "t")
+    got = {r.k: r.pieces for r in TK.subword_tokens(df, "tokens", "k", vocab).collect()}
+    assert [(p.tok, p.st, p.ed, p.word) for p in got[1]] == [
+        ("una", 0, 3, 0), ("##ff", 3, 5, 0), ("##able", 5, 9, 0), ("a", 11, 12, 1), ("##b", 12, 13, 1), ("[UNK]", 14, 16, 2)]
+    assert got[2] is None
+
+
 def test_malformed_pointers_are_flagged(spark):
     df = spark.createDataFrame([([("start", 0), ("op", 1), ("vst", 2), ("end", 0)],)], "p array<struct<kind:string,value:int>>")
     back = df.select(TK.pointers_to_spec("p").alias("b")).collect()[0].b
