@@ -25,11 +25,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), h("b").alias("m")).union(edges.select(F.col("b"), h("a")))
         best = both.groupBy("u").agg(F.min("m").alias("m"))
         names = cut_lineage(best.select("u", F.least("m", F.struct(F.xxhash64("u", F.lit(r)).alias("h"), F.col("u").alias("v")))["v"].alias("to")))
-        labels = cut_lineage(labels.join(names, F.col("cur") == F.col("u"), "left")
-                             .select("node", F.coalesce("to", "cur").alias("cur")))
+        # the renamings are applied one after the other when the labels are read
+        labels = labels.join(names, F.col("cur") == F.col("u"), "left").select("node", F.coalesce("to", "cur").alias("cur"))
         a, b = names.select(F.col("u").alias("a"), F.col("to").alias("ta")), names.select(F.col("u").alias("b"), F.col("to").alias("tb"))
         edges = edges.join(a, "a").join(b, "b").filter("ta <> tb")
         edges = cut_lineage(edges.select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
         r += 1
+    labels = cut_lineage(labels)
     roots = labels.groupBy("cur").agg(F.min("node").alias("comp"))
     return labels.join(roots, "cur").select("node", "comp")
