@@ -138,3 +138,25 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     ends = np.zeros(len(counts) + 1, np.int64)
     np.cumsum(counts, out=ends[1:])
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values, kind))
+
+
+def join_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The (kept) words of each document joined by one space: bytes, documents' offsets, words' starts and ends in them.
+
+    Between two words of a document there is at least one separator byte; the
+    one after the first word becomes the space, so nothing but a mask is built.
+    """
+    doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    s, e = (starts, ends) if keep is None else (starts[keep], ends[keep])
+    doc = doc if keep is None else doc[keep]
+    gap = np.zeros(len(s), np.int64)
+    gap[:-1] = doc[:-1] == doc[1:]
+    step = np.zeros(len(buf) + 1, np.int8)
+    step[s] = 1
+    step[e + gap] -= 1
+    data = buf.copy()
+    data[e[gap > 0]] = 0x20
+    data = data[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+    at = np.zeros(len(s) + 1, np.int64)
+    np.cumsum(e - s + gap, out=at[1:])
+    return data, at[np.searchsorted(doc, np.arange(len(first)))], at[:-1], at[:-1] + (e - s)

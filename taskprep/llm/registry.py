@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taskprep.llm import decontaminate, katz, langid, lines, minhash, mixing, passages, quality, substrings, token_counts
+from taskprep.llm import decontaminate, katz, langid, lines, minhash, mixing, passages, quality, runs, substrings, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,8 +15,10 @@ QUERIES = {
     "op8_katz_scores": katz.op8_katz_scores,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_language_id": langid.op10_language_id,
+    "op12_word_runs": runs.op12_word_runs,
 }
 ORACLE = {
     "op5_mix_sources": mixing.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
+    "op12_word_runs": runs.ORACLE,
 }
