@@ -11,6 +11,11 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row, however often ``body`` names it."""
+    return F.transform(F.array(_c(value)), body)[0]
+
+
 def as_double(arr) -> Column:
     return F.transform(_c(arr), lambda x: x.cast("double"))
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from taskprep.functions.arrays import let
+
 WORD_PATTERN = r"\S+"
 CLS_ID, SEP_ID, UNK_ID, PAD_ID = 1, 2, 0, 0
 
@@ -206,13 +208,27 @@ def mask_offsets(df: DataFrame, offsets: str, q_len: str, out: str = "window_off
     return df.withColumn(out, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col(offsets), i - F.col(q_len) - 2)))
 
 
+def running_starts(lens, sep: int = 0) -> F.Column:
+    """Start of each of consecutive segments with ``sep`` places between them.
+
+    Linear: every place of the row is labelled with its segment, and a segment
+    starts where the label changes. Each is given a place more than it has, so
+    that empty ones have a start too.
+    """
+    def changes(owner):
+        return F.filter(F.sequence(F.lit(0), F.size(owner) - 1), lambda p: (p == 0) | (F.get(owner, p) != F.get(owner, p - 1)))
+
+    n = F.col(lens) if isinstance(lens, str) else lens
+    owner = F.flatten(F.transform(n, lambda x, i: F.array_repeat(i, (x + 1).cast("int"))))
+    starts = let(owner, lambda o: F.when(F.size(o) > 0, changes(o)).otherwise(F.array().cast("array<int>")))
+    return F.transform(starts, lambda p, i: (p + i * (sep - 1)).cast("int"))
+
+
 def pack_segments(segments, sep_len: int = 1) -> F.Column:
     """Half-open intervals of consecutive segments separated by ``sep_len``
     separator positions (segment i starts after the previous end + sep)."""
     lens = F.transform(F.col(segments) if isinstance(segments, str) else segments, lambda s: F.size(s))
-    return F.transform(lens, lambda n, i: F.struct(
-        (F.aggregate(F.slice(lens, 1, i), F.lit(0), lambda a, x: a + x + sep_len)).alias("st"),
-        (F.aggregate(F.slice(lens, 1, i), F.lit(0), lambda a, x: a + x + sep_len) + n).alias("ed")))
+    return F.zip_with(running_starts(lens, sep_len), lens, lambda st, n: F.struct(st.alias("st"), (st + n).alias("ed")))
 
 
 def locate_segment(point, intervals) -> F.Column:
@@ -228,7 +244,7 @@ def subtoken_index(subtokens) -> F.Column:
     each word and the word of each sub-token."""
     s = F.col(subtokens) if isinstance(subtokens, str) else subtokens
     lens = F.transform(s, lambda w: F.size(w))
-    starts = F.transform(lens, lambda n, i: F.aggregate(F.slice(lens, 1, i), F.lit(0), lambda a, x: a + x))
+    starts = running_starts(lens)
     word_of = F.flatten(F.transform(lens, lambda n, i: F.array_repeat(i, n)))
     return F.struct(starts.alias("word_start"), word_of.alias("word_of"))
 
