@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from taskprep.llm import decontaminate, katz, langid, lines, minhash, mixing, passages, quality, runs, simhash, substrings, token_counts
+from taskprep.llm import decontaminate, katz, langid, lines, merkle, minhash, mixing, passages, quality, runs, simhash, substrings, token_counts
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_katz_scores": katz.op8_katz_scores,
     "op9_quality_rules": quality.op9_quality_rules,
     "op10_language_id": langid.op10_language_id,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_word_runs": runs.op12_word_runs,
     "op13_simhash_dedup": simhash.op13_simhash_dedup,
 }
 ORACLE = {
     "op5_mix_sources": mixing.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
     "op12_word_runs": runs.ORACLE,
 }
