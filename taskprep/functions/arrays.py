@@ -3,6 +3,9 @@ T2, T3, T11, J12). All are higher-order built-ins evaluated in-row."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,8 +25,7 @@ def as_double(arr) -> Column:
 
 def argmax(arr) -> Column:
     """0-based index of the first maximum."""
-    a = _c(arr)
-    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
+    return let(arr, lambda a: (F.array_position(a, F.array_max(a)) - 1).cast("int"))
 
 
 def topk_indices(arr, k: int, by_index: bool = False) -> Column:
@@ -35,19 +37,11 @@ def topk_indices(arr, k: int, by_index: bool = False) -> Column:
     return F.array_sort(idx) if by_index else idx
 
 
-def all_by_score(arr) -> Column:
-    a = _c(arr)
-    return F.transform(F.array_sort(F.transform(a, lambda x, i: F.struct((-x).alias("k"), i.alias("i")))),
-                       lambda s: s.i.cast("int"))
-
-
 def softmax(arr) -> Column:
-    """H1: max-shifted softmax of an array."""
-    a = _c(arr)
-    m = F.array_max(a)
-    ex = F.transform(a, lambda x: F.exp(x - m))
-    tot = F.aggregate(ex, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(ex, lambda x: x / tot)
+    """H1: max-shifted softmax of an array; maximum, exponentials and their sum are each computed once."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+    shifted = lambda a: let(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m)))
+    return let(arr, lambda a: let(shifted(a), lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t))))
 
 
 def prob_at(arr, idx) -> Column:
@@ -60,18 +54,10 @@ def sigmoid(arr) -> Column:
     return F.transform(_c(arr), lambda x: 1.0 / (1.0 + F.exp(-x)))
 
 
-def gather(arr, idx_arr) -> Column:
-    """Values of ``arr`` at 0-based indices."""
-    a = _c(arr)
-    return F.transform(_c(idx_arr), lambda i: F.element_at(a, i + 1))
-
-
 def log_loss(logits, label) -> Column:
     """Cross-entropy = logsumexp(x) - x[label]."""
-    a = _c(logits)
-    m = F.array_max(a)
-    lse = F.log(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))) + m
-    return lse - F.element_at(a, _c(label) + 1)
+    lse = lambda a, m: F.log(F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))) + m
+    return let(logits, lambda a: let(F.array_max(a), lambda m: lse(a, m)) - F.element_at(a, _c(label) + 1))
 
 
 def binary_log_loss(logits, targets) -> Column:
@@ -92,6 +78,84 @@ def topk_nd(arr, rows: int, cols: int, k: int) -> Column:
                                                (i % cols).cast("int").alias("c"), i.alias("flat")))
 
 
+def topk_multi(arr, shape: Sequence[int], k: int, ids: Sequence | None = None) -> Column:
+    """The k best cells of a score over any number of dimensions, flattened
+    with the last one fastest, as struct(at, score): the coordinates in mixed
+    radix, taken through ``ids`` (an id array or None a dimension) where the
+    score covers chosen ids only. Ties: lower flat index first."""
+    strides = [math.prod(shape[d + 1:]) for d in range(len(shape))]
+    ids = ids or [None] * len(shape)
+
+    def place(i: Column, d: int) -> Column:
+        at = F.floor(i / strides[d]).cast("int") % shape[d]
+        return at if ids[d] is None else F.get(_c(ids[d]), at).cast("int")
+
+    def cells(a: Column) -> Column:
+        return F.transform(topk_indices(a, k), lambda i: F.struct(F.array(*[place(i, d) for d in range(len(shape))]).alias("at"), F.get(a, i).alias("score")))
+
+    return let(arr, cells)
+
+
+def joint_topk(p_first, p_second, p_third, k: int) -> Column:
+    """H3: the k largest products p_first[a] * p_second[a][b] * p_third[a][b][c]
+    as structs (prob, a, b, c), best first; ties: lower a, then b, then c.
+
+    A threshold scan: the first factor is read from its largest value down, and
+    what cannot reach the k-th product found so far is left out before it is
+    multiplied: a whole first index by its largest second factor, a second one
+    by its own (third factors are 1 at most). Of a list of third factors only
+    the k best are looked at. The tensor of all products is never built.
+    """
+    def by_size(a: Column) -> Column:
+        return F.array_sort(F.transform(a, lambda x, i: F.struct((-x).alias("n"), i.alias("i"))))
+
+    def scan(first: Column, second: Column, third: Column) -> Column:
+        empty = F.array().cast("array<struct<n:double,a:int,b:int,c:int>>")
+
+        def products(x: Column, kth: Column) -> Column:
+            own = F.get(second, x["i"])
+            best = lambda b: F.slice(by_size(F.get(F.get(third, x["i"]), b)), 1, k)
+            one = lambda y, b: F.when(x["n"] * y > kth, empty).otherwise(
+                F.transform(best(b), lambda z: F.struct((x["n"] * y * -z["n"]).alias("n"), x["i"].alias("a"), b.alias("b"), z["i"].alias("c"))))
+            return F.flatten(F.transform(own, one))
+
+        def step(top: Column, x: Column) -> Column:
+            kth = F.when(F.size(top) >= k, F.get(top, F.lit(k - 1))["n"]).otherwise(F.lit(0.0))
+            bound = x["n"] * F.coalesce(F.array_max(F.get(second, x["i"])), F.lit(0.0))
+            merged = F.slice(F.array_sort(F.concat(top, products(x, kth))), 1, k)
+            return F.when((F.size(top) >= k) & (bound > kth), top).otherwise(merged)
+
+        return F.aggregate(by_size(first), empty, step)
+
+    got = let(F.struct(_c(p_first).alias("f"), _c(p_second).alias("s"), _c(p_third).alias("t")), lambda r: scan(r["f"], r["s"], r["t"]))
+    return F.transform(got, lambda x: F.struct((-x["n"]).alias("prob"), x["a"].alias("a"), x["b"].alias("b"), x["c"].alias("c")))
+
+
+def mean_loss(scores, gold, length=None) -> Column:
+    """The mean cross-entropy of the rows of a score matrix, row i against
+    class ``gold[i]``; rows beyond the gold list don't count, an empty one gives
+    0. ``length`` masks the positions from there on."""
+    def loss(g: Column, i: Column) -> Column:
+        row = F.get(_c(scores), i)
+        return log_loss(row if length is None else F.slice(row, F.lit(1), _c(length) if isinstance(length, (str, Column)) else F.lit(length)), g)
+
+    terms = lambda gold: F.aggregate(F.transform(gold, loss), F.lit(0.0), lambda s, x: s + x) / F.size(gold)
+    return let(gold, lambda g: F.when(F.size(g) > 0, terms(g)).otherwise(F.lit(0.0)))
+
+
+def span_loss(start_scores, end_scores, spans, length=None, average: bool = False) -> Column:
+    """Loss of the starts plus loss of the ends (or their mean) of a row's spans (st, ed), over score matrices of one row a span."""
+    total = (mean_loss(start_scores, F.transform(_c(spans), lambda s: s["st"]), length)
+             + mean_loss(end_scores, F.transform(_c(spans), lambda s: s["ed"]), length))
+    return total / 2 if average else total
+
+
+def pointer_loss(step_scores, pointers, length=None) -> Column:
+    """Mean loss of a pointer sequence; the scores of step t are for pointer t + 1."""
+    p = _c(pointers)
+    return mean_loss(step_scores, F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), length)
+
+
 def slot_argmax(matrix, n) -> Column:
     """Argmax of each slot (inner array), cut to the first n slots."""
     return F.slice(F.transform(_c(matrix), lambda row: argmax(row)), 1, _c(n) if not isinstance(n, int) else F.lit(n))
@@ -100,7 +164,6 @@ def slot_argmax(matrix, n) -> Column:
 def pair_beam(start_scores, end_scores, beam: int) -> Column:
     """ceil(sqrt(beam)) best starts x best ends, with probability products,
     ordered by probability (then start rank, end rank)."""
-    import math
     k = int(math.ceil(math.sqrt(beam)))
     ps, pe = softmax(start_scores), softmax(end_scores)
     si, ei = topk_indices(start_scores, k), topk_indices(end_scores, k)

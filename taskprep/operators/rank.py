@@ -7,7 +7,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from taskprep.functions import arrays as A
+from taskprep.functions.arrays import let
 from taskprep.operators import specs as SP
+from taskprep.session import cut_lineage
 
 JUNK_SCORE = -9999999
 
@@ -15,16 +18,17 @@ JUNK_SCORE = -9999999
 def best_legal_select(col_probs, agg_probs, col_types) -> F.Column:
     """Rank (column, aggregate) pairs by p(col) * p(agg) (ties: lower column,
     then lower aggregate); take the first pair whose aggregate is legal for the
-    column type (text: none or COUNT), else the last pair of the ranking."""
-    pc = F.col(col_probs) if isinstance(col_probs, str) else col_probs
-    pa = F.col(agg_probs) if isinstance(agg_probs, str) else agg_probs
-    types = F.col(col_types) if isinstance(col_types, str) else col_types
-    pairs = F.flatten(F.transform(pc, lambda p, c: F.transform(pa, lambda q, a: F.struct(
-        (-(p * q)).alias("k"), c.alias("sel"), a.alias("agg"), (p * q).alias("prob"),
-        F.when(F.element_at(types, c + 1) == "text", a.isin(0, 3)).otherwise(F.lit(True)).alias("legal")))))
-    ranked = F.array_sort(pairs)
-    first_legal = F.element_at(F.filter(ranked, lambda x: x.legal), 1)
-    return F.coalesce(first_legal, F.element_at(ranked, -1))
+    column type (text: none or COUNT), else the last pair of the ranking. Both
+    are a minimum or maximum over the pairs; nothing is sorted."""
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+
+    def pairs(r: F.Column) -> F.Column:
+        return F.flatten(F.transform(r["pc"], lambda p, i: F.transform(r["pa"], lambda q, a: F.struct(
+            (-(p * q)).alias("k"), i.alias("sel"), a.alias("agg"), (p * q).alias("prob"),
+            F.when(F.get(r["types"], i) == "text", a.isin(0, 3)).otherwise(F.lit(True)).alias("legal")))))
+
+    best = lambda x: F.coalesce(F.array_min(F.filter(x, lambda y: y["legal"])), F.array_max(x))
+    return let(F.struct(c(col_probs).alias("pc"), c(agg_probs).alias("pa"), c(col_types).alias("types")), lambda r: let(pairs(r), best))
 
 
 def spec_probability(df: DataFrame, sc: str, sa: str, wn: str, wc: str, wo: str, st: str, ed: str) -> DataFrame:
@@ -44,16 +48,24 @@ def spec_probability(df: DataFrame, sc: str, sa: str, wn: str, wc: str, wo: str,
 def prune_candidates(candidates: DataFrame, cells: DataFrame, meta: DataFrame, beam: int,
                      key: str = "qid", score: str = "score", pad: bool = True) -> DataFrame:
     """R10 + U6 + F6: per question, drop duplicate candidate specs (keeping the
-    best score), keep the executable ones (one batch execution for all),
-    cut to ``beam`` by score; with ``pad`` short beams are filled with junk
-    rows scored -9999999.
-
-    candidates: key, spec_id, score, table_id, sel, agg, conds."""
-    sig = F.to_json(F.struct("table_id", "sel", "agg", "conds"))
+    best score), keep those that are executable or cannot be tested yet, cut to
+    ``beam`` by score; with ``pad`` short beams are filled with junk rows
+    scored -9999999.
+
+    candidates: key, spec_id, score, table_id, sel, agg, conds. An unfinished
+    candidate, whose decoding has not yet named a column or an aggregate, has a
+    null ``sel`` or ``agg``: it has no truth value and stays. Candidates of one beam, and
+    of many, share their finished part: every distinct spec is tested once, all
+    in one batch."""
+    spec = F.to_json(F.struct("table_id", "sel", "agg", "conds"))
     w = Window.partitionBy(key, "__sig").orderBy(F.desc(score), "spec_id")
-    dedup = candidates.withColumn("__sig", sig).withColumn("__r", F.row_number().over(w)).filter("__r = 1")
-    dedup = dedup.drop("__r", "__sig")
-    ok = SP.keep_executable(dedup, cells, meta)
+    dedup = candidates.withColumn("__sig", spec).withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    dedup = cut_lineage(dedup)
+    testable = F.col("sel").isNotNull() & F.col("agg").isNotNull()
+    tested = dedup.filter(testable).groupBy(F.col("__sig").alias("spec_id")).agg(*(F.first(c).alias(c) for c in ("table_id", "sel", "agg", "conds")))
+    tested = cut_lineage(tested)
+    held = SP.keep_executable(tested, cells, meta).select(F.col("spec_id").alias("__sig"))
+    ok = dedup.filter(testable).join(held, "__sig", "left_semi").unionByName(dedup.filter(~testable)).drop("__sig")
     rw = Window.partitionBy(key).orderBy(F.desc(score), "spec_id")
     kept = ok.withColumn("beam_rank", F.row_number().over(rw)).filter(F.col("beam_rank") <= beam)
     kept = kept.select(key, "spec_id", F.col(score).cast("double").alias(score), "beam_rank")
@@ -65,6 +77,24 @@ def prune_candidates(candidates: DataFrame, cells: DataFrame, meta: DataFrame, b
         key, "beam_rank", "spec_id", F.coalesce(F.col(score), F.lit(float(JUNK_SCORE))).alias(score))
 
 
+def condition_candidates(df: DataFrame, p_col: str, p_op: str, starts: str, ends: str, tokens: str, beam: int, key: str = "qid") -> DataFrame:
+    """H3 + R6 + R9: the ``beam`` most probable conditions of every row: key, cand_no, prob, cond (col, op, val).
+
+    ``p_col`` has a probability a column, ``p_op`` one an operator for each
+    column, ``starts`` and ``ends`` the scores of value starts and ends for each
+    operator. The value spans of an operator are the ceil(sqrt(beam)) best
+    starts with as many best ends; their tokens, joined by a space, are the
+    value (none where the end comes first)."""
+    spans = F.transform(F.arrays_zip(F.col(starts).alias("s"), F.col(ends).alias("e")), lambda x: A.pair_beam(x["s"], x["e"], beam))
+    rows = df.withColumn("__spans", F.explode(F.array(spans)))
+    values = F.transform("__spans", lambda pairs: F.transform(pairs, lambda p: p["prob"]))
+    best = A.joint_topk(p_col, p_op, F.transform(F.col(p_op), lambda _: values), beam)
+    rows = rows.select(key, tokens, "__spans", F.posexplode(best).alias("cand_no", "x"))
+    at = F.get(F.get("__spans", F.col("x.b")), F.col("x.c"))
+    val = F.array_join(F.slice(F.col(tokens), at["st"] + 1, F.greatest(at["ed"] - at["st"] + 1, F.lit(0))), " ")
+    return rows.select(key, "cand_no", F.col("x.prob").alias("prob"), F.struct(F.col("x.a").alias("col"), F.col("x.b").alias("op"), val.alias("val")).alias("cond"))
+
+
 def choose_conditions(candidates: DataFrame, p_n: DataFrame, cells: DataFrame, meta: DataFrame,
                       key: str = "qid") -> tuple[DataFrame, DataFrame]:
     """Choose the number of conditions and which ones.

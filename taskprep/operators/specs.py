@@ -256,20 +256,35 @@ def spec_status(specs: DataFrame, results: DataFrame, meta: DataFrame) -> DataFr
                     (F.coalesce("n_results", F.lit(0)) > 0).alias("executable"), "error"))
 
 
+def _column_extremes(cells: DataFrame) -> DataFrame:
+    """One row a column: the smallest and largest number and text (null where it has none)."""
+    return cells.groupBy("table_id", "col_idx").agg(*(f(v).alias(f"{n}_{v[:-4]}") for v in ("num_val", "text_val") for n, f in (("min", F.min), ("max", F.max))))
+
+
 def keep_executable(candidates: DataFrame, cells: DataFrame, meta: DataFrame) -> DataFrame:
     """candidates whose query returns a non-empty list (an aggregate over no
-    rows is executable; an empty row list is not)."""
+    rows is executable; an empty row list is not).
+
+    An aggregate always has a result; a plain select needs one matching row. A
+    lone range has one where an extreme of its column lies beyond the bound, so
+    it meets a row a column. Other conditions are matched against rows, whose
+    existence is all that is asked: no ranks, values or aggregates."""
     conds = _conditions(candidates, meta, False)
     fine = candidates.join(spec_errors(candidates, meta, conds).filter("error").select("spec_id"), "spec_id", "left_anti")
-    # an aggregate always has a result; a plain select needs one matching row, so
-    # matched rows only say that they exist: no ranks, values or aggregates
-    plain = candidates.filter(F.col("agg") == 0)
+    plain = fine.filter(F.col("agg") == 0)
     sel = plain.select("spec_id", "table_id", F.col("sel").alias("col_idx"))
-    hit = matching_rows(plain.filter(F.size("conds") > 0), cells, meta, False, conds.join(plain.select("spec_id"), "spec_id", "left_semi"))
+    lone = (F.col("n_conds") == 1) & F.col("op").isin(1, 2)
+    own = conds.join(plain.select("spec_id"), "spec_id", "left_semi")
+    op, vnum, vtext = F.col("op"), F.col("vnum"), F.col("vtext")
+    above = F.when(vnum.isNotNull(), (F.col("max_num") > vnum) | F.col("max_text").isNotNull()).otherwise(F.col("max_text") > vtext)
+    below = F.when(vnum.isNotNull(), F.col("min_num") < vnum).otherwise(F.col("min_num").isNotNull() | (F.col("min_text") < vtext))
+    ranges = own.filter(lone).join(_column_extremes(cells), ["table_id", "col_idx"]).filter(F.when(op == 1, above).otherwise(below))
+    rest = own.filter(~lone)
+    hit = matching_rows(plain.join(rest.select("spec_id").distinct(), "spec_id", "left_semi"), cells, meta, False, rest)
     hit = hit.join(sel.select("spec_id", "col_idx"), "spec_id").join(cells.select("table_id", "row_idx", "col_idx"), ["table_id", "row_idx", "col_idx"], "left_semi")
     whole = sel.join(plain.filter(F.size("conds") == 0).select("spec_id"), "spec_id", "left_semi").join(
         cells.select("table_id", "col_idx").distinct(), ["table_id", "col_idx"], "left_semi")
-    some = hit.select("spec_id").unionByName(whole.select("spec_id")).distinct()
+    some = hit.select("spec_id").unionByName(ranges.select("spec_id")).unionByName(whole.select("spec_id")).distinct()
     return candidates.join(fine.filter(F.col("agg").between(1, 5)).select("spec_id").unionByName(some), "spec_id", "left_semi")
 
 

@@ -198,9 +198,61 @@ FROM p LEFT JOIN c ON c.vec_id = p.vec_id
 """
 
 
-QUERIES = {"class_predictions": class_predictions, "topk_scores": topk_scores,
+def topk_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 best cells of the values as a 4 x 4 x 4 score; the first
+    dimension stands for the 4 best of the first 10 values, the last one for
+    the ids 10, 20, 30, 40."""
+    top = A.topk_multi("v", (4, 4, 4), 5, [A.topk_indices(F.slice("v", 1, 10), 4), None, F.array(*map(F.lit, (10, 20, 30, 40)))])
+    return _emb(spark, sf).select("vec_id", F.array_join(F.transform(top, lambda x: F.array_join(x["at"], ":")), ",").alias("cells"),
+                                  _r(F.aggregate(top, F.lit(0.0), lambda s, x: s + x["score"]), "total"))
+
+
+SQL_TOPK_CELLS = """
+WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+ids AS (SELECT vec_id, i AS id, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) - 1 AS d FROM e WHERE i < 10),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS r FROM e)
+SELECT r.vec_id, string_agg(ids.id || ':' || (r.i // 4) % 4 || ':' || (r.i % 4 + 1) * 10, ',' ORDER BY r.r) AS cells, round(sum(r.x ORDER BY r.r), 6) AS total
+FROM r JOIN ids ON ids.vec_id = r.vec_id AND ids.d = r.i // 16 WHERE r.r <= 5 GROUP BY r.vec_id
+"""
+
+
+def structured_losses(spark: SparkSession, sf: str) -> DataFrame:
+    """Operator loss of label % 5 slots of 3 scores, start and end loss of
+    as many spans over 6 positions (summed and averaged), pointer loss of the
+    8 x 8 grid against label + 1 pointers, over all positions and over the first 7."""
+    n = F.col("label") % 5
+    part = lambda at, size: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("v", i * size + at, size))
+    slots = lambda f: F.transform(F.slice(F.sequence(F.lit(0), F.lit(3)), F.lit(1), n.cast("int")), f)
+    spans = slots(lambda i: F.struct(((F.col("label") + i) % 6).cast("int").alias("st"), ((F.col("vec_id") + i) % 6).cast("int").alias("ed")))
+    grid = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice("v", r * 8 + 1, 8))
+    pointers = F.transform(F.sequence(F.lit(0), F.least(F.col("label"), F.lit(8)).cast("int")), lambda t: ((F.col("vec_id") + t * 3) % 7).cast("int"))
+    e = _emb(spark, sf)
+    return e.select("vec_id", _r(A.mean_loss(part(1, 3), slots(lambda i: ((F.col("vec_id") + i) % 3).cast("int"))), "op_loss"),
+                    _r(A.span_loss(part(13, 6), part(37, 6), spans), "span_loss"), _r(A.span_loss(part(13, 6), part(37, 6), spans, average=True), "mean_span_loss"),
+                    _r(A.pointer_loss(grid, pointers), "pointer_loss"), _r(A.pointer_loss(grid, pointers, 7), "masked_loss"))
+
+
+#: every position of every scored row, its log-sum-exp, and the gold ones among them
+SQL_STRUCTURED_LOSSES = """
+WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+p AS (
+  SELECT vec_id, label, 'op' AS part, i // 3 AS r, i % 3 AS c, x, label % 5 AS n, (vec_id + i // 3) % 3 AS gold FROM e WHERE i < 12
+  UNION ALL SELECT vec_id, label, 'st', (i - 12) // 6, (i - 12) % 6, x, label % 5, (label + (i - 12) // 6) % 6 FROM e WHERE i BETWEEN 12 AND 35
+  UNION ALL SELECT vec_id, label, 'ed', (i - 36) // 6, (i - 36) % 6, x, label % 5, (vec_id + (i - 36) // 6) % 6 FROM e WHERE i BETWEEN 36 AND 59
+  UNION ALL SELECT vec_id, label, 'pt', i // 8, i % 8, x, least(label, 8), (vec_id + (i // 8 + 1) * 3) % 7 FROM e
+  UNION ALL SELECT vec_id, label, 'pm', i // 8, i % 8, x, least(label, 8), (vec_id + (i // 8 + 1) * 3) % 7 FROM e WHERE i % 8 < 7),
+l AS (SELECT vec_id, part, r, ln(sum(exp(x))) - max(x) FILTER (c = gold) AS loss FROM p WHERE r < n GROUP BY vec_id, part, r),
+m AS (SELECT vec_id, part, avg(loss) AS loss FROM l GROUP BY vec_id, part),
+w AS (SELECT v.vec_id, coalesce(max(loss) FILTER (part = 'op'), 0) AS op, coalesce(max(loss) FILTER (part = 'st'), 0) + coalesce(max(loss) FILTER (part = 'ed'), 0) AS span,
+             coalesce(max(loss) FILTER (part = 'pt'), 0) AS pt, coalesce(max(loss) FILTER (part = 'pm'), 0) AS pm
+      FROM embeddings v LEFT JOIN m ON m.vec_id = v.vec_id GROUP BY v.vec_id)
+SELECT vec_id, round(op, 6) AS op_loss, round(span, 6) AS span_loss, round(span / 2, 6) AS mean_span_loss, round(pt, 6) AS pointer_loss, round(pm, 6) AS masked_loss FROM w
+"""
+
+
+QUERIES = {"class_predictions": class_predictions, "topk_scores": topk_scores, "topk_cells": topk_cells,
            "pointer_decoding": pointer_decoding, "classification_metrics": classification_metrics,
-           "spec_probability": spec_probability}
-ORACLE = {"class_predictions": SQL_CLASS_PREDICTIONS, "topk_scores": SQL_TOPK_SCORES,
+           "spec_probability": spec_probability, "structured_losses": structured_losses}
+ORACLE = {"class_predictions": SQL_CLASS_PREDICTIONS, "topk_scores": SQL_TOPK_SCORES, "topk_cells": SQL_TOPK_CELLS,
           "pointer_decoding": SQL_POINTER_DECODING, "classification_metrics": SQL_CLASSIFICATION_METRICS,
-          "spec_probability": SQL_SPEC_PROBABILITY}
+          "spec_probability": SQL_SPEC_PROBABILITY, "structured_losses": SQL_STRUCTURED_LOSSES}
