@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taskprep.session import cut_lineage
+
 
 def _gold_by_col(conds):
     """Gold conditions stably sorted by column index."""
@@ -80,20 +82,23 @@ def pair_gold(gold: DataFrame, pred: DataFrame, key: str = "qid") -> DataFrame:
         pred.select(key, F.col("sql").alias("p")), key)
 
 
+def list_fingerprints(results: DataFrame) -> DataFrame:
+    """spec_id, n, fp: the length and a 128-bit digest of each result list.
+
+    Every value is hashed with its position, and the hashes are combined by
+    XOR: the digest is bound to the order, though rows may come in any, and
+    is summed up where the rows lie."""
+    value = (F.col("res_pos"), F.col("num").isNull(), F.col("num") + 0.0, F.col("text").isNull(), F.col("text"))
+    halves = [F.bit_xor(F.xxhash64(F.lit(seed), *value)) for seed in (1, 2)]
+    return results.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n"), F.struct(*(h.alias(f"h{i}") for i, h in enumerate(halves))).alias("fp"))
+
+
 def execution_match(pairs: DataFrame, results: DataFrame, key: str = "qid", g_id: str = "g_spec",
                     p_id: str = "p_spec") -> DataFrame:
     """A10: gold and predicted result lists equal in order; an empty or failing
-    prediction scores 0. ``results`` is the long output of run_specs."""
-    r = results.select("spec_id", "res_pos", "num", "text")
-    g = pairs.select(key, F.col(g_id).alias("spec_id")).join(r, "spec_id").drop("spec_id").withColumn("side", F.lit(1))
-    p = pairs.select(key, F.col(p_id).alias("spec_id")).join(r, "spec_id").drop("spec_id").withColumn("side", F.lit(2))
-    both = g.alias("a").join(p.alias("b"), [key, "res_pos"], "full_outer")
-    # a position present on one side only compares null-safe against nulls of
-    # the other side, so it is caught by the side flags
-    same = (F.col("a.num").eqNullSafe(F.col("b.num")) & F.col("a.text").eqNullSafe(F.col("b.text"))
-            & F.col("a.side").isNotNull() & F.col("b.side").isNotNull())
-    per = both.groupBy(key).agg(F.sum(F.when(same, 0).otherwise(1)).alias("diff"))
-    n_pred = p.groupBy(key).agg(F.count(F.lit(1)).alias("n_pred"))
-    out = pairs.select(key).join(per, key, "left").join(n_pred, key, "left")
-    return out.select(key, ((F.coalesce("n_pred", F.lit(0)) > 0) & (F.coalesce("diff", F.lit(0)) == 0))
-                      .cast("int").alias("ex"))
+    prediction scores 0. ``results`` is the long output of run_specs; of each
+    list only its fingerprint is joined, a row a spec."""
+    fps = cut_lineage(list_fingerprints(results))
+    side = lambda s: fps.select(F.col("spec_id").alias(f"__{s}"), F.struct("n", "fp").alias(s))
+    out = pairs.join(side("g"), F.col(g_id) == F.col("__g"), "left").join(side("p"), F.col(p_id) == F.col("__p"), "left")
+    return out.select(key, F.coalesce(F.col("g") == F.col("p"), F.lit(False)).cast("int").alias("ex"))

@@ -4,7 +4,8 @@ J9, A20, W2, W3).
 features: ``feature_id, example_id, start_logits array, end_logits array,
 offsets array<struct<st:int, ed:int>>`` (null outside the context), plus an
 optional ``window_no`` giving the window order inside the example (defaults
-to ``feature_id``). examples: ``example_id, context``.
+to ``feature_id``) and an optional ``max_context`` (``mark_max_context``).
+examples: ``example_id, context``.
 
 Per-window top-k is an in-row array sort (no shuffle); start x end pairs are
 bounded by k*k per window; the per-example cut is ``row_number() <= n``, which
@@ -41,14 +42,18 @@ def _window_candidates(features: DataFrame, n: int, max_len: int) -> DataFrame:
     offs = F.col("offsets")
     n_off = F.size(offs)
 
+    flagged = "max_context" in f.columns
+
     def legal(s, e):
-        return ((s < n_off) & (e < n_off) & F.element_at(offs, s + 1).isNotNull()
+        fits = ((s < n_off) & (e < n_off) & F.element_at(offs, s + 1).isNotNull()
                 & F.element_at(offs, e + 1).isNotNull() & (e >= s) & (e - s + 1 <= max_len))
+        return fits & F.coalesce(F.get("max_context", s), F.lit(False)) if flagged else fits
 
     pairs = F.flatten(F.transform(
         starts, lambda s, si: F.transform(
             F.filter(F.transform(ends, lambda e, ei: F.struct(e.alias("e"), ei.alias("ei"))), lambda x: legal(s, x.e)),
             lambda x: F.struct(s.alias("s"), si.alias("si"), x.e.alias("e"), x.ei.alias("ei")))))
+    # with the flag, a start also needs the most context (see mark_max_context)
     c = f.select("example_id", "window_no", "start_logits", "end_logits", "offsets", F.explode(pairs).alias("p"))
     sl = F.element_at(F.col("start_logits"), F.col("p.s") + 1).cast("double")
     el = F.element_at(F.col("end_logits"), F.col("p.e") + 1).cast("double")
@@ -58,6 +63,31 @@ def _window_candidates(features: DataFrame, n: int, max_len: int) -> DataFrame:
         (sl + el).alias("score"), sl.alias("start_logit"), el.alias("end_logit"), F.lit(False).alias("is_null"))
 
 
+def mark_max_context(windows: DataFrame, first_token: str = "ctx_start", n_tokens: str = "ctx_len", first_position: str | int = 0,
+                     n_positions: str | None = None, example: str = "example_id", window: str = "window_no") -> DataFrame:
+    """``max_context``, for each position of a window whether its token has
+    more context there than in any other window of the example.
+
+    A window holds the tokens ``first_token`` ... of its example, the first at
+    ``first_position``. A token's context in it is the smaller of the tokens to
+    its left and right, plus a hundredth of the window's length; of equal ones the
+    first window counts. A token is in a few windows only, so the rows grow with
+    the tokens; positions that hold no token are false.
+    """
+    start, size = F.col(first_token), F.col(n_tokens)
+    rows = windows.filter(size > 0).select(F.col(example).alias("__e"), F.col(window).alias("__w"), start.alias("__s"), size.alias("__n"), F.explode(F.sequence(start, start + size - 1)).alias("__t"))
+    context = F.least(F.col("__t") - F.col("__s"), F.col("__s") + F.col("__n") - 1 - F.col("__t")) + 0.01 * F.col("__n")
+    best = rows.groupBy("__e", "__t").agg(F.min_by(F.struct("__w", "__s"), F.struct((-context).alias("c"), F.col("__w").alias("w"))).alias("b"))
+    held = best.groupBy("__e", F.col("b.__w").alias("__w")).agg(F.collect_list(F.col("__t") - F.col("b.__s")).alias("__at"))
+    at = F.lit(first_position) if isinstance(first_position, int) else F.col(first_position)
+    total = F.col(n_positions) if n_positions else at + size
+    flags = F.map_from_entries(F.transform("__at", lambda i: F.struct(i.alias("k"), F.lit(True).alias("v"))))
+    joined = windows.join(held, (F.col(example) == F.col("__e")) & (F.col(window) == F.col("__w")), "left")
+    joined = joined.withColumn("__m", F.explode(F.array(F.when(F.col("__at").isNotNull(), flags))))
+    flag = F.transform(F.sequence(F.lit(0), total - 1), lambda p: F.coalesce(F.try_element_at("__m", (p - at).cast("int")), F.lit(False)))
+    return joined.withColumn("max_context", F.when(total > 0, flag).otherwise(F.array().cast("array<boolean>"))).drop("__e", "__w", "__at", "__m")
+
+
 def min_null_scores(features: DataFrame) -> DataFrame:
     """Per example the window with the smallest start[0] + end[0] (first window on ties)."""
     f = features if "window_no" in features.columns else features.withColumn("window_no", F.col("feature_id"))

@@ -23,7 +23,8 @@ Comparison rules (fixed, they decide which rows match):
 J6/A1/F3/F6 execution is a few joins: equality conditions join cells on
 (table, column, value), range conditions on (table, column) plus a filter;
 rows where every condition holds are counted per (spec, row); the selected
-cells are joined back and aggregated. Results are returned in long form
+cells are joined back and aggregated. Aggregates under ranges alone are taken
+from the sorted column or from groups of equal values instead. Results are returned in long form
 (one row per result value), never collected into one array per spec.
 """
 
@@ -35,8 +36,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from taskprep.functions.arrays import let
 from taskprep.functions.text import coerce_number
 from taskprep.operators.order import ranked
+from taskprep.session import cut_lineage
 
 # Aggregate and operator codes.
 AGG_OPS = ["", "MAX", "MIN", "COUNT", "SUM", "AVG"]
@@ -91,7 +94,8 @@ def to_cells(tables: DataFrame, lower_text: bool = False) -> tuple[DataFrame, Da
                         F.posexplode(F.arrays_zip("row", "types")).alias("col_idx", "v"))
     v = F.col("v.row")
     is_real = F.col("v.types") == "real"
-    num = F.when(is_real, v.try_cast("double"))
+    # only what is written as a number is one: ``nan``, ``infinity`` or ``1d`` stay text
+    num = F.when(is_real & v.rlike(LEADING_NUMBER + r"\s*$"), v.try_cast("double"))
     text = F.when(~is_real | num.isNull(), F.lower(v) if lower_text else v)
     cells = cells.select("table_id", "row_idx", F.col("col_idx").cast("int"), F.col("v.types").alias("col_type"),
                          num.alias("num_val"), F.when(v.isNotNull(), text).alias("text_val"))
@@ -159,7 +163,7 @@ def matching_rows(specs: DataFrame, cells: DataFrame, meta: DataFrame, last_valu
     checked only on the anchor's rows, through an equi-join on
     (table, row, column).
     """
-    c = conds if conds is not None else _conditions(specs, meta, last_value_wins).persist()
+    c = conds if conds is not None else cut_lineage(_conditions(specs, meta, last_value_wins))
     key = ["table_id", "col_idx"]
     first_eq = F.min(F.when(F.col("op") == 0, F.col("cond_no"))).over(Window.partitionBy("spec_id"))
     anchor_no = F.coalesce(first_eq, F.min("cond_no").over(Window.partitionBy("spec_id")))
@@ -176,7 +180,7 @@ def matching_rows(specs: DataFrame, cells: DataFrame, meta: DataFrame, last_valu
         _blocks(cells.select("table_id", "col_idx", "row_idx", "num_val", "text_val")), [*key, "block"])
     rng = rng.filter(_holds(F.col("op"), F.col("vnum"), F.col("vtext"), F.col("num_val"), F.col("text_val")))
     # the anchor's rows feed both branches below
-    cand = eq_num.unionByName(eq_text).unionByName(rng.select(*cols)).persist()
+    cand = cut_lineage(eq_num.unionByName(eq_text).unionByName(rng.select(*cols)))
     single = cand.filter(F.col("n_conds") == 1).select("spec_id", "table_id", "row_idx")
     # remaining conditions, checked on the anchor's rows only
     multi = cand.filter(F.col("n_conds") > 1).join(
@@ -196,6 +200,88 @@ def _leading_number(text: F.Column) -> F.Column:
         F.coalesce(F.when(m != "", F.trim(m)).try_cast("double"), F.lit(0.0)))
 
 
+def _partials(num: F.Column, text: F.Column) -> list[F.Column]:
+    """What every aggregate is made of; the parts of disjoint rows can be merged."""
+    as_num = F.coalesce(num, _leading_number(text))
+    return [F.count(F.coalesce(num.cast("string"), text)).alias("cnt"), F.max(num).alias("max_n"), F.max(text).alias("max_t"),
+            F.min(num).alias("min_n"), F.min(text).alias("min_t"), F.sum(as_num).alias("sum_v"), F.count(as_num).alias("n_v")]
+
+
+MERGED = {"cnt": F.sum, "max_n": F.max, "max_t": F.max, "min_n": F.min, "min_t": F.min, "sum_v": F.sum, "n_v": F.sum}
+
+
+def _value_groups(shapes: DataFrame, cells: DataFrame) -> DataFrame:
+    """Partial aggregates of a selected column by the values of condition columns.
+
+    shapes: shape, table_id, sel, cols (sorted). Rows that agree in all ``cols``
+    are one group: (shape, at, parts), ``at`` mapping a column to its (num, text).
+    """
+    wanted = shapes.select("shape", "table_id", "sel", F.explode(F.array_union("cols", F.array("sel"))).alias("col_idx"))
+    held = wanted.join(cells.select("table_id", "row_idx", "col_idx", "num_val", "text_val"), ["table_id", "col_idx"])
+    cell = F.struct(F.col("num_val").alias("num"), F.col("text_val").alias("text"))
+    rows = held.groupBy("shape", "row_idx").agg(F.first("sel").alias("sel"), F.map_from_entries(F.collect_list(F.struct("col_idx", cell.alias("c")))).alias("m"))
+    rows = rows.join(shapes.select("shape", "cols"), "shape")
+    own = F.try_element_at("m", F.col("sel"))
+    rows = rows.select("shape", F.transform("cols", lambda i: F.struct(i.alias("col"), F.try_element_at("m", i).alias("c"))).alias("at"), own["num"].alias("num"), own["text"].alias("text"))
+    return rows.groupBy("shape", "at").agg(*_partials(F.col("num"), F.col("text")))
+
+
+def _swept(specs: DataFrame, groups: DataFrame, name: str = "spec_id") -> DataFrame:
+    """Partial aggregates of specs with one range, by a sweep over the sorted column.
+
+    Groups and bounds are laid out in one order, numbers before texts, a bound
+    past its equals for ``>`` and ahead of them for ``<``. Running aggregates from
+    below and from above, in each range partition and over the partitions
+    before and after it, give every bound its result: a row a spec, no pairs.
+    """
+    parts = list(MERGED)
+    cell = F.get("at", F.lit(0))["c"]
+    key = lambda num, text: [num.isNull().cast("int").alias("is_text"), num.alias("num"), text.alias("text")]
+    g = groups.filter(cell["num"].isNotNull() | cell["text"].isNotNull())
+    g = g.select("shape", *key(cell["num"], cell["text"]), F.lit(1).alias("place"), F.lit(None).cast("string").alias(name), F.lit(0).alias("op"), *parts)
+    c = F.get("cs", F.lit(0))
+    b = specs.select("shape", *key(c["vnum"], F.when(c["vnum"].isNull(), c["vtext"])), F.when(c["op"] == 1, 2).otherwise(0).alias("place"), F.col(name), c["op"].alias("op"))
+    order = ["shape", "is_text", "num", "text", "place"]
+    n = int(specs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = g.unionByName(b, allowMissingColumns=True).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    laid = cut_lineage(laid.withColumn("part", F.spark_partition_id()).withColumn("i", F.monotonically_increasing_id()))
+    sums = laid.filter("place = 1").groupBy("shape", "part").agg(*(MERGED[p](p).alias(p) for p in parts))
+    every = laid.select("shape", "part").distinct().join(sums, ["shape", "part"], "left")
+    over = Window.partitionBy("shape").orderBy("part")
+    outer = {"lo": over.rowsBetween(Window.unboundedPreceding, -1), "hi": over.rowsBetween(1, Window.unboundedFollowing)}
+    totals = every.select("shape", "part", *(MERGED[p](p).over(w).alias(f"{side}_{p}") for side, w in outer.items() for p in parts))
+    inside = Window.partitionBy("shape", "part").orderBy("i")
+    inner = {"lo": inside.rowsBetween(Window.unboundedPreceding, -1), "hi": inside.rowsBetween(1, Window.unboundedFollowing)}
+    run = laid.select("shape", "part", name, "op", *(MERGED[p](p).over(w).alias(f"in_{side}_{p}") for side, w in inner.items() for p in parts)).filter(F.col(name).isNotNull())
+    merge = {F.sum: lambda x, y: F.coalesce(x + y, x, y), F.max: F.greatest, F.min: F.least}
+    both = run.join(totals, ["shape", "part"])
+    pick = lambda p: F.when(F.col("op") == 1, merge[MERGED[p]](F.col(f"in_hi_{p}"), F.col(f"hi_{p}"))).otherwise(merge[MERGED[p]](F.col(f"in_lo_{p}"), F.col(f"lo_{p}")))
+    return both.select(name, *(pick(p).alias(p) for p in parts))
+
+
+def _range_aggregates(specs: DataFrame, conds: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Partial aggregates of the aggregate specs whose conditions are all ranges, and those specs' ids.
+
+    Their rows are never matched one by one: a table is first grouped by the
+    values of the condition columns, once for all specs of one shape (table,
+    selected column, condition columns). One range is answered by the sweep,
+    more by meeting the groups that are left.
+    """
+    own = conds.groupBy("spec_id").agg(F.max((~F.col("op").isin(1, 2)).cast("int")).alias("other"), F.collect_list(F.struct("col_idx", "op", "vnum", "vtext")).alias("cs"))
+    cols = F.array_sort(F.array_distinct(F.transform("cs", lambda c: c["col_idx"])))
+    ranged = specs.filter(F.col("agg").between(1, 5)).select("spec_id", "table_id", "sel").join(own.filter("other = 0"), "spec_id")
+    ranged = ranged.withColumn("cols", cols)
+    ranged = cut_lineage(ranged.withColumn("shape", F.concat_ws(":", F.col("table_id"), F.col("sel"), F.array_join("cols", ","))))
+    groups = cut_lineage(_value_groups(ranged.select("shape", "table_id", "sel", "cols").distinct(), cells))
+    one = _swept(ranged.filter(F.size("cs") == 1), groups.filter(F.size("at") == 1))
+    dealt = groups.withColumn("block", F.pmod(F.xxhash64("at"), F.lit(ROW_BLOCKS)).cast("int"))
+    held = lambda c: F.get(F.filter("at", lambda x: x["col"] == c["col_idx"]), F.lit(0))["c"]
+    holds = F.forall("cs", lambda c: let(held(c), lambda x: _holds(c["op"], c["vnum"], c["vtext"], x["num"], x["text"])))
+    met = _over_blocks(ranged.filter(F.size("cs") > 1).select("spec_id", "shape", "cs")).join(dealt, ["shape", "block"]).filter(holds)
+    more = met.groupBy("spec_id").agg(*(f(p).alias(p) for p, f in MERGED.items()))
+    return one.unionByName(more), ranged.select("spec_id")
+
+
 def run_specs(specs: DataFrame, cells: DataFrame, meta: DataFrame, last_value_wins: bool = False,
               width: int = 1 << 16) -> DataFrame:
     """Execute every spec; long result ``(spec_id, res_pos, num, text)``.
@@ -204,13 +290,14 @@ def run_specs(specs: DataFrame, cells: DataFrame, meta: DataFrame, last_value_wi
     rows); aggregates: one row with ``res_pos`` 0. Specs with errors yield no
     rows (see :func:`spec_status`).
     """
-    conds = _conditions(specs, meta, last_value_wins).persist()
+    conds = cut_lineage(_conditions(specs, meta, last_value_wins))
     # errors only change aggregates: a bad condition or column already matches nothing
     bad = spec_errors(specs, meta, conds).filter("error").select("spec_id")
     ok = specs
-    with_conds = ok.filter(F.size("conds") > 0)
+    ranged, by_range = _range_aggregates(ok, conds, cells)
+    with_conds = ok.filter(F.size("conds") > 0).join(by_range, "spec_id", "left_anti")
     no_conds = ok.filter(F.size("conds") == 0)
-    rows = matching_rows(with_conds, cells, meta, last_value_wins, conds)
+    rows = matching_rows(with_conds, cells, meta, last_value_wins, conds.join(by_range, "spec_id", "left_anti"))
     sel = ok.select("spec_id", F.col("sel").alias("col_idx"), "agg")
     picked_c = rows.join(sel, "spec_id").join(
         cells.select("table_id", "row_idx", "col_idx", "num_val", "text_val"), ["table_id", "row_idx", "col_idx"])
@@ -218,7 +305,7 @@ def run_specs(specs: DataFrame, cells: DataFrame, meta: DataFrame, last_value_wi
         _blocks(cells.select("table_id", "row_idx", "col_idx", "num_val", "text_val")), ["table_id", "col_idx", "block"])
     cols = ["spec_id", "agg", "row_idx", "num_val", "text_val"]
     # the selected values feed the bucket counts, the ordered list and the aggregates
-    picked = picked_c.select(*cols).unionByName(picked_n.select(*cols)).persist()
+    picked = cut_lineage(picked_c.select(*cols).unionByName(picked_n.select(*cols)))
 
     # agg none: the selected values in row order, positions from a bucketed global rank
     listed = ranked(picked.filter(F.col("agg") == 0), ["row_idx"], "spec_id", name="__p")
@@ -226,30 +313,41 @@ def run_specs(specs: DataFrame, cells: DataFrame, meta: DataFrame, last_value_wi
                            F.col("num_val").alias("num"), F.col("text_val").alias("text"))
 
     # aggregates: one row per spec, empty groups restored by the left join
-    num, text = F.col("num_val"), F.col("text_val")
-    as_num = F.coalesce(num, _leading_number(text))
-    agg_rows = picked.filter(F.col("agg") > 0).groupBy("spec_id").agg(
-        F.count(F.coalesce(num.cast("string"), text)).alias("cnt"),
-        F.max(num).alias("max_n"), F.max(text).alias("max_t"),
-        F.min(num).alias("min_n"), F.min(text).alias("min_t"),
-        F.sum(as_num).alias("sum_v"), F.avg(as_num).alias("avg_v"))
+    agg_rows = picked.filter(F.col("agg") > 0).groupBy("spec_id").agg(*_partials(F.col("num_val"), F.col("text_val")))
     aggs = (ok.filter(F.col("agg").between(1, 5)).select("spec_id", "agg").join(bad, "spec_id", "left_anti")
-            .join(agg_rows, "spec_id", "left"))
+            .join(agg_rows.unionByName(ranged), "spec_id", "left"))
     a = F.col("agg")
     out_num = (F.when(a == 1, F.when(F.col("max_t").isNull(), F.col("max_n")))
                .when(a == 2, F.col("min_n"))
                .when(a == 3, F.coalesce(F.col("cnt"), F.lit(0)).cast("double"))
                .when(a == 4, F.col("sum_v"))
-               .when(a == 5, F.col("avg_v")))
+               .when(a == 5, F.when(F.col("n_v") > 0, F.col("sum_v") / F.col("n_v"))))
     out_text = (F.when(a == 1, F.col("max_t"))
                 .when(a == 2, F.when(F.col("min_n").isNull(), F.col("min_t"))))
     aggs = aggs.select("spec_id", F.lit(0).alias("res_pos"), out_num.alias("num"), out_text.cast("string").alias("text"))
     return listed.unionByName(aggs)
 
 
-def spec_status(specs: DataFrame, results: DataFrame, meta: DataFrame) -> DataFrame:
-    """Per spec: number of result values, executable (result list not empty), error."""
-    n = results.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_results"))
+def result_sizes(specs: DataFrame, cells: DataFrame, meta: DataFrame) -> DataFrame:
+    """spec_id, n_results: how many values each spec gives, none where it has an
+    error, without selecting, ordering or aggregating any."""
+    conds = cut_lineage(_conditions(specs, meta, False))
+    fine = specs.join(spec_errors(specs, meta, conds).filter("error").select("spec_id"), "spec_id", "left_anti")
+    plain = fine.filter(F.col("agg") == 0)
+    sel = plain.select("spec_id", "table_id", F.col("sel").alias("col_idx"))
+    some = plain.filter(F.size("conds") > 0)
+    hit = matching_rows(some, cells, meta, False, conds.join(some.select("spec_id"), "spec_id", "left_semi"))
+    hit = hit.join(sel.select("spec_id", "col_idx"), "spec_id").join(cells.select("table_id", "row_idx", "col_idx"), ["table_id", "row_idx", "col_idx"], "left_semi")
+    columns = cells.groupBy("table_id", "col_idx").agg(F.count(F.lit(1)).alias("n_results"))
+    whole = sel.join(plain.filter(F.size("conds") == 0).select("spec_id"), "spec_id", "left_semi").join(columns, ["table_id", "col_idx"])
+    one = fine.filter(F.col("agg").between(1, 5)).select("spec_id", F.lit(1).cast("long").alias("n_results"))
+    return hit.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_results")).unionByName(whole.select("spec_id", "n_results")).unionByName(one)
+
+
+def spec_status(specs: DataFrame, sizes: DataFrame, meta: DataFrame) -> DataFrame:
+    """Per spec: number of result values, executable (result list not empty),
+    error. ``sizes`` is what ``result_sizes`` gives, or the results themselves."""
+    n = sizes if "n_results" in sizes.columns else sizes.groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_results"))
     err = spec_errors(specs, meta)
     return (specs.select("spec_id").join(err, "spec_id", "left").join(n, "spec_id", "left")
             .select("spec_id", F.coalesce("n_results", F.lit(0)).alias("n_results"),

@@ -162,7 +162,32 @@ FROM prob
 """
 
 
-QUERIES = {"nbest_ranked": nbest_ranked, "nbest_spans": nbest, "best_answers": best_answers, "best_answers_null": best_answers_null,
+STRIDE = 20
+
+
+def nbest_max_context(spark: SparkSession, sf: str) -> DataFrame:
+    """R1 with F5's flag: the windows of an example start 20 tokens apart (a token
+    is 5 characters and a space), and a start needs the most context."""
+    ex, ft = windows(spark, sf)
+    first = ((F.col("window_no") % 5) * STRIDE).cast("int")
+    ft = ft.withColumn("ctx_start", first).withColumn("ctx_len", F.size("start_logits") - QUESTION_TOKENS)
+    ft = ft.withColumn("offsets", F.transform("start_logits", lambda _, i: F.when(i >= QUESTION_TOKENS, F.struct(
+        ((F.col("ctx_start") + i - QUESTION_TOKENS) * 6).alias("st"), ((F.col("ctx_start") + i - QUESTION_TOKENS) * 6 + 5).alias("ed")))))
+    nb, _ = spans.nbest_spans(ex, spans.mark_max_context(ft, first_position=QUESTION_TOKENS))
+    return nb.select("example_id", F.col("rank").cast("int").alias("rank"), "text",
+                     F.round("score", 6).alias("score"), F.round("probability", 6).alias("probability"))
+
+
+#: the windows' tokens one by one, and the window of each token that leaves most on its shorter side
+SQL_NBEST_MAX_CONTEXT = ("WITH " + _SQL_NBEST.replace("(a.window_no % 5) * 100", "(a.window_no % 5) * 120").replace(
+    "b.idx - a.idx + 1 <= 30)", "b.idx - a.idx + 1 <= 30 AND (a.window_no, a.idx) IN (SELECT window_no, idx FROM mx))").replace("pairs AS (", """
+tok AS (SELECT example_id, window_no, (window_no % 5) * 20 AS s, i + 8 AS idx, (window_no % 5) * 20 + i AS t FROM f, range(56) r(i)),
+mx AS (SELECT window_no, idx FROM (SELECT *, row_number() OVER (PARTITION BY example_id, t ORDER BY least(t - s, s + 55 - t) DESC, window_no) AS r FROM tok) WHERE r = 1),
+pairs AS (""", 1) + """
+SELECT example_id, rank, text, round(score, 6) AS score, round(probability, 6) AS probability FROM nb""")
+
+
+QUERIES = {"nbest_ranked": nbest_ranked, "nbest_spans": nbest, "nbest_max_context": nbest_max_context, "best_answers": best_answers, "best_answers_null": best_answers_null,
            "null_scores": null_scores}
-ORACLE = {"nbest_ranked": SQL_NBEST_RANKED, "nbest_spans": SQL_NBEST, "best_answers": SQL_BEST, "best_answers_null": SQL_BEST_NULL,
+ORACLE = {"nbest_ranked": SQL_NBEST_RANKED, "nbest_spans": SQL_NBEST, "nbest_max_context": SQL_NBEST_MAX_CONTEXT, "best_answers": SQL_BEST, "best_answers_null": SQL_BEST_NULL,
           "null_scores": SQL_NULL_SCORES}

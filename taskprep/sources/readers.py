@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskprep.functions.text import strip_unicode
+from taskprep.sources.splittable import JsonElements, JsonMembers, QuotedLines, read_records
 
 # Column layout of each review corpus (headerless CSV).
 REVIEW_COLUMNS = {
@@ -28,10 +29,11 @@ NUM_CLASSES = {"yelp": 5, "yahoo": 10, "amazon": 5, "agnews": 4, "dbpedia": 14}
 
 
 def read_reviews(spark: SparkSession, path: str, corpus: str) -> DataFrame:
-    """Headerless review CSV, columns named by position for the corpus."""
-    cols = REVIEW_COLUMNS[corpus]
-    schema = T.StructType([T.StructField(c, T.IntegerType() if c == "labels" else T.StringType()) for c in cols])
-    return spark.read.schema(schema).csv(path, quote='"', escape='"', multiLine=True)
+    """Headerless review CSV, columns named by position for the corpus. A
+    field may hold line ends; a large file is still read by many tasks."""
+    fields = ", ".join(f"{c} {'int' if c == 'labels' else 'string'}" for c in REVIEW_COLUMNS[corpus])
+    rows = read_records(spark, path, QuotedLines())
+    return rows.select(F.from_csv("record", fields, {"quote": '"', "escape": '"'}).alias("r")).select("r.*")
 
 
 def read_labelled_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -96,8 +98,16 @@ def flatten_qa(nested: DataFrame) -> DataFrame:
 
 
 def read_qa_json(spark: SparkSession, path: str) -> DataFrame:
-    """Nested QA JSON file(s) -> flat example rows."""
-    return flatten_qa(spark.read.schema(QA_SCHEMA).json(path, multiLine=True))
+    """Nested QA JSON file(s) -> flat example rows. A file is one document;
+    its articles are read by as many tasks as it has splits."""
+    return flatten_qa(_articles(spark, path))
+
+
+def _articles(spark: SparkSession, path: str) -> DataFrame:
+    """One row an article, in the shape that ``flatten_qa`` takes."""
+    article = QA_SCHEMA["data"].dataType
+    data = F.from_json(F.concat(F.lit("["), F.col("record"), F.lit("]")), article)
+    return read_records(spark, path, JsonElements()).select(data.alias("data"))
 
 
 QUESTION_SCHEMA = T.StructType([
@@ -140,11 +150,14 @@ def read_predictions(spark: SparkSession, dataset_path: str, predictions_path: s
                      expected_version: str = "1.1") -> tuple[DataFrame, DataFrame, bool]:
     """Prediction map (one JSON object id -> text) and the dataset; returns
     (examples, predictions, version_ok)."""
-    nested = spark.read.schema(QA_SCHEMA).json(dataset_path, multiLine=True)
-    version_ok = nested.filter(F.col("version") != expected_version).limit(1).count() == 0
-    raw = spark.read.text(predictions_path, wholetext=True)
-    m = raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "prediction_text"))
-    return flatten_qa(nested), m, version_ok
+    # what stands before and after the articles holds the other members of the document
+    parts = read_records(spark, dataset_path, JsonElements())
+    around = parts.select(F.coalesce("before", F.when(F.get_json_object("record", "$.paragraphs").isNull(), F.col("record"))).alias("t"))
+    said = F.regexp_extract("t", r'"version"\s*:\s*"([^"]*)"', 1)
+    version_ok = around.filter(F.col("t").isNotNull() & (said != "") & (said != expected_version)).isEmpty()
+    members = read_records(spark, predictions_path, JsonMembers())
+    one = F.from_json(F.concat(F.lit("{"), F.col("record"), F.lit("}")), "map<string,string>")
+    return read_qa_json(spark, dataset_path), members.select(F.explode(one).alias("id", "prediction_text")), version_ok
 
 
 def load_splits(spark: SparkSession, files: Mapping[str, str]) -> DataFrame:

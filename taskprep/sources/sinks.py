@@ -6,7 +6,8 @@ All writes are distributed ``DataFrameWriter`` calls; nothing is collected.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,22 +15,28 @@ from pyspark.sql import functions as F
 SKIP_ERROR = "Skip happened"
 
 
-def write_results(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_results(df: DataFrame, path: str, mode: str = "overwrite", versioned: bool = False) -> None:
     """K1: one JSON object per question; rows flagged ``unmappable`` become
-    ``{"error": "Skip happened", "nlu": ..., "table_id": ...}``."""
+    ``{"error": "Skip happened", "nlu": ..., "table_id": ...}``. ``versioned``
+    publishes the rows (see ``publish``) instead of overwriting the folder."""
     out = df
     if "unmappable" in df.columns:
         out = df.withColumn("error", F.when(F.col("unmappable"), F.lit(SKIP_ERROR)))
         keep = [c for c in df.columns if c not in ("unmappable",)]
         out = out.select(*[F.when(~F.col("unmappable"), F.col(c)).alias(c) if c not in ("nlu", "table_id") else F.col(c)
                            for c in keep], "error")
-    out.write.mode(mode).option("ignoreNullFields", "true").json(path)
+    put = lambda p: out.write.mode(mode).option("ignoreNullFields", "true").json(p)
+    publish(df.sparkSession, path, put) if versioned else put(path)
 
 
 def write_qa_outputs(best: DataFrame, nbest: DataFrame, path: str, null_odds: DataFrame | None = None,
-                     prefix: str | None = None, mode: str = "overwrite") -> None:
+                     prefix: str | None = None, mode: str = "overwrite", versioned: bool = False) -> None:
     """K2: best answers, n-best lists (one JSON record per example, entries
-    ordered by rank) and, in null mode, null odds."""
+    ordered by rank) and, in null mode, null odds. ``versioned`` publishes the
+    parts together: readers see all of one run or all of another."""
+    if versioned:
+        publish(best.sparkSession, path, lambda p: write_qa_outputs(best, nbest, p, null_odds, prefix, mode))
+        return
     name = (lambda base: f"{base}_{prefix}" if prefix else base)
     best.write.mode(mode).json(f"{path}/{name('predictions')}")
     entries = nbest.groupBy("example_id").agg(
@@ -51,25 +58,85 @@ def union_log(parts: Sequence[DataFrame], columns: Sequence[str] | None = None)
     return out.select(*cols)
 
 
+MANIFEST = "_current"
+
+
+def _fs(spark, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    return hadoop.Path(path).getFileSystem(conf), hadoop.Path, hadoop, conf
+
+
+def current_version(spark, path: str) -> str | None:
+    """The folder that holds the published version of ``path``; None where nothing is published."""
+    fs, at, _, _ = _fs(spark, path)
+    manifest = at(f"{path}/{MANIFEST}")
+    if not fs.exists(manifest):
+        return None
+    stream = fs.open(manifest)
+    try:
+        name = bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+    return f"{path}/{name}"
+
+
+def publish(spark, path: str, write: Callable[[str], None]) -> str:
+    """Write a new version of ``path`` and make it the current one.
+
+    ``write`` fills a folder of its own. Only when it has ended is the manifest,
+    a small file that names the folder, written beside the old one and renamed
+    over it, in one step of the file system: whatever breaks before, readers
+    find the old version whole, and after it the new one. The version before the
+    last is then removed; the last one stays for readers that have begun.
+    """
+    fs, at, _, _ = _fs(spark, path)
+    name = f"version-{uuid.uuid4().hex}"
+    before = current_version(spark, path)
+    write(f"{path}/{name}")
+    _swap_manifest(spark, path, name)
+    for status in fs.listStatus(at(path)):
+        old = status.getPath()
+        if old.getName().startswith("version-") and old.getName() != name and (before is None or old.getName() != before.rsplit("/", 1)[-1]):
+            fs.delete(old, True)
+    return f"{path}/{name}"
+
+
+def _swap_manifest(spark, path: str, name: str) -> None:
+    fs, at, hadoop, conf = _fs(spark, path)
+    fresh = at(f"{path}/{MANIFEST}.{name}")
+    out = fs.create(fresh, True)
+    out.write(name.encode())
+    out.close()
+    how = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    how[0] = hadoop.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), conf).rename(fresh, at(f"{path}/{MANIFEST}"), how)
+
+
 def append_metrics(df: DataFrame, path: str, resume: bool = False) -> DataFrame:
     """K3: write a metric log CSV. ``resume`` unions the rows into the existing
-    log (columns by name, holes as nulls); otherwise the file is replaced. The
-    new log is written whole beside the old one and then takes its place; an
-    old log that is there but can't be read is an error, never a fresh start."""
+    log (columns by name, holes as nulls); otherwise the log is replaced. The
+    log is published as a whole (see ``publish``): a run that fails at any point leaves the old
+    one in place, and an old log that is there but can't be read is an error, never
+    a fresh start."""
     spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    here, beside = hadoop.Path(path), hadoop.Path(path.rstrip("/") + ".new")
-    fs = here.getFileSystem(spark._jsc.hadoopConfiguration())
     out = df
-    if resume and fs.exists(here):
-        old = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    old_path = current_version(spark, path)
+    if resume and old_path:
+        old = spark.read.option("header", True).option("inferSchema", True).csv(old_path)
         out = union_log([old, df.select(*[F.col(c).cast("double") if c in LOG_COLUMNS else F.col(c)
                                           for c in df.columns])])
     schema = out.schema
-    out.write.mode("overwrite").option("header", True).csv(beside.toString())
-    fs.delete(here, True)
-    fs.rename(beside, here)
-    return spark.read.schema(schema).option("header", True).csv(path)
+    at = publish(spark, path, lambda p: out.write.option("header", True).csv(p))
+    return spark.read.schema(schema).option("header", True).csv(at)
+
+
+def read_log(spark, path: str) -> DataFrame:
+    """The current version of a metric log."""
+    at = current_version(spark, path)
+    if at is None:
+        raise FileNotFoundError(f"no metric log at {path}")
+    return spark.read.option("header", True).option("inferSchema", True).csv(at)
 
 
 def report_lines(metrics: DataFrame, key: str = "key", value: str = "value") -> DataFrame:

@@ -124,3 +124,44 @@ def test_nested_export_keeps_tables_without_questions(spark):
     t1 = out["t1"].paragraphs[0]
     assert t1.context == "a b" and [(q.id, q.question) for q in t1.qas] == [("t1-0", "first?"), ("t1-1", "second?")]
     assert out["t2"].paragraphs[0].qas == [] and out["t2"].version == "1.1"
+
+
+def log_rows(spark, epochs):
+    return spark.createDataFrame([(float(e), 1.0, 0.5, 0.2) for e in epochs], "epoch double, task_num double, test_acc double, test_loss double")
+
+
+@pytest.mark.parametrize("step", ["write", "manifest", "after"])
+def test_a_failed_append_leaves_a_whole_log(spark, tmp, monkeypatch, step):
+    log = os.path.join(tmp, "log")
+    sinks.append_metrics(log_rows(spark, [1, 2]), log)
+    swap = sinks._swap_manifest
+
+    def broken(*a):
+        if step == "after":
+            swap(*a)
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(sinks, "_swap_manifest", broken)
+    bad = log_rows(spark, [3])
+    if step == "write":
+        bad = bad.withColumn("epoch", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception, match="lost"):
+        sinks.append_metrics(bad, log, resume=True)
+    monkeypatch.undo()
+    assert sorted(r.epoch for r in sinks.read_log(spark, log).collect()) == ([1.0, 2.0, 3.0] if step == "after" else [1.0, 2.0])
+    sinks.append_metrics(log_rows(spark, [4]), log, resume=True)
+    assert [r.epoch for r in sinks.read_log(spark, log).orderBy("epoch").collect()][-1] == 4.0
+
+
+def test_published_outputs_change_together(spark, tmp):
+    with pytest.raises(FileNotFoundError):
+        sinks.read_log(spark, tmp)
+    nb = spark.createDataFrame([("e1", 0, "a", 1.0, 0.0, 0.0)], "example_id string, rank int, text string, probability double, start_logit double, end_logit double")
+    at = None
+    for text in ("one", "two", "three"):
+        best = spark.createDataFrame([("e1", text)], "example_id string, prediction_text string")
+        sinks.write_qa_outputs(best, nb, tmp, versioned=True)
+        before, at = at, sinks.current_version(spark, tmp)
+        assert spark.read.json(f"{at}/predictions").first().prediction_text == text and os.path.isdir(f"{at}/nbest_predictions")
+    assert os.path.isdir(before)  # the last one stays for readers that have begun
+    assert len([n for n in os.listdir(tmp) if n.startswith("version-")]) == 2

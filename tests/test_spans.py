@@ -42,3 +42,24 @@ def test_min_null_score_first_window_wins(spark):
                                "feature_id long, example_id string, start_logits array<double>, end_logits array<double>")
     r = spans.min_null_scores(ft).collect()[0]
     assert r.null_score == 2.0 and r.null_start_logit == 1.0
+
+
+def test_max_context_flags(spark):
+    import random
+    rng = random.Random(3)
+    rows = []
+    for e in range(12):
+        start = 0
+        for w in range(rng.randint(1, 5)):
+            n = rng.choice([0, 3, 7, 8, 8])
+            rows.append((e, w, start, n))
+            start += rng.randint(1, 6)
+    df = spark.createDataFrame(rows, "example_id int, window_no int, ctx_start int, ctx_len int")
+    got = {(r.example_id, r.window_no): r.max_context for r in spans.mark_max_context(df, first_position=2).collect()}
+    for e, w, s, n in rows:
+        flags = [False, False]
+        for t in range(s, s + n):
+            score = {w2: min(t - s2, s2 + n2 - 1 - t) + 0.01 * n2 for e2, w2, s2, n2 in rows if e2 == e and s2 <= t < s2 + n2}
+            flags.append(min(score, key=lambda x: (-score[x], x)) == w)
+        assert got[e, w] == flags
+    assert len(got) == len(rows)
