@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["text_tasks", "qa_metrics", "structured", "qa_spans", "scores", "task_log", "spec_eval", "token_queries", "candidates", "nested_qa", "packed_specs"]
+MODULES = ["text_tasks", "qa_metrics", "structured", "qa_spans", "scores", "task_log", "spec_eval", "token_queries", "candidates", "nested_qa", "packed_specs", "outputs"]
 
 
 def _load():
