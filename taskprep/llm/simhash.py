@@ -18,9 +18,10 @@
    of its other components. A pair within the distance is so either linked or
    already connected, nothing is capped, and a join gives out links alone.
 
-For n fingerprints spread evenly a grid cell is met by 1.5e-6 n others (31 of 64
-bits of a group choice tell counts apart as 20 bits do); a larger ``alike``
-makes cells smaller and more grids.
+n fingerprints spread evenly meet 1.5e-7 n others by chance in a cell (equal
+counts of half the segments; two bits' counts are equal in 3 cases of 8), in each
+of 70 grids. ``alike`` is the choice between more grids and fuller cells: with 3
+there are 35 grids, but 1.5e-6 n others.
 
 Defined cases: a null text, an empty one or one without words has fingerprint
 zero, linked like any other; fewer words than a shingle are one shingle; a row
@@ -46,7 +47,7 @@ from taskprep.llm.components import components
 from taskprep.session import cut_lineage, read_table
 
 WORDS, DISTANCE, SEED = 4, 4, 42
-SEGMENTS, ALIKE = 32, 3
+SEGMENTS, ALIKE = 32, 4
 #: shingles whose bits are unpacked at once
 BLOCK = 1 << 16
 TABLE = at.byte_values(at.WHITE)
@@ -110,13 +111,20 @@ def near(a: str, b: str, distance: int) -> Column:
 
 
 def cells(points: DataFrame, distance: int, alike: int) -> DataFrame:
-    """(grid, cell, hub) and the columns of ``points`` (fp, ...), for cells that hold more than one point."""
+    """(grid, cell, hub) and the columns of ``points`` (fp, ...), for cells in which points may be near each other.
+
+    Most cells that are shared by chance hold two points; the bits in which their
+    OR and AND differ are then those in which the two do, so that such a cell
+    is judged by the counts of cells, and its points never leave their place.
+    """
     masks = grid_masks(distance, alike)
     dealt = (points.withColumn("t", embedding(F.col("fp")))
              .select(*points.columns, "t", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("grid", "mask"))
              .select("grid", F.col("t").bitwiseAND(F.col("mask")).alias("cell"), *points.columns))
-    hubs = dealt.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("hub")).filter("n > 1").drop("n")
-    return cut_lineage(dealt.join(hubs, ["grid", "cell"]))
+    hubs = dealt.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("hub"), F.bit_or("fp").alias("some"), F.bit_and("fp").alias("all"))
+    apart = F.bit_count(F.col("some").bitwiseXOR(F.col("all")))
+    hubs = hubs.filter((F.col("n") > 2) | ((F.col("n") == 2) & (apart <= distance)))
+    return cut_lineage(dealt.join(hubs.select("grid", "cell", "hub"), ["grid", "cell"]))
 
 
 def linked(points: DataFrame, distance: int, alike: int) -> DataFrame:
