@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,19 +46,37 @@ def read_labelled_lines(spark: SparkSession, path: str) -> DataFrame:
                       F.when(F.size(parts) == 2, F.concat(second, F.lit("\n"))).otherwise(second).alias("text"))
 
 
+BAD_ROWS = {"keep": "PERMISSIVE", "skip": "DROPMALFORMED", "error": "FAILFAST"}
+
+
 def read_csv_splits(spark: SparkSession, files: Mapping[str, str | Sequence[str]], sep: str = ",",
                     quote: str = '"', na_values: Sequence[str] | None = None, header: bool = True,
-                    schema: T.StructType | str | None = None) -> DataFrame:
+                    schema: T.StructType | str | None = None, names: Sequence[str] | None = None,
+                    decimal: str = ".", skip: int = 0, bad_rows: str = "keep") -> DataFrame:
     """S3: configurable CSV per named split (``train``/``validation``/``test``),
-    one DataFrame with a ``split`` column. Chunking is Spark's file splits."""
+    one DataFrame with a ``split`` column. Chunking is Spark's file splits.
+
+    ``names`` names the columns of files without a header, or in place of theirs.
+    ``decimal`` is the decimal sign of number columns. ``skip`` leaves out the first
+    records of each file, ahead of its header; it needs a ``schema``. Rows that do
+    not fit the schema are kept with nulls, skipped, or an error."""
+    want = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    numbers = [f.name for f in want or [] if isinstance(f.dataType, T.FractionalType)] if decimal != "." else []
+    read_as = T.StructType([T.StructField(f.name, T.StringType() if f.name in numbers else f.dataType) for f in want]) if want else None
+    if skip and want is None:
+        raise ValueError("skip needs a schema")
     out = None
     for split, paths in files.items():
-        r = spark.read.option("header", header).option("sep", sep).option("quote", quote)
-        if schema is not None:
-            r = r.schema(schema)
+        paths = list(paths) if not isinstance(paths, str) else [paths]
+        if skip:
+            df = _skipped(spark, paths, read_as, skip + bool(header), {"sep": sep, "quote": quote}, bad_rows)
         else:
-            r = r.option("inferSchema", True)
-        df = r.csv(list(paths) if not isinstance(paths, str) else paths)
+            r = spark.read.option("header", header).option("sep", sep).option("quote", quote).option("mode", BAD_ROWS[bad_rows])
+            df = (r.schema(read_as) if read_as else r.option("inferSchema", True)).csv(paths)
+        for c in numbers:
+            df = df.withColumn(c, F.replace(c, F.lit(decimal), F.lit(".")).cast(want[c].dataType))
+        if names is not None:
+            df = df.toDF(*names)
         if na_values:
             for c in df.columns:
                 df = df.withColumn(c, F.when(F.col(c).cast("string").isin(*na_values), None).otherwise(F.col(c)))
@@ -67,6 +85,22 @@ def read_csv_splits(spark: SparkSession, files: Mapping[str, str | Sequence[str]
     return out
 
 
+def _skipped(spark: SparkSession, paths: Sequence[str], schema: T.StructType, skip: int, options: dict[str, str], bad_rows: str) -> DataFrame:
+    """The rows of CSV files without the first ``skip`` records of each."""
+    records = read_records(spark, paths, QuotedLines())
+    place = F.row_number().over(Window.partitionBy("file").orderBy("block", "n"))
+    # the first records of a file lie in the first splits that hold any: only their heads are ranked
+    heads = records.filter(F.col("n") < skip).withColumn("place", place).filter(F.col("place") <= skip).select("file", "block", "n")
+    rest = records.join(heads, ["file", "block", "n"], "left_anti")
+    bad = "__bad"
+    held = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
+    mode = {"mode": "FAILFAST"} if bad_rows == "error" else {"columnNameOfCorruptRecord": bad}
+    parsed = rest.select(F.from_csv("record", (schema if bad_rows == "error" else held).toDDL(), {**options, **mode}).alias("r")).select("r.*")
+    if bad_rows == "error":
+        return parsed
+    return (parsed.filter(F.col(bad).isNull()) if bad_rows == "skip" else parsed).drop(bad)
+
+
 QA_SCHEMA = T.StructType([
     T.StructField("version", T.StringType()),
     T.StructField("data", T.ArrayType(T.StructType([
@@ -146,6 +180,27 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMA).json(path)
 
 
+def read_question_set(spark: SparkSession, folder: str, mode: str = "train", augmented: bool = False, header_tokens: bool = True,
+                      toy: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The questions and tables of one part of a question folder.
+
+    Files are named ``[aug.]<mode>_tok.jsonl`` and ``[aug.]<mode>[_tok].tables.jsonl``;
+    the tables with tokenised headers are taken unless ``header_tokens`` is off.
+    ``toy`` keeps the first questions and as many tables."""
+    part = f"aug.{mode}" if augmented else mode
+    questions = read_questions(spark, f"{folder}/{part}_tok.jsonl")
+    tables = read_tables(spark, f"{folder}/{part}{'_tok' if header_tokens else ''}.tables.jsonl")
+    if toy is not None:
+        questions = questions.orderBy("pos").limit(toy)
+        tables = tables.withColumn("__at", F.struct(F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))).orderBy("__at").limit(toy).drop("__at")
+    return questions, tables
+
+
+def read_train_dev(spark: SparkSession, folder: str, augmented: bool = False, header_tokens: bool = True, toy: int | None = None):
+    """(train questions, train tables, dev questions, dev tables); only the training part has an augmented form."""
+    return (*read_question_set(spark, folder, "train", augmented, header_tokens, toy), *read_question_set(spark, folder, "dev", False, header_tokens, toy))
+
+
 def read_predictions(spark: SparkSession, dataset_path: str, predictions_path: str,
                      expected_version: str = "1.1") -> tuple[DataFrame, DataFrame, bool]:
     """Prediction map (one JSON object id -> text) and the dataset; returns
@@ -177,12 +232,39 @@ def load_splits(spark: SparkSession, files: Mapping[str, str]) -> DataFrame:
 
 
 def read_vocab(spark: SparkSession, vocab_path: str, embedding_path: str | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Vocabulary (token, id) and embedding (id, vec) tables in parquet."""
-    vocab = spark.read.parquet(vocab_path)
-    emb = spark.read.parquet(embedding_path) if embedding_path else None
+    """Vocabulary (token, id) and embedding (id, vec) tables.
+
+    Both are parquet, or in the format they are published in: the vocabulary one
+    JSON object token -> id, read by as many tasks as it has splits, the
+    embedding a matrix file (``.npy``, up to 2 GB as Spark's binary reader takes) whose row i
+    is the vector of id i."""
+    if vocab_path.endswith(".json"):
+        one = F.from_json(F.concat(F.lit("{"), F.col("record"), F.lit("}")), "map<string,int>")
+        vocab = read_records(spark, vocab_path, JsonMembers()).select(F.explode(one).alias("token", "id"))
+    else:
+        vocab = spark.read.parquet(vocab_path)
+    if embedding_path and embedding_path.endswith(".npy"):
+        raw = spark.read.format("binaryFile").load(embedding_path).select("content")
+        emb = raw.mapInArrow(_matrix_rows, "id int, vec array<float>")
+    else:
+        emb = spark.read.parquet(embedding_path) if embedding_path else None
     return vocab, emb
 
 
+def _matrix_rows(batches):
+    import io
+
+    import numpy as np
+    import pyarrow as pa
+    for batch in batches:
+        for content in batch.column("content"):
+            m = np.load(io.BytesIO(memoryview(content.as_buffer())), allow_pickle=False).astype(np.float32)
+            for i in range(0, len(m), 1024):
+                part = m[i : i + 1024]
+                offs = pa.array(np.arange(len(part) + 1, dtype=np.int32) * m.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + len(part), dtype=np.int32)), pa.ListArray.from_arrays(offs, pa.array(part.reshape(-1)))], ["id", "vec"])
+
+
 def read_cells(spark: SparkSession, path: str, table_ids: Sequence[str] | None = None,
                n_buckets: int = 256) -> DataFrame:
     """Read a stored cell catalog; with ``table_ids`` only their hash buckets

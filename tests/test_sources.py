@@ -165,3 +165,47 @@ def test_published_outputs_change_together(spark, tmp):
         assert spark.read.json(f"{at}/predictions").first().prediction_text == text and os.path.isdir(f"{at}/nbest_predictions")
     assert os.path.isdir(before)  # the last one stays for readers that have begun
     assert len([n for n in os.listdir(tmp) if n.startswith("version-")]) == 2
+
+
+def test_csv_options(spark, tmp):
+    path = os.path.join(tmp, "eu.csv")
+    with open(path, "w") as f:
+        f.write('made by a tool\n"over\ntwo lines"\nname;x\na;1,5\nb;2\nc;x;y;z\n')
+    read = lambda **o: readers.read_csv_splits(spark, {"train": path}, sep=";", schema="name string, x double", decimal=",", skip=2, **o)
+    assert [(r.name, r.x) for r in read(bad_rows="skip").orderBy("name").collect()] == [("a", 1.5), ("b", 2.0)]
+    assert read(names=["n", "v"], bad_rows="skip").columns == ["n", "v", "split"]
+    with pytest.raises(Exception):
+        read(bad_rows="error").collect()
+    with pytest.raises(ValueError):
+        readers.read_csv_splits(spark, {"train": path}, skip=1)
+    plain = os.path.join(tmp, "p.csv")
+    with open(plain, "w") as f:
+        f.write("a,1\nb,2,3\n")
+    rows = readers.read_csv_splits(spark, {"t": plain}, header=False, schema="n string, i int", names=["s", "i"], bad_rows="skip").collect()
+    assert [tuple(r) for r in rows] == [("a", 1, "t")]
+
+
+def test_question_folder(spark, tmp):
+    for name, n in (("train_tok", 3), ("aug.train_tok", 5), ("dev_tok", 2)):
+        with open(os.path.join(tmp, f"{name}.jsonl"), "w") as f:
+            f.writelines(json.dumps({"table_id": f"t{i}", "question": name, "sql": {"sel": 0, "agg": 0, "conds": []}}) + "\n" for i in range(n))
+        with open(os.path.join(tmp, f"{name}.tables.jsonl"), "w") as f:
+            f.writelines(json.dumps({"id": f"t{i}", "header": ["a b"], "header_tok": [["a", "b"]], "types": ["text"], "rows": []}) + "\n" for i in range(n))
+    with open(os.path.join(tmp, "train.tables.jsonl"), "w") as f:
+        f.write(json.dumps({"id": "t0", "header": ["a b"], "types": ["text"], "rows": []}) + "\n")
+    q, t, dq, dt = readers.read_train_dev(spark, tmp)
+    assert (q.count(), t.count(), dq.count(), dt.count()) == (3, 3, 2, 2) and t.first().header_tok == [["a", "b"]]
+    assert [r.table_id for r in readers.read_question_set(spark, tmp, augmented=True, toy=4)[0].orderBy("pos").collect()] == ["t0", "t1", "t2", "t3"]
+    assert readers.read_question_set(spark, tmp, header_tokens=False)[1].first().header_tok is None
+
+
+def test_published_vocabulary(spark, tmp):
+    import numpy as np
+    words = {f'w"{i},é': i for i in range(50)}
+    with open(os.path.join(tmp, "w2i.json"), "w") as f:
+        json.dump(words, f, ensure_ascii=False)
+    m = np.arange(1500, dtype=np.float64).reshape(50, 30)
+    np.save(os.path.join(tmp, "wemb.npy"), m)
+    vocab, emb = readers.read_vocab(spark, os.path.join(tmp, "w2i.json"), os.path.join(tmp, "wemb.npy"))
+    assert {r.token: r.id for r in vocab.collect()} == words
+    assert all((np.array(r.vec) == m[r.id]).all() for r in emb.collect()) and emb.count() == 50
