@@ -117,3 +117,22 @@ def test_condition_candidates(spark):
     got = rank.condition_candidates(df, "c", "o", "s", "e", "w", 4).orderBy("cand_no").collect()
     assert [tuple(r.cond) for r in got[:2]] == [(0, 1, ""), (0, 0, "u v")] and [r.cand_no for r in got] == [0, 1, 2, 3]
     assert [r.prob for r in got] == sorted((r.prob for r in got), reverse=True)
+
+
+def test_lone_equalities_meet_values_not_rows(spark, monkeypatch):
+    """Specs that ask for a frequent value are kept without a row a match."""
+    from taskprep.operators import specs as SP
+    rows = [[str(i % 4), "a" if i % 2 else None] for i in range(120)]
+    cells, meta = SP.to_cells(spark.createDataFrame([("t", ["n", "s"], ["real", "text"], rows)], "id string, header array<string>, types array<string>, rows array<array<string>>"))
+    specs = [(0, f"s{i}", 0.0, "table_t", i % 2, 0, [c]) for i, c in enumerate([(0, 0, "3"), (0, 0, "9"), (1, 0, "A"), (1, 0, "b"), (0, 0, "x")] * 40)]
+    written, cut = [], SP.cut_lineage
+
+    def seen(x):
+        out = cut(x)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(SP, "cut_lineage", seen)
+    kept = {r.spec_id for r in SP.keep_executable(spark.createDataFrame(specs, CANDS), cells, meta).collect()}
+    assert kept == {s[1] for i, s in enumerate(specs) if i % 5 in (0, 2)}
+    assert max(written, default=0) <= len(specs)
