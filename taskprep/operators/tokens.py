@@ -21,23 +21,43 @@ TOKEN_TYPE = T.ArrayType(T.StructType([T.StructField("tok", T.StringType()), T.S
                                        T.StructField("ed", T.IntegerType())]))
 
 
+# Characters (tokens) of a batch that a task's Python turns into lists at once.
+BATCH_ITEMS = 1 << 20
+
+
+def _portions(batch, sizes, limit: int):
+    """Consecutive slices of an Arrow batch of about ``limit`` items (``sizes`` a row), one row at least."""
+    import numpy as np
+
+    if not batch.num_rows:
+        yield batch
+        return
+    part = (np.cumsum(sizes) - sizes) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
 def tokenize(df: DataFrame, text: str, out: str = "tokens", pattern: str = WORD_PATTERN,
              lower: bool = False) -> DataFrame:
     """Tokens with [st, ed) character offsets (code points).
 
     ``mapInArrow``: per Arrow batch one regex scan per text, with the tokens
     and offsets written straight into flat Arrow arrays (no per-token Python
-    objects beyond the match)."""
+    objects beyond the match). A batch is cut into portions of bounded text, so
+    a task's lists don't grow with the rows of a batch."""
     import re
 
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     schema = T.StructType(df.schema.fields + [T.StructField(out, TOKEN_TYPE)])
     names = df.columns + [out]
 
     def run(batches):
         rx = re.compile(pattern)
-        for b in batches:
+        whole = (p for b in batches for p in _portions(b, pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype("int64"), BATCH_ITEMS))
+        for b in whole:
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
             offs, toks, st, ed, nulls = [0], [], [], [], []
             for t in texts:
@@ -65,13 +85,61 @@ TOKEN_SALTS = 16
 
 
 def _looked_up(df: DataFrame, key: str, items: str, table: DataFrame, item: str, value: str) -> DataFrame:
-    """(key, map item -> value) over the distinct items of each row. The table is
+    """(key, list of (item, value)) over the distinct items of each row. The table is
     repeated once a salt, so the rows of a frequent item spread."""
     salt = F.pmod(F.xxhash64(key), F.lit(TOKEN_SALTS)).cast("int")
     ex = df.select(key, salt.alias("salt"), F.explode(F.array_distinct(items)).alias(item))
     names = table.select(F.col(item), F.col(value), F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1))).alias("salt"))
     found = ex.join(names, [item, "salt"])
-    return found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(item, value))).alias("__m"))
+    return found.groupBy(key).agg(F.collect_list(F.struct(F.col(item).alias("item"), F.col(value).alias("value"))).alias("__m"))
+
+
+def _lists(column):
+    """Lengths (null: 0) and flat values of an Arrow list column."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(column.value_lengths(), 0).to_numpy(zero_copy_only=False).astype("int64"), column.flatten()
+
+
+def _places(n, items, m):
+    """Where each item (``n`` a row, ``items`` flat) stands among the flat entries ``m`` of its row's list, -1 where it doesn't."""
+    import numpy as np
+    import pyarrow as pa
+
+    n_m, entries = _lists(m)
+    held = entries.field("item")
+    codes = pa.chunked_array([held.cast(items.type), items]).combine_chunks().dictionary_encode()
+    size = len(codes.dictionary) + 1
+    code = codes.indices.fill_null(size - 1).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = lambda k: np.repeat(np.arange(len(k)), k) * size
+    there, asked = row(n_m) + code[: len(held)], row(n) + code[len(held):]
+    order = np.argsort(there, kind="stable")
+    at = np.searchsorted(there[order], asked)
+    if not len(order):
+        return np.full(len(asked), -1), entries
+    near = order[np.minimum(at, len(order) - 1)]
+    return np.where(there[near] == asked, near, -1), entries
+
+
+def _mapped(df: DataFrame, items: str, out: str, kind: str, default) -> DataFrame:
+    """Each row's ``items`` through its list ``__m`` of (item, value), ``default`` where it has none; one sorted lookup a batch, not a scan of the list an item."""
+    import numpy as np
+    import pyarrow as pa
+
+    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DataType.fromDDL(kind)))])
+    names = df.columns + [out]
+
+    def run(batches):
+        for batch in batches:
+            for b in _portions(batch, _lists(batch.column(items))[0], BATCH_ITEMS):
+                asked = b.column(items)
+                n, flat = _lists(asked)
+                at, entries = _places(n, flat, b.column("__m"))
+                values = entries.field("value").take(pa.array(at, mask=at < 0)).fill_null(default)
+                got = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), values, mask=asked.is_null())
+                yield pa.RecordBatch.from_arrays([*b.columns, got], names=names)
+
+    return df.mapInArrow(run, schema)
 
 
 def token_ids(df: DataFrame, tokens: str, vocab: DataFrame, key: str, out: str = "ids") -> DataFrame:
@@ -80,9 +148,9 @@ def token_ids(df: DataFrame, tokens: str, vocab: DataFrame, key: str, out: str =
     Only a row's distinct tokens are joined to the vocabulary; the row maps its
     own tokens in place.
     """
-    held = _looked_up(df, key, tokens, vocab.select("token", "id"), "token", "id")
-    ids = F.transform(tokens, lambda t: F.coalesce(F.try_element_at("__m", t), F.lit(UNK_ID)))
-    return df.join(held, key, "left").withColumn(out, F.coalesce(ids, F.array().cast("array<int>"))).drop("__m")
+    held = _looked_up(df, key, tokens, vocab.select("token", F.col("id").cast("int").alias("id")), "token", "id")
+    ids = _mapped(df.join(held, key, "left"), tokens, out, "int", UNK_ID)
+    return ids.withColumn(out, F.coalesce(out, F.array().cast("array<int>"))).drop("__m")
 
 
 # The mark of a piece inside a word.
@@ -129,11 +197,35 @@ def subword_tokens(df: DataFrame, tokens: str, key: str, vocab: DataFrame, max_p
     cut = word_pieces(words.select(F.explode("__w").alias("word")), vocab, max_piece)
     held = _looked_up(words, key, "__w", cut, "word", "pieces")
 
-    def placed(t, i):
-        return F.transform(F.try_element_at("__m", t.tok), lambda p: F.struct(
-            p.tok.alias("tok"), (t.st + p.st).alias("st"), (t.st + p.ed).alias("ed"), i.alias("word")))
+    import numpy as np
+    import pyarrow as pa
 
-    return df.join(held, key, "left").withColumn(out, F.flatten(F.transform(tokens, placed))).drop("__m")
+    rows = df.join(held, key, "left")
+    piece = T.StructType([*TOKEN_TYPE.elementType.fields, T.StructField("word", T.IntegerType())])
+    schema = T.StructType(rows.schema.fields + [T.StructField(out, T.ArrayType(piece))])
+    names = rows.columns + [out]
+
+    def run(batches):
+        for batch in batches:
+            for b in _portions(batch, _lists(batch.column(tokens))[0], BATCH_ITEMS):
+                own = b.column(tokens)
+                n, flat = _lists(own)
+                at, entries = _places(n, flat.field("tok"), b.column("__m"))
+                n_cut, cuts = _lists(entries.field("value"))
+                first = np.cumsum(n_cut) - n_cut
+                size = np.where(at >= 0, n_cut[at], 0) if len(n_cut) else np.zeros(len(at), np.int64)
+                token = np.repeat(np.arange(len(at)), size)  # the token of each piece
+                which = first[at[token]] + np.arange(len(token)) - (np.cumsum(size) - size)[token]
+                start = flat.field("st").to_numpy(zero_copy_only=False)[token]
+                place = lambda c: pa.array((cuts.field(c).to_numpy(zero_copy_only=False)[which] + start).astype(np.int32))
+                word = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                pieces = pa.StructArray.from_arrays([cuts.field("tok").take(pa.array(which)), place("st"), place("ed"), pa.array(word[token].astype(np.int32))], names=["tok", "st", "ed", "word"])
+                ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n)))]
+                lost = np.bincount(np.repeat(np.arange(len(n)), n)[at < 0], minlength=len(n)) > 0
+                gone = pa.array(own.is_null().to_numpy(zero_copy_only=False) | lost)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pieces, mask=gone)], names=names)
+
+    return rows.mapInArrow(run, schema).drop("__m")
 
 
 def encode(ids, max_len: int | None, markers: bool = True) -> F.Column:
@@ -157,8 +249,8 @@ def ids_to_text(df: DataFrame, ids: str, vocab: DataFrame, key: str, out: str =
     special = spark.createDataFrame(list(SPECIAL_TOKENS.items()), "id int, token string")
     names = vocab.select(F.col("id").cast("int"), "token").unionByName(special)
     held = _looked_up(df, key, ids, names, "id", "token")
-    text = F.transform(ids, lambda i: F.coalesce(F.try_element_at("__m", i), F.lit(SPECIAL_TOKENS[UNK_ID])))
-    return df.join(held, key, "left").withColumn(out, F.array_join(text, " ")).drop("__m")
+    text = _mapped(df.join(held, key, "left"), ids, "__t", "string", SPECIAL_TOKENS[UNK_ID])
+    return text.withColumn(out, F.array_join("__t", " ")).drop("__m", "__t")
 
 
 def window_context(df: DataFrame, q_len: str, n_ctx: str, max_len: int = 384, stride: int = 128,

@@ -116,3 +116,33 @@ def test_condition_values(spark):
     odd = spark.createDataFrame([(["WHERE", "a", "EQL", "GT", "x", "AND", "b", "c"], ["x"])], "q array<string>, n array<string>")
     r = odd.select(TK.condition_values("q", "n")).collect()[0][0]
     assert [(c.op, c.value, c.pos) for c in r] == [("EQL", ["GT", "x"], -1), (None, [], -1)]
+
+
+def test_long_rows_are_mapped_once_a_token(spark):
+    """A row of many distinct tokens is looked up in sorted entries; rows without key, tokens or known words keep their cases."""
+    import time
+    n = 30_000
+    vocab = spark.createDataFrame([(f"t{i}", i + 3) for i in range(0, n, 2)], "token string, id int")
+    rows = [(1, [f"t{i}" for i in range(n)]), (2, None), (3, []), (4, ["none", None, "t0"]), (5, ["t2", "t2"]), (5, ["t4"])]
+    df = spark.createDataFrame(rows, "k int, w array<string>")
+    took = time.time()
+    ids = sorted(TK.token_ids(df, "w", vocab, "k").select("k", "ids").collect())
+    took = time.time() - took
+    assert ids[0].ids == [i + 3 if i % 2 == 0 else 0 for i in range(n)]
+    assert [tuple(r) for r in ids[1:]] == [(2, []), (3, []), (4, [0, 0, 3]), (5, [5, 5]), (5, [7])]
+    text = TK.ids_to_text(spark.createDataFrame([(1, [1, 3, 98, 2]), (2, None)], "k int, x array<int>"), "x", vocab, "k")
+    assert {r.k: r.text for r in text.collect()} == {1: "[CLS] t0 [UNK] [SEP]", 2: None}
+    assert took < 60
+
+
+def test_tokenize_in_portions(spark, monkeypatch):
+    """Batches are cut by their text, so a task holds the lists of a bounded portion."""
+    import numpy as np
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_pydict({"a": [3, 4, 5, 6]})
+    assert [p.num_rows for p in TK._portions(batch, np.array([5, 6, 20, 1]), 10)] == [2, 1, 1]
+    rows = [(i, None if i % 5 == 4 else " ".join(["Ab"] * (i % 7))) for i in range(40)]
+    monkeypatch.setattr(TK, "BATCH_ITEMS", 8)
+    df = TK.tokenize(spark.createDataFrame(rows, "k int, t string").coalesce(1), "t", "x", lower=True)
+    got = {r.k: r.x for r in df.collect()}
+    assert all(got[k] is None if t is None else [(x.tok, x.st, x.ed) for x in got[k]] == [("ab", 3 * j, 3 * j + 2) for j in range(k % 7)] for k, t in rows)
