@@ -261,9 +261,12 @@ def _swept(specs: DataFrame, groups: DataFrame, name: str = "spec_id", merged: d
     return both.select(name, *(pick(p).alias(p) for p in parts))
 
 
-def _ranged(specs: DataFrame, conds: DataFrame) -> DataFrame:
-    """Of ``specs``, those whose conditions (one at least) are all ranges: spec_id, table_id, sel, cs (conditions), cols, shape."""
-    own = conds.groupBy("spec_id").agg(F.max((~F.col("op").isin(1, 2)).cast("int")).alias("other"), F.collect_list(F.struct("col_idx", "op", "vnum", "vtext")).alias("cs"))
+def _ranged(specs: DataFrame, conds: DataFrame, once: bool = False) -> DataFrame:
+    """Of ``specs``, those whose conditions (one at least) are all ranges: spec_id, table_id, sel, cs (conditions), cols, shape.
+
+    With ``once`` those whose id repeats are left out."""
+    own = conds.groupBy("spec_id").agg(F.max((~F.col("op").isin(1, 2)).cast("int")).alias("other"), F.collect_list(F.struct("col_idx", "op", "vnum", "vtext")).alias("cs"), F.max("n_conds").alias("n"))
+    own = own.filter(F.size("cs") == F.col("n")).drop("n") if once else own.drop("n")
     cols = F.array_sort(F.array_distinct(F.transform("cs", lambda c: c["col_idx"])))
     ranged = specs.select("spec_id", "table_id", "sel").join(own.filter("other = 0").drop("other"), "spec_id").withColumn("cols", cols)
     return cut_lineage(ranged.withColumn("shape", F.concat_ws(":", F.col("table_id"), F.col("sel"), F.array_join("cols", ","))))
@@ -367,7 +370,7 @@ def run_specs(specs: DataFrame, cells: DataFrame, meta: DataFrame, last_value_wi
     bad = spec_errors(specs, meta, conds).filter("error").select("spec_id")
     ok = specs
     ranged, by_range = _range_aggregates(ok, conds, cells)
-    plain = _ranged(ok.filter(F.col("agg") == 0), conds)
+    plain = _ranged(ok.filter(F.col("agg") == 0), conds, True)
     by_range = by_range.unionByName(plain.select("spec_id"))
     with_conds = ok.filter(F.size("conds") > 0).join(by_range, "spec_id", "left_anti")
     no_conds = ok.filter(F.size("conds") == 0)
@@ -409,7 +412,7 @@ def result_sizes(specs: DataFrame, cells: DataFrame, meta: DataFrame) -> DataFra
     fine = specs.join(spec_errors(specs, meta, conds).filter("error").select("spec_id"), "spec_id", "left_anti")
     plain = fine.filter(F.col("agg") == 0)
     sel = plain.select("spec_id", "table_id", F.col("sel").alias("col_idx"))
-    ranged = _ranged(plain, conds)
+    ranged = _ranged(plain, conds, True)
     some = plain.filter(F.size("conds") > 0).join(ranged.select("spec_id"), "spec_id", "left_anti")
     hit = matching_rows(some, cells, meta, False, conds.join(some.select("spec_id"), "spec_id", "left_semi"))
     hit = hit.join(sel.select("spec_id", "col_idx"), "spec_id").join(cells.select("table_id", "row_idx", "col_idx"), ["table_id", "row_idx", "col_idx"], "left_semi")
@@ -475,7 +478,7 @@ def keep_executable(candidates: DataFrame, cells: DataFrame, meta: DataFrame) ->
     ranges = own.filter(lone).join(_column_extremes(cells), ["table_id", "col_idx"]).filter(F.when(op == 1, above).otherwise(below))
     equal = _held_values(own.filter((F.col("n_conds") == 1) & (op == 0)), sel, cells)
     rest = own.filter(F.col("n_conds") > 1)
-    ranged = _ranged(plain.join(rest.select("spec_id").distinct(), "spec_id", "left_semi"), rest)
+    ranged = _ranged(plain.join(rest.select("spec_id").distinct(), "spec_id", "left_semi"), rest, True)
     rest = rest.join(ranged.select("spec_id"), "spec_id", "left_anti")
     hit = matching_rows(plain.join(rest.select("spec_id").distinct(), "spec_id", "left_semi"), cells, meta, False, rest)
     hit = hit.join(sel.select("spec_id", "col_idx"), "spec_id").join(cells.select("table_id", "row_idx", "col_idx"), ["table_id", "row_idx", "col_idx"], "left_semi")
