@@ -32,39 +32,71 @@ def vocabulary_tokens() -> Column:
     return F.array(*[F.array(*[F.lit(t) for t in m.split(" ")]) for m in VOCABULARY])
 
 
+def _ids(members: Column) -> Column:
+    """Segment ids of header or vocabulary members: 1 on their tokens and on the separator after the last one."""
+    ones = let(F.size(members) - 1, lambda last: F.transform(members, lambda m, i: F.concat(F.array_repeat(F.lit(1), F.size(m)), F.array((i == last).cast("int")))))
+    return F.flatten(ones)
+
+
+def _borders(members: Column, group: int, offset: Column) -> Column:
+    """Borders of consecutive members of a group, the first at ``offset``."""
+    def bordered(lens: Column) -> Column:
+        return F.transform(running_starts(lens, 1), lambda st, i: F.struct(
+            F.lit(group).alias("group"), i.alias("member"), (offset + st).cast("int").alias("st"), (offset + st + F.get(lens, i)).cast("int").alias("ed")))
+
+    return let(F.transform(members, lambda x: F.size(x)), bordered)
+
+
+def _closed(members: Column) -> Column:
+    return F.flatten(F.transform(members, lambda x: F.concat(x, F.array(F.lit("[SEP]")))))
+
+
+def _literals(vocabulary: list[list[str]], aligned: bool) -> tuple[Column, Column, Column]:
+    """Tokens, segment ids and borders up to the end of a vocabulary that the plan knows: literals, not worked out a row."""
+    tokens, ids, borders = ["[CLS]"], [], []
+    for i, m in enumerate(vocabulary):
+        borders.append((i, len(tokens), len(tokens) + len(m)))
+        tokens += [*m, "[SEP]"]
+        ids += [1] * len(m) + [int(i == len(vocabulary) - 1)]
+    ids = [0, *ids] if aligned else [*ids, 0]
+    border = lambda i, st, ed: F.struct(F.lit(VOCABULARY_GROUP).alias("group"), F.lit(i).alias("member"), F.lit(st).alias("st"), F.lit(ed).alias("ed"))
+    held = F.array(*[border(*x) for x in borders]).cast("array<struct<`group`:int,member:int,st:int,ed:int>>")
+    return F.array(*map(F.lit, tokens)), F.array(*map(F.lit, ids)), held
+
+
 def pack_input(question, headers, vocabulary=None, aligned: bool = False) -> Column:
     """struct(tokens, segment_ids, borders) of a packed input.
 
     ``question`` is a token list, ``headers`` and ``vocabulary`` are lists of
-    those; null counts as empty. Segment ids are 1 on vocabulary and header
+    those; null counts as empty. A fixed vocabulary may be a Python list.
+    Segment ids are 1 on vocabulary and header
     tokens and on the separator after the last of either, else 0. With a
     vocabulary its ids stand one place early, as models trained on this layout
     expect; ``aligned`` puts them on their own tokens.
     """
     lists = "array<array<string>>"
-    empty = F.array().cast(lists)
-    vocab = F.coalesce(_c(vocabulary), empty) if vocabulary is not None else empty
-    heads, quest = F.coalesce(_c(headers), empty), F.coalesce(_c(question), F.array().cast("array<string>"))
-
-    def ids(members: Column) -> Column:
-        return F.flatten(F.transform(members, lambda m, i: F.concat(F.array_repeat(F.lit(1), F.size(m)), F.array((i == F.size(members) - 1).cast("int")))))
-
-    def packed(s: Column) -> Column:
-        segments = F.concat(s["v"], F.array(s["q"]), s["h"])
-        lens = F.transform(segments, lambda x: F.size(x))
-        nv = F.size(s["v"])
-        group = lambda i: F.when(i < nv, VOCABULARY_GROUP).when(i == nv, QUESTION_GROUP).otherwise(HEADER_GROUP)
-        member = lambda i: F.when(i < nv, i).when(i == nv, 0).otherwise(i - nv - 1)
-        borders = F.zip_with(running_starts(lens, 1), lens, lambda st, n: F.struct(st.alias("st"), n.alias("n")))
-        borders = F.transform(borders, lambda b, i: F.struct(
-            group(i).alias("group"), member(i).alias("member"), (b["st"] + 1).cast("int").alias("st"), (b["st"] + 1 + b["n"]).cast("int").alias("ed")))
-        cls = F.array(F.lit(0))
-        front = F.concat(cls, ids(s["v"])) if aligned else F.concat(ids(s["v"]), cls)
+    empty, cls = F.array().cast(lists), F.array(F.lit(0))
+
+    def front(v: Column) -> Column:
+        ids = F.concat(cls, _ids(v)) if aligned else F.concat(_ids(v), cls)
+        return F.struct(F.concat(F.array(F.lit("[CLS]")), _closed(v)).alias("tokens"), ids.alias("ids"), _borders(v, VOCABULARY_GROUP, F.lit(1)).alias("borders"))
+
+    def packed(s: Column, tokens: Column, ids: Column, borders: Column) -> Column:
+        q, h = s["q"], s["h"]
+
+        def places_of(n: Column) -> Column:
+            asked = F.struct(F.lit(QUESTION_GROUP).alias("group"), F.lit(0).alias("member"), n.cast("int").alias("st"), (n + F.size(q)).cast("int").alias("ed"))
+            return F.concat(borders, F.array(asked), _borders(h, HEADER_GROUP, n + F.size(q) + 1))
+
         return F.struct(
-            F.concat(F.array(F.lit("[CLS]")), F.flatten(F.transform(segments, lambda x: F.concat(x, F.array(F.lit("[SEP]")))))).alias("tokens"),
-            F.concat(front, F.array_repeat(F.lit(0), F.size(s["q"]) + 1), ids(s["h"])).alias("segment_ids"), borders.alias("borders"))
+            F.concat(tokens, q, F.array(F.lit("[SEP]")), _closed(h)).alias("tokens"),
+            F.concat(ids, F.array_repeat(F.lit(0), F.size(q) + 1), _ids(h)).alias("segment_ids"), let(F.size(tokens), places_of).alias("borders"))
 
-    return let(F.struct(vocab.alias("v"), quest.alias("q"), heads.alias("h")), packed)
+    own = [F.coalesce(_c(question), F.array().cast("array<string>")).alias("q"), F.coalesce(_c(headers), empty).alias("h")]
+    if vocabulary is None or isinstance(vocabulary, list):
+        return let(F.struct(*own), lambda s: packed(s, *_literals(vocabulary or [], aligned)))
+    known = let(F.coalesce(_c(vocabulary), empty), front)
+    return let(F.struct(known.alias("v"), *own), lambda s: packed(s, s["v"]["tokens"], s["v"]["ids"], s["v"]["borders"]))
 
 
 def locate(point, borders) -> Column:
@@ -84,6 +116,27 @@ def locate(point, borders) -> Column:
     return F.when(p.isNotNull() & (F.size(b) > 0), held).otherwise(none)
 
 
+def places(borders) -> Column:
+    """J7 for every position up to the end of the last border: array of struct(group, member), (-1, -1) between borders; linear."""
+    none = F.struct(F.lit(-1).alias("group"), F.lit(-1).alias("member"))
+
+    def spread(b: Column) -> Column:
+        following = F.concat(F.transform(F.slice(b, 2, F.size(b)), lambda x: x["st"]), F.array(F.element_at(b, -1)["ed"]))
+        held = lambda x, to: F.least(x["ed"], to) - x["st"]
+        parts = F.zip_with(b, following, lambda x, to: F.concat(
+            F.array_repeat(F.struct(x["group"].alias("group"), x["member"].alias("member")), held(x, to)), F.array_repeat(none, to - x["st"] - held(x, to))))
+        return F.concat(F.array_repeat(none, F.element_at(b, 1)["st"]), F.flatten(parts))
+
+    return let(borders, lambda b: F.when(F.size(b) > 0, spread(b)))
+
+
+def locate_all(points, borders) -> Column:
+    """J7 for a list of positions: each one's struct(group, member) as by ``locate``, looked up in ``places`` once a row."""
+    none = F.struct(F.lit(-1).alias("group"), F.lit(-1).alias("member"))
+    row = F.struct(places(borders).alias("at"), _c(points).alias("points"))
+    return let(row, lambda r: F.transform(r["points"], lambda p: F.coalesce(F.get(r["at"], p), none)))
+
+
 def spec_positions(spec, borders, pool: str = "start") -> Column:
     """The positions of a spec in its packed input:
     start, select, agg, column, (where | and, column, operator, value start, value end)*, end.
@@ -128,11 +181,11 @@ def specs_from_positions(points, tokens, borders, header, words, word_of, questi
                      F.array().cast(cond_t).alias("conds"), F.array().cast(piece_t).alias("pieces"))
     q_start = F.get(F.filter(b, lambda x: x["group"] == QUESTION_GROUP), F.lit(0))["st"]
 
-    def seen(p: Column) -> Column:
-        return let(locate(p, b), lambda x: F.struct(
+    def seen(p: Column, x: Column, q0: Column) -> Column:
+        return F.struct(
             x["group"].alias("group"), x["member"].alias("member"), p.alias("p"),
             (F.coalesce(F.get(b, x["member"])["st"], F.lit(-1)) == p).alias("first"), F.get(toks, p).alias("tok"),
-            F.get(of, p - q_start).alias("word")))
+            F.get(of, p - q0).alias("word"))
 
     symbols = F.create_map(*[F.lit(y) for m, t in OP_TEXT.items() for y in (VOCABULARY.index(m), t)])
 
@@ -159,7 +212,8 @@ def specs_from_positions(points, tokens, borders, header, words, word_of, questi
                 .otherwise(a))
 
     text = lambda x: detokenize(F.slice(wd, x["st"] + 1, F.greatest(x["ed"] - x["st"] + 1, F.lit(0))), _c(question))
-    folded = F.aggregate(F.transform(F.coalesce(_c(points), F.array().cast("array<int>")), seen), start, step)
+    ps = F.coalesce(_c(points), F.array().cast("array<int>"))
+    folded = F.aggregate(let(q_start, lambda q0: F.zip_with(ps, locate_all(ps, b), lambda p, x: seen(p, x, q0))), start, step)
     return let(folded, lambda r: F.struct(
         F.array_join(F.transform(r["pieces"], lambda x: F.when(x["text"].isNotNull(), x["text"]).otherwise(text(x))), " ").alias("query"),
         r["sel"].alias("sel"), r["agg"].alias("agg"),

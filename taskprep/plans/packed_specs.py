@@ -39,13 +39,13 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     q = q.withColumn("question", F.concat(F.lit("show "), named(F.col("g.sel")), F.array_join(said, "")))
     # the cut words and the packed input are computed once a row, behind a generator
     q = q.withColumn("cut", F.explode(F.array(_pieces("words")))).withColumn("ix", F.explode(F.array(TK.subtoken_index("cut"))))
-    q = q.withColumn("packed", F.explode(F.array(PK.pack_input(F.flatten("cut"), _pieces("header"), PK.vocabulary_tokens()))))
+    q = q.withColumn("packed", F.explode(F.array(PK.pack_input(F.flatten("cut"), _pieces("header"), [m.split(" ") for m in PK.VOCABULARY]))))
     return q.select("qid", "g", "header", "words", "question", "ix.word_start", "ix.word_of", "packed.*")
 
 
 def packed_inputs(spark: SparkSession, sf: str) -> DataFrame:
     """T9 + J7: tokens, segment ids, and the member that holds each position."""
-    at = F.transform(F.sequence(F.lit(0), F.size("tokens") - 1), lambda p: PK.locate(p, "borders"))
+    at = PK.locate_all(F.sequence(F.lit(0), F.size("tokens") - 1), "borders")
     return questions(spark, sf).select(
         "qid", F.md5(F.array_join("tokens", " ")).alias("tokens_md5"), F.array_join("segment_ids", "").alias("segment_ids"),
         F.md5(F.array_join(F.transform(at, lambda x: F.concat_ws(":", x.group, x.member)), ",")).alias("members_md5"))
@@ -73,7 +73,7 @@ def packed_pointers(spark: SparkSession, sf: str) -> DataFrame:
     q = q.withColumn("whole", F.explode(F.array(PK.spec_positions(spec, "borders"))))
     q = q.withColumn("points", F.explode(F.array(_damaged(F.col("whole"), F.col("qid"), F.size("g.conds")))))
     q = q.withColumn("back", F.explode(F.array(PK.specs_from_positions("points", "tokens", "borders", "header", "words", "word_of", "question"))))
-    at = F.transform("points", lambda p: PK.locate(p, "borders"))
+    at = PK.locate_all("points", "borders")
     return q.select("qid", F.array_join("points", ",").alias("points"), F.array_join(F.transform(at, lambda x: F.concat_ws(":", x.group, x.member)), ",").alias("members"),
                     F.col("back.sel").alias("sel"), F.col("back.agg").alias("agg"),
                     F.array_join(F.transform("back.conds", lambda c: F.concat_ws("|", c.col, c.op, c.val)), ";").alias("conds"), F.col("back.query").alias("query"))

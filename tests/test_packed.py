@@ -122,3 +122,35 @@ def test_damaged_lists(spark, change, sel, agg, conds):
     b = read(spark, change)
     full = [(1, 0, "new york (ny)"), (2, 1, "40")]
     assert (b.sel, b.agg, [tuple(c) for c in b.conds]) == (sel, agg, full if conds == 2 else conds)
+
+
+def test_all_positions_at_once(spark):
+    """``locate_all`` is ``locate`` position by position, on empty members, gaps and no borders too."""
+    rng = random.Random(2)
+    kind = "array<struct<`group`:int,member:int,st:int,ed:int>>"
+    rows = [([], [0, None, -1]), (None, [3]), ([(1, 0, 2, 4), (2, 0, 4, 4), (2, 1, 9, 12)], None)]
+    for _ in range(6):
+        st, b = rng.randint(0, 2), []
+        for i in range(rng.randint(1, 6)):
+            ed = st + rng.randint(0, 4)
+            b.append((rng.randint(0, 2), i, st, ed))
+            st = ed + rng.randint(0, 3)
+        rows.append((b, [*range(-2, st + 3), None]))
+    got = spark.createDataFrame(rows, f"b {kind}, p array<int>").select(PK.locate_all("p", "b").alias("x"), F.transform("p", lambda p: PK.locate(p, "b")).alias("y")).collect()
+    assert all(r.x == r.y for r in got) and any(r.x for r in got)
+
+
+@pytest.mark.parametrize("aligned", [False, True])
+def test_fixed_vocabulary_packs_like_a_column(spark, aligned):
+    v = [["x", "y"], ["z"], []]
+    frame = spark.createDataFrame([(["q", "r"], [["h"], [], ["i", "j"]], v), (None, None, v), ([], [["h"]], v)], f"q array<string>, h {LISTS}, v {LISTS}")
+    got = frame.select(PK.pack_input("q", "h", v, aligned).alias("x"), PK.pack_input("q", "h", "v", aligned).alias("y")).collect()
+    assert all(r.x == r.y for r in got) and got[0].x.segment_ids[-1] == 1
+
+
+def test_a_long_input_is_located_in_linear_work(spark):
+    frame = spark.range(1).select(PK.pack_input(F.array_repeat(F.lit("t"), 200_000), F.array_repeat(F.array(F.lit("h")), 2_000)).alias("p"))
+    where = PK.locate_all(F.sequence(F.lit(0), F.size("p.tokens") - 1), "p.borders")
+    began = time.time()
+    got = frame.select(F.size(F.filter(where, lambda x: x["group"] == PK.QUESTION_GROUP)).alias("n")).collect()[0].n
+    assert got == 200_000 and time.time() - began < 20
