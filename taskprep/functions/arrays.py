@@ -201,10 +201,13 @@ def segment_lengths(segments) -> Column:
 def find_sublist(needle, haystack) -> Column:
     """Every 0-based position where ``needle`` occurs in ``haystack``
     (overlapping matches included; empty when the needle is longer)."""
-    n, h = _c(needle), _c(haystack)
-    last = F.size(h) - F.size(n)
-    starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.filter(starts, lambda i: F.slice(h, i + 1, F.size(n)) == n)
+    def found(n: Column, h: Column) -> Column:
+        last = F.size(h) - F.size(n)
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        # a slice is compared only where the first element agrees
+        return F.filter(starts, lambda i: ((F.size(n) == 0) | F.get(h, i).eqNullSafe(F.get(n, F.lit(0)))) & (F.slice(h, i + 1, F.size(n)) == n))
+
+    return let(needle, lambda n: let(haystack, lambda h: found(n, h)))
 
 
 def sequence_match(a, b) -> Column:

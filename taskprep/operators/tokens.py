@@ -303,16 +303,13 @@ def mask_offsets(df: DataFrame, offsets: str, q_len: str, out: str = "window_off
 def running_starts(lens, sep: int = 0) -> F.Column:
     """Start of each of consecutive segments with ``sep`` places between them.
 
-    Linear: every place of the row is labelled with its segment, and a segment
-    starts where the label changes. Each is given a place more than it has, so
-    that empty ones have a start too.
+    Linear: every place of the row is labelled by whether a segment starts there.
+    Each is given a place more than it has, so that empty ones have a start too.
     """
-    def changes(owner):
-        return F.filter(F.sequence(F.lit(0), F.size(owner) - 1), lambda p: (p == 0) | (F.get(owner, p) != F.get(owner, p - 1)))
-
     n = F.col(lens) if isinstance(lens, str) else lens
-    owner = F.flatten(F.transform(n, lambda x, i: F.array_repeat(i, (x + 1).cast("int"))))
-    starts = let(owner, lambda o: F.when(F.size(o) > 0, changes(o)).otherwise(F.array().cast("array<int>")))
+    opens = F.flatten(F.transform(n, lambda x: F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), x.cast("int")))))
+    found = lambda o: F.filter(F.sequence(F.lit(0), F.size(o) - 1), lambda p: F.get(o, p))
+    starts = let(opens, lambda o: F.when(F.size(o) > 0, found(o)).otherwise(F.array().cast("array<int>")))
     return F.transform(starts, lambda p, i: (p + i * (sep - 1)).cast("int"))
 
 
@@ -413,21 +410,25 @@ def condition_values(query_tokens, question_tokens) -> F.Column:
     ops = ("EQL", "LT", "GT")
     w = F.array_position(q, F.lit("WHERE")).cast("int")
     tail = F.when(w > 0, F.slice(q, w + 1, F.size(q))).otherwise(F.array().cast("array<string>"))
-    # AND positions split the tail into conditions
-    cuts = F.filter(F.transform(tail, lambda t, i: F.when(t == "AND", i)), lambda x: x.isNotNull())
-    bounds = F.concat(F.array(F.lit(-1)), cuts, F.array(F.size(tail)))
-    pieces = F.transform(F.slice(bounds, 1, F.size(bounds) - 1), lambda b, i: F.slice(
-        tail, b + 2, F.element_at(bounds, i + 2) - b - 1))
+
+    def split(tail):
+        # AND positions split the tail into conditions
+        cuts = F.filter(F.transform(tail, lambda t, i: F.when(t == "AND", i)), lambda x: x.isNotNull())
+        bounds = F.concat(F.array(F.lit(-1)), cuts, F.array(F.size(tail)))
+        return let(bounds, lambda b: F.zip_with(F.slice(b, 1, F.size(b) - 1), F.slice(b, 2, F.size(b)), lambda st, ed: F.slice(tail, st + 2, ed - st - 1)))
+
+    from taskprep.functions.arrays import find_sublist
 
     def one(piece):
         places = [F.array_position(piece, F.lit(o)).cast("int") for o in ops]
-        at = F.coalesce(*[F.when(p > 0, p) for p in places])
+        return let(F.coalesce(*[F.when(p > 0, p) for p in places]), lambda at: valued(piece, at))
+
+    def valued(piece, at):
         val = F.when(at.isNotNull(), F.slice(piece, F.coalesce(at, F.lit(0)) + 1, F.size(piece))).otherwise(F.array().cast("array<string>"))
-        from taskprep.functions.arrays import find_sublist
-        pos = F.when(at.isNotNull(), F.element_at(F.concat(find_sublist(val, qs), F.array(F.lit(-1))), 1)).otherwise(F.lit(-1))
-        return F.struct(F.get(piece, at - 1).alias("op"), val.alias("value"), pos.alias("pos"))
+        pos = lambda v: F.when(at.isNotNull(), F.element_at(F.concat(find_sublist(v, qs), F.array(F.lit(-1))), 1)).otherwise(F.lit(-1))
+        return let(val, lambda v: F.struct(F.get(piece, at - 1).alias("op"), v.alias("value"), pos(v).alias("pos")))
 
-    return F.when(w > 0, F.transform(F.filter(pieces, lambda p: F.size(p) > 0), one))
+    return F.when(w > 0, F.transform(F.filter(let(tail, split), lambda p: F.size(p) > 0), one))
 
 
 # Token spellings mapped back to characters, the characters a
@@ -448,14 +449,13 @@ def detokenize(tokens, question) -> F.Column:
     starting with a letter, digit or ``$`` gets none, and any other token gets
     one unless the previous character is an opening symbol or an opening
     quote. A fold (``aggregate``) with a (text, quote parity) state."""
-    q = F.lower(F.col(question) if isinstance(question, str) else question)
     toks = F.filter(F.transform(F.col(tokens) if isinstance(tokens, str) else tokens, lambda t: F.lower(t)),
                     lambda t: t.isNotNull() & (t != ""))
     mapping = F.create_map(*[x for kv in DETOKEN_MAP.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
     mapped = F.transform(toks, lambda t: F.coalesce(F.element_at(mapping, t), t))
     init = F.struct(F.lit("").alias("ret"), F.lit(0).alias("par"))
 
-    def step(acc, w):
+    def step(q, acc, w):
         par = F.when(w == '"', 1 - acc.par).otherwise(acc.par)
         ret = acc.ret
         last = F.substring(ret, -1, 1)
@@ -468,4 +468,5 @@ def detokenize(tokens, question) -> F.Column:
         return F.struct(F.concat(ret, F.when(pad, F.lit(" ")).otherwise(F.lit("")), w).alias("ret"),
                         par.alias("par"))
 
-    return F.regexp_replace(F.aggregate(mapped, init, step).ret, r"(?U)^\s+|\s+$", "")
+    ret = let(F.lower(F.col(question) if isinstance(question, str) else question), lambda q: F.aggregate(mapped, init, lambda acc, w: step(q, acc, w)).ret)
+    return F.regexp_replace(ret, r"(?U)^\s+|\s+$", "")
