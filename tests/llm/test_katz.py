@@ -89,3 +89,15 @@ def test_discounts():
     d = katz.good_turing([1000, 400, 220, 140, 100, 75])
     assert d[0] == d[katz.CUT + 1] == 1 and all(0 < x < 1 for x in d[1 : katz.CUT + 1])
     assert katz.good_turing([0] * 6)[1] == 0.5
+
+
+@pytest.mark.parametrize("held", [0, 6, 40])
+def test_words_that_tasks_do_not_hold_keep_their_bigrams(spark, monkeypatch, held):
+    """No word of the training texts is of the class of unseen words, however few of them a task holds."""
+    monkeypatch.setattr(katz, "HELD", held)
+    monkeypatch.setattr(katz, "DENSE", 8)
+    compare(spark, corpus_rows(), share=0.0)
+
+
+def test_no_share_of_the_tokens_is_asked_of_a_word():
+    assert katz.VOCAB_SHARE == 0
