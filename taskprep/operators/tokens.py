@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskprep.functions.arrays import let
+from taskprep.session import cut_lineage
 
 WORD_PATTERN = r"\S+"
 CLS_ID, SEP_ID, UNK_ID, PAD_ID = 1, 2, 0, 0
@@ -84,12 +85,18 @@ def tokenize(df: DataFrame, text: str, out: str = "tokens", pattern: str = WORD_
 TOKEN_SALTS = 16
 
 
-def _looked_up(df: DataFrame, key: str, items: str, table: DataFrame, item: str, value: str) -> DataFrame:
+def _looked_up(df: DataFrame, key: str, items: str, table: DataFrame, item: str, value: str, sparse: bool = False) -> DataFrame:
     """(key, list of (item, value)) over the distinct items of each row. The table is
-    repeated once a salt, so the rows of a frequent item spread."""
+    repeated once a salt, so the rows of a frequent item spread; where the rows may
+    ask for a small part of the table (``sparse``), only by the salts that ask for
+    the item, so it is moved once."""
     salt = F.pmod(F.xxhash64(key), F.lit(TOKEN_SALTS)).cast("int")
     ex = df.select(key, salt.alias("salt"), F.explode(F.array_distinct(items)).alias(item))
-    names = table.select(F.col(item), F.col(value), F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1))).alias("salt"))
+    if sparse:
+        ex = cut_lineage(ex)
+        names = table.select(item, value).join(ex.select(item, "salt").distinct(), item)
+    else:
+        names = table.select(F.col(item), F.col(value), F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1))).alias("salt"))
     found = ex.join(names, [item, "salt"])
     return found.groupBy(key).agg(F.collect_list(F.struct(F.col(item).alias("item"), F.col(value).alias("value"))).alias("__m"))
 
@@ -148,7 +155,7 @@ def token_ids(df: DataFrame, tokens: str, vocab: DataFrame, key: str, out: str =
     Only a row's distinct tokens are joined to the vocabulary; the row maps its
     own tokens in place.
     """
-    held = _looked_up(df, key, tokens, vocab.select("token", F.col("id").cast("int").alias("id")), "token", "id")
+    held = _looked_up(df, key, tokens, vocab.select("token", F.col("id").cast("int").alias("id")), "token", "id", sparse=True)
     ids = _mapped(df.join(held, key, "left"), tokens, out, "int", UNK_ID)
     return ids.withColumn(out, F.coalesce(out, F.array().cast("array<int>"))).drop("__m")
 
@@ -248,7 +255,7 @@ def ids_to_text(df: DataFrame, ids: str, vocab: DataFrame, key: str, out: str =
     spark = df.sparkSession
     special = spark.createDataFrame(list(SPECIAL_TOKENS.items()), "id int, token string")
     names = vocab.select(F.col("id").cast("int"), "token").unionByName(special)
-    held = _looked_up(df, key, ids, names, "id", "token")
+    held = _looked_up(df, key, ids, names, "id", "token", sparse=True)
     text = _mapped(df.join(held, key, "left"), ids, "__t", "string", SPECIAL_TOKENS[UNK_ID])
     return text.withColumn(out, F.array_join("__t", " ")).drop("__m", "__t")
 

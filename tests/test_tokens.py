@@ -146,3 +146,13 @@ def test_tokenize_in_portions(spark, monkeypatch):
     df = TK.tokenize(spark.createDataFrame(rows, "k int, t string").coalesce(1), "t", "x", lower=True)
     got = {r.k: r.x for r in df.collect()}
     assert all(got[k] is None if t is None else [(x.tok, x.st, x.ed) for x in got[k]] == [("ab", 3 * j, 3 * j + 2) for j in range(k % 7)] for k, t in rows)
+
+
+def test_a_large_vocabulary_is_not_repeated_for_few_rows(spark):
+    """Rows of few tokens move each vocabulary word at most once, not once a salt."""
+    vocab = spark.range(50_000).selectExpr("concat('w', id) AS token", "cast(id + 3 AS int) AS id")
+    df = spark.createDataFrame([(i, ["w1", f"w{i}", "none", "w1"]) for i in range(40)] + [(40, []), (41, None)], "k int, t array<string>")
+    got = {r.k: r.ids for r in TK.token_ids(df, "t", vocab, "k").collect()}
+    assert got == {**{i: [4, i + 3, 0, 4] for i in range(40)}, 40: [], 41: []}
+    plan = TK.token_ids(df, "t", vocab, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(sequence" not in plan and "explode([0" not in plan
