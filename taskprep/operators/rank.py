@@ -13,6 +13,8 @@ from taskprep.operators import specs as SP
 from taskprep.session import cut_lineage
 
 JUNK_SCORE = -9999999
+#: keys over which the rows of one candidate spec are dealt
+SPEC_SALTS = 64
 
 
 def best_legal_select(col_probs, agg_probs, col_types) -> F.Column:
@@ -62,10 +64,13 @@ def prune_candidates(candidates: DataFrame, cells: DataFrame, meta: DataFrame, b
     dedup = candidates.withColumn("__sig", spec).withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
     dedup = cut_lineage(dedup)
     testable = F.col("sel").isNotNull() & F.col("agg").isNotNull()
-    tested = dedup.filter(testable).groupBy(F.col("__sig").alias("spec_id")).agg(*(F.first(c).alias(c) for c in ("table_id", "sel", "agg", "conds")))
-    tested = cut_lineage(tested)
+    # a spec that many questions share is one key; its rows meet it over several salts
+    own = dedup.filter(testable).withColumn("__salt", F.pmod(F.xxhash64(key), F.lit(SPEC_SALTS)))
+    salted = cut_lineage(own.groupBy("__sig", "__salt").agg(*(F.first(c).alias(c) for c in ("table_id", "sel", "agg", "conds"))))
+    tested = cut_lineage(salted.groupBy(F.col("__sig").alias("spec_id")).agg(*(F.first(c).alias(c) for c in ("table_id", "sel", "agg", "conds"))))
     held = SP.keep_executable(tested, cells, meta).select(F.col("spec_id").alias("__sig"))
-    ok = dedup.filter(testable).join(held, "__sig", "left_semi").unionByName(dedup.filter(~testable)).drop("__sig")
+    held = salted.select("__sig", "__salt").join(held, "__sig", "left_semi")
+    ok = own.join(held, ["__sig", "__salt"], "left_semi").drop("__salt").unionByName(dedup.filter(~testable)).drop("__sig")
     rw = Window.partitionBy(key).orderBy(F.desc(score), "spec_id")
     kept = ok.withColumn("beam_rank", F.row_number().over(rw)).filter(F.col("beam_rank") <= beam)
     kept = kept.select(key, "spec_id", F.col(score).cast("double").alias(score), "beam_rank")

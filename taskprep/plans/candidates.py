@@ -186,8 +186,8 @@ def pruned_prefixes(spark: SparkSession, sf: str) -> DataFrame:
     whole select; 4 and 5 go on with the customer's key, 5 with a balance over
     one it may have; 6 asks for a key that no customer has; 7 repeats 4."""
     from taskprep.plans.structured import catalog
-    from taskprep.session import cut_lineage, read_table
-    c = read_table(spark, sf, "customer").select("c_custkey").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    from taskprep.session import cut_lineage, read_table, spread
+    c = spread(read_table(spark, sf, "customer").select("c_custkey")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
     key, k = F.col("c_custkey"), F.col("k")
     cond = lambda col, op, val: F.struct(F.lit(col).alias("col"), F.lit(op).alias("op"), val.cast("string").alias("val"))
     own, poor = cond(0, 0, key), cond(3, 1, (key * 13) % 9000)

@@ -136,3 +136,12 @@ def test_lone_equalities_meet_values_not_rows(spark, monkeypatch):
     kept = {r.spec_id for r in SP.keep_executable(spark.createDataFrame(specs, CANDS), cells, meta).collect()}
     assert kept == {s[1] for i, s in enumerate(specs) if i % 5 in (0, 2)}
     assert max(written, default=0) <= len(specs)
+
+
+def test_a_shared_candidate_is_dealt_over_salts(spark, table):
+    """Every question asks for the same spec: all keep it, and their rows don't meet it under one key."""
+    cells, meta, name = table
+    rows = [(i, f"s{i}", 1.0, name, 0, 0, [(0, 0, "5")]) for i in range(300)] + [(i, f"t{i}", 2.0, name, 0, 0, [(0, 0, "99")]) for i in range(300)] + [(None, "u", 1.0, name, 0, 0, [(0, 0, "5")])]
+    pruned = rank.prune_candidates(spark.createDataFrame(rows, CANDS), cells, meta, beam=1, pad=False)
+    assert {r.spec_id for r in pruned.collect()} == {f"s{i}" for i in range(300)} | {"u"}
+    assert "__salt" in pruned._jdf.queryExecution().optimizedPlan().toString()
