@@ -24,3 +24,16 @@ def test_against_union_find(spark):
 
 def test_no_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    """What one task can join is written four times at most, however long its chains; rounds give the same."""
+    from taskprep.llm import components as module
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(-5, 9000), (9000, 9001)], "a long, b long")
+    cuts, cut = [], module.cut_lineage
+    monkeypatch.setattr(module, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    got = sorted(map(tuple, components(edges).collect()))
+    assert got == sorted([(i, 0) for i in range(301)] + [(-5, -5), (9000, -5), (9001, -5)]) and len(cuts) <= 4
+    monkeypatch.setattr(module, "FEW", 20)
+    assert sorted(map(tuple, components(edges).collect())) == got
