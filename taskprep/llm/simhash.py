@@ -116,6 +116,8 @@ def cells(points: DataFrame, distance: int, alike: int) -> DataFrame:
     Most cells that are shared by chance hold two points; the bits in which their
     OR and AND differ are then those in which the two do, so that such a cell
     is judged by the counts of cells, and its points never leave their place.
+    Spark sizes an exploded table by the rows it came from, and files by their
+    compressed bytes, so no side of the joins by cell is left to be broadcast.
     """
     masks = grid_masks(distance, alike)
     dealt = (points.withColumn("t", embedding(F.col("fp")))
@@ -124,7 +126,7 @@ def cells(points: DataFrame, distance: int, alike: int) -> DataFrame:
     hubs = dealt.groupBy("grid", "cell").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("hub"), F.bit_or("fp").alias("some"), F.bit_and("fp").alias("all"))
     apart = F.bit_count(F.col("some").bitwiseXOR(F.col("all")))
     hubs = hubs.filter((F.col("n") > 2) | ((F.col("n") == 2) & (apart <= distance)))
-    return cut_lineage(dealt.join(hubs.select("grid", "cell", "hub"), ["grid", "cell"]))
+    return cut_lineage(dealt.hint("merge").join(hubs.select("grid", "cell", "hub"), ["grid", "cell"]))
 
 
 def linked(points: DataFrame, distance: int, alike: int) -> DataFrame:
@@ -135,11 +137,11 @@ def linked(points: DataFrame, distance: int, alike: int) -> DataFrame:
     named = cut_lineage(named)
     per = named.groupBy("grid", "cell", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = per.groupBy("grid", "cell").agg(F.max(F.struct("c", "comp")).alias("m"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    named = cut_lineage(named.join(main.select("grid", "cell", F.col("m.comp").alias("main")), ["grid", "cell"]))
+    named = cut_lineage(named.hint("merge").join(main.select("grid", "cell", F.col("m.comp").alias("main")), ["grid", "cell"]))
     x = named.filter("comp <> main").select("grid", "cell", F.col("fp").alias("x_fp"), F.col("comp").alias("x_comp"))
     y = named.withColumn("in_main", F.col("comp") == F.col("main")).drop("main")
     once = (F.col("x_comp") != F.col("comp")) & (F.col("in_main") | (F.col("x_fp") < F.col("fp")))
-    met_again = x.join(y, (x["grid"] == y["grid"]) & (x["cell"] == y["cell"]) & once & near("x_fp", "fp", distance))
+    met_again = x.hint("merge").join(y, (x["grid"] == y["grid"]) & (x["cell"] == y["cell"]) & once & near("x_fp", "fp", distance))
     more = met_again.select(F.col("x_comp").alias("a"), F.col("comp").alias("b")).distinct()
     return components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(more))
 

@@ -92,3 +92,12 @@ def test_blocks_of_a_long_text_add_up(monkeypatch):
 
 def test_empty_table(spark):
     assert simhash.simhash_groups(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_cells_are_not_broadcast(spark, monkeypatch):
+    """The planner takes the 70 cells of each point for the size of the point."""
+    points = spark.range(3000).select(F.xxhash64("id").alias("fp")).union(spark.range(500).select((F.col("id") * 64).alias("fp")))
+    plans, cut = [], simhash.cut_lineage
+    monkeypatch.setattr(simhash, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    assert simhash.cells(points, simhash.DISTANCE, simhash.ALIKE).count() > 0
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
