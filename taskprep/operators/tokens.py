@@ -196,41 +196,98 @@ def word_pieces(words: DataFrame, vocab: DataFrame, max_piece: int) -> DataFrame
     return done.select("word", F.when(F.col("cut.pos") == F.length("word"), F.col("cut.out")).otherwise(whole).alias("pieces"))
 
 
+#: vocabularies of up to so many tokens are held by every task; words are then cut where their rows are
+HELD_PIECES = 1 << 18
+#: words whose cut a task keeps; tokens whose pieces are made at once
+KEPT_WORDS, CUT_ITEMS = 1 << 15, 1 << 15
+
+
+def cut_word(word: str, vocab: dict[str, str], max_piece: int) -> list[tuple[str, int, int]]:
+    """The pieces (tok, st, ed) of one word, as in ``word_pieces``; ``vocab`` maps each token to itself, so pieces share their text."""
+    out, at = [], 0
+    while at < len(word):
+        mark = CONTINUATION if at else ""
+        for end in range(min(at + max_piece, len(word)), at, -1):
+            tok = vocab.get(mark + word[at:end])
+            if tok is not None:
+                break
+        else:
+            return [("[UNK]", 0, len(word))]
+        out.append((tok, at, end))
+        at = end
+    return out
+
+
 def subword_tokens(df: DataFrame, tokens: str, key: str, vocab: DataFrame, max_piece: int = 16, out: str = "pieces") -> DataFrame:
     """The sub-tokens of each row's ``tokens`` (struct tok, st, ed), as an
     array of (tok, st, ed, word): character offsets in the text, and the word's
-    number. ``key`` names the row."""
-    words = df.select(key, F.transform(tokens, lambda t: t.tok).alias("__w"))
-    cut = word_pieces(words.select(F.explode("__w").alias("word")), vocab, max_piece)
-    held = _looked_up(words, key, "__w", cut, "word", "pieces")
+    number. ``key`` names the row; a row without it has none.
 
+    With a vocabulary of up to ``HELD_PIECES`` tokens (of those short enough to
+    fit a piece) nothing is shuffled: a task holds it and cuts each word it meets.
+    Beyond, distinct words are cut by joins and looked up by row."""
     import numpy as np
     import pyarrow as pa
 
-    rows = df.join(held, key, "left")
+    fit = vocab.select("token").filter(F.length("token") <= max_piece + len(CONTINUATION)).distinct()
+    few = [r[0] for r in fit.limit(HELD_PIECES + 1).collect()]
+    local = len(few) <= HELD_PIECES
+    if local:
+        rows, few = df, {t: t for t in few}
+    else:
+        few = {}
+        words = df.select(key, F.transform(tokens, lambda t: t.tok).alias("__w"))
+        cut = word_pieces(words.select(F.explode("__w").alias("word")), vocab, max_piece)
+        rows = df.join(_looked_up(words, key, "__w", cut, "word", "pieces"), key, "left")
     piece = T.StructType([*TOKEN_TYPE.elementType.fields, T.StructField("word", T.IntegerType())])
     schema = T.StructType(rows.schema.fields + [T.StructField(out, T.ArrayType(piece))])
     names = rows.columns + [out]
 
     def run(batches):
+        kept = {}
+
+        def cuts_here(b, n, flat):
+            """For each token the number of its word (-1: none), and pieces of the words: how many, (tok, st, ed) laid end to end."""
+            codes = flat.field("tok").dictionary_encode()
+            found = []
+            for w in codes.dictionary.to_pylist():
+                if w not in kept:
+                    if len(kept) >= KEPT_WORDS:
+                        kept.clear()
+                    kept[w] = cut_word(w, few, max_piece)
+                found.append(kept[w])
+            at = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            n_cut = np.array([len(x) for x in found], np.int64)
+            unnamed = np.repeat(b.column(key).is_null().to_numpy(zero_copy_only=False), n)
+            at = np.where((at >= 0) & ~unnamed, at, -1)
+            if len(n_cut):
+                at = np.where(n_cut[at] > 0, at, -1)
+            tok, st, ed = zip(*(p for x in found for p in x)) if n_cut.sum() else ((), (), ())
+            return at, n_cut, (pa.array(tok, pa.string()), np.array(st, np.int64), np.array(ed, np.int64))
+
+        def cuts_joined(b, n, flat):
+            at, entries = _places(n, flat.field("tok"), b.column("__m"))
+            n_cut, cuts = _lists(entries.field("value"))
+            return at, n_cut, (cuts.field("tok"), *(cuts.field(c).to_numpy(zero_copy_only=False) for c in ("st", "ed")))
+
         for batch in batches:
-            for b in _portions(batch, _lists(batch.column(tokens))[0], BATCH_ITEMS):
+            for b in _portions(batch, _lists(batch.column(tokens))[0], CUT_ITEMS):
                 own = b.column(tokens)
                 n, flat = _lists(own)
-                at, entries = _places(n, flat.field("tok"), b.column("__m"))
-                n_cut, cuts = _lists(entries.field("value"))
+                at, n_cut, (tok, st, ed) = (cuts_here if local else cuts_joined)(b, n, flat)
                 first = np.cumsum(n_cut) - n_cut
                 size = np.where(at >= 0, n_cut[at], 0) if len(n_cut) else np.zeros(len(at), np.int64)
                 token = np.repeat(np.arange(len(at)), size)  # the token of each piece
-                which = first[at[token]] + np.arange(len(token)) - (np.cumsum(size) - size)[token]
+                which = first[at[token]] + np.arange(len(token)) - (np.cumsum(size) - size)[token] if len(token) else np.empty(0, np.int64)
                 start = flat.field("st").to_numpy(zero_copy_only=False)[token]
-                place = lambda c: pa.array((cuts.field(c).to_numpy(zero_copy_only=False)[which] + start).astype(np.int32))
+                place = lambda x: pa.array((x[which] + start).astype(np.int32))
                 word = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                pieces = pa.StructArray.from_arrays([cuts.field("tok").take(pa.array(which)), place("st"), place("ed"), pa.array(word[token].astype(np.int32))], names=["tok", "st", "ed", "word"])
+                pieces = pa.StructArray.from_arrays([tok.take(pa.array(which)), place(st), place(ed), pa.array(word[token].astype(np.int32))], names=["tok", "st", "ed", "word"])
                 ends = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n)))]
                 lost = np.bincount(np.repeat(np.arange(len(n)), n)[at < 0], minlength=len(n)) > 0
                 gone = pa.array(own.is_null().to_numpy(zero_copy_only=False) | lost)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pieces, mask=gone)], names=names)
+            pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema).drop("__m")
 

@@ -68,6 +68,22 @@ def test_greedy_longest_prefix(spark):
     assert got[2] is None
 
 
+def test_words_are_cut_where_they_are(spark, monkeypatch):
+    """A vocabulary that a task can hold needs no shuffle of tokens; a larger one gives the same by joins."""
+    vocab = spark.createDataFrame([(t,) for t in ["ab", "a", "##b", "##cd", "##c", "x" * 30, "é", "##é", None]], "token string")
+    rows = [(1, "abcd ab  ba a éé xé"), (1, "ac abcd"), (None, "ab"), (None, " "), (2, ""), (3, None)]
+    df = TK.tokenize(spark.createDataFrame(rows, "k int, t string"), "t")
+    out = TK.subword_tokens(df, "tokens", "k", vocab, 4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = sorted(map(str, out.select("k", "t", "pieces").collect()))
+    monkeypatch.setattr(TK, "HELD_PIECES", 3)
+    monkeypatch.setattr(TK, "KEPT_WORDS", 2)
+    assert sorted(map(str, TK.subword_tokens(df, "tokens", "k", vocab, 4).select("k", "t", "pieces").collect())) == got
+    monkeypatch.setattr(TK, "HELD_PIECES", 100)
+    assert sorted(map(str, TK.subword_tokens(df, "tokens", "k", vocab, 4).select("k", "t", "pieces").collect())) == got
+
+
 def test_malformed_pointers_are_flagged(spark):
     df = spark.createDataFrame([([("start", 0), ("op", 1), ("vst", 2), ("end", 0)],)], "p array<struct<kind:string,value:int>>")
     back = df.select(TK.pointers_to_spec("p").alias("b")).collect()[0].b
