@@ -1,8 +1,9 @@
+import os
 import time
 
 from pyspark.sql import functions as F
 
-from taskprep.session import SHUFFLE_CLEANUP, cut_lineage
+from taskprep.session import SHUFFLE_CLEANUP, cut_lineage, discard
 
 
 def shuffle_files(spark):
@@ -20,3 +21,13 @@ def test_cut_lineage_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not left and spark.conf.get(SHUFFLE_CLEANUP, None) == setting
     assert out.agg(F.sum("s")).first()[0] == 20000 * 19999 // 2
+
+
+def test_discard_deletes_only_cut_tables(spark, tmp_path):
+    path = str(tmp_path / "kept")
+    spark.range(5).write.parquet(path)
+    kept, cut, other = spark.read.parquet(path), cut_lineage(spark.range(7)), cut_lineage(spark.range(3))
+    folder = cut.cut_path
+    assert os.path.isdir(folder)
+    discard(kept, cut, cut.filter("id > 1"), cut)
+    assert not os.path.exists(folder) and kept.count() == 5 and other.count() == 3
