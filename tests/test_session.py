@@ -1,5 +1,6 @@
 import os
 import time
+from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def test_discard_deletes_only_cut_tables(spark, tmp_path):
     path = str(tmp_path / "kept")
     spark.range(5).write.parquet(path)
     kept, cut, other = spark.read.parquet(path), cut_lineage(spark.range(7)), cut_lineage(spark.range(3))
-    folder = cut.cut_path
+    folder = urlparse(cut.cut_path).path
     assert os.path.isdir(folder)
     discard(kept, cut, cut.filter("id > 1"), cut)
     assert not os.path.exists(folder) and kept.count() == 5 and other.count() == 3
